@@ -1,13 +1,21 @@
-"""The corpus pipeline: language ID, MinHash near-dedup, substring dedup, decontamination, BPE."""
+"""The corpus pipeline: language ID, MinHash near-dedup, substring dedup, decontamination, BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last the columns of
+documents, the last doc_id, ids, n_tokens and decoded. Stages may be run one by one, each on
+what the one before wrote, or all at once by run().
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import bpe, language_id
+from lodestack.llm import bpe, decontaminate, language_id, minhash, substring
 
 STAGES = [
     ("language_id", language_id.stage),
+    ("minhash_near_dedup", minhash.stage),
+    ("substring_dedup", substring.stage),
+    ("decontamination", decontaminate.stage),
     ("bpe_encode_decode", bpe.stage),
 ]
 
