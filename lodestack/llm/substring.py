@@ -9,10 +9,10 @@ extended: the MIN_WORDS-word windows around a hit are compared exactly (by 64-bi
 all others of the corpus, and runs of repeated ones join to maximal repeats. The first
 occurrence, by (doc_id, place), stays; the words of later ones are removed.
 
-How it runs. The index that windows probe is a filter of fixed size (two bits for each slot of
-block hashes: present, present twice), which is what is broadcast; however full it gets at
-larger corpora, it only lets more windows through to the exact comparison, never fewer, and
-changes no result. Hashes travel in blobs, one row for each range of hashes and batch of
+How it runs. The index that windows probe is a Bloom filter of fixed size (one of the hashes that
+blocks have, one of those that two blocks have), which is what is broadcast; however full it
+gets at larger corpora, it only lets more windows through to the exact comparison, never
+fewer, and changes no result. With a full filter every window is shuffled, some 10 bytes each. Hashes travel in blobs, one row for each range of hashes and batch of
 documents, so that a shuffle moves few rows and about 10 bytes a window; ranges are in
 proportion to spark.sql.shuffle.partitions. Comparison is linear: each window meets the first
 place of its hash, never all pairs. Documents then join their spans by (doc_id, text hash).
@@ -40,6 +40,8 @@ from .text import Batch, Words, prefix_hash, window_hash
 BLOCK = 25
 MIN_WORDS = 50
 FILTER_BITS = 28
+PROBES = 3
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _NULL_ID = -(1 << 63)
 
 
@@ -89,17 +91,25 @@ def _blocks(parts: int, block: int):
     return run
 
 
+def _slots(hashes: np.ndarray, parts: int, filter_bits: int) -> Iterator[np.ndarray]:
+    """The PROBES slots of each hash, all in the segment of its range."""
+    own = np.uint64(filter_bits - (parts.bit_length() - 1))
+    base = (hashes >> np.uint64(64 - (parts.bit_length() - 1)) << own) if parts > 1 else np.zeros(len(hashes), np.uint64)
+    for odd in _ODD:
+        yield (base | (hashes * odd) >> (np.uint64(64) - own)).astype(np.int64)
+
+
 def _segment(parts: int, filter_bits: int):
     """For one range of hashes, its part of the two bit maps."""
     own = filter_bits - (parts.bit_length() - 1)
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         h = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]))
-        slot = ((h >> np.uint64(64 - filter_bits)) & np.uint64((1 << own) - 1)).astype(np.int64)
         maps = []
-        for s in (slot, slot[1:][h[1:] == h[:-1]]):
+        for some in (h, h[1:][h[1:] == h[:-1]]):
             bits = np.zeros(1 << own, bool)
-            bits[s] = True
+            for slot in _slots(some, parts, filter_bits):
+                bits[slot & ((1 << own) - 1)] = True
             maps.append(np.packbits(bits).tobytes())
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "present": pa.array([maps[0]], pa.binary()), "twice": pa.array([maps[1]], pa.binary())})
 
@@ -118,8 +128,15 @@ def block_filter(docs: DataFrame, block: int = BLOCK, filter_bits: int = FILTER_
     return out
 
 
-def _bits(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+def _within(bitmap: np.ndarray, hashes: np.ndarray, parts: int, filter_bits: int) -> np.ndarray:
+    """Whether all slots of a hash are set; each probe only looks at what the ones before left."""
+    out = np.zeros(len(hashes), bool)
+    left = np.arange(len(hashes))
+    for k in range(PROBES):
+        slot = next(x for i, x in enumerate(_slots(hashes[left], parts, filter_bits)) if i == k)
+        left = left[(bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0]
+    out[left] = True
+    return out
 
 
 def _candidates(parts: int, block: int, min_words: int, filter_bits: int, shared: Broadcast):
@@ -159,10 +176,10 @@ def _candidates(parts: int, block: int, min_words: int, filter_bits: int, shared
                 h = window_hash(w.hashes, block, prefix)
                 at = np.arange(len(h))
                 doc = w.doc[: len(h)]
-                slot = (h >> np.uint64(64 - filter_bits)).astype(np.int64)
                 own = (at - w.offsets[doc]) % block == 0
-                hit = np.where(own, _bits(twice, slot), _bits(present, slot))
-                hit &= at + block <= w.offsets[doc + 1]
+                hit = at + block <= w.offsets[doc + 1]
+                for mine, bitmap in ((own & hit, twice), (~own & hit, present)):
+                    hit[mine] = _within(bitmap, h[mine], parts, filter_bits)
                 # windows of min_words words that start at p hold the hits at p .. p + min_words - block
                 many = np.concatenate([[0], np.cumsum(hit)])
                 n = len(w.hashes) - min_words + 1
