@@ -24,8 +24,7 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Null if either vector is zero."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n)
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -34,8 +33,8 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Divided by its length; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(_d(a), lambda x: x / n)).otherwise(_d(a))
+    # the array of one binds the length, which is then computed once, not for each element
+    return F.transform(F.array(norm(a)), lambda n: F.transform(_d(a), lambda x: F.coalesce(F.try_divide(x, n), x)))[0]
 
 
 def as_score(distance: Column, metric: str) -> Column:

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
@@ -63,7 +64,7 @@ def token_f1(pairs: DataFrame, key: str = "id", pred: str = "pred", gold: str =
     return pairs.select(key).join(per, key, "left").select(key, F.round(F.coalesce(f1, F.lit(0.0)), digits).alias("token_f1"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _rouge(pred: pd.Series, gold: pd.Series) -> pd.Series:
     def one(p: str, g: str) -> float:
         a, b = (p or "").split(), (g or "").split()

@@ -39,7 +39,7 @@ def greedy(size: int, overlap: int) -> str:
     """SELECT of parent_id, the documents' columns and chunks: the fold over pieces in a list_reduce."""
     return f"""
     SELECT doc_id AS parent_id, lang, source,
-      list_transform(list_concat(f.chunks, CASE WHEN len(f.cur) > 0 THEN [f.cur] ELSE [] END), lambda c: array_to_string(c, sep)) AS chunks
+      list_transform(list_concat(f.chunks, CASE WHEN len(f.cur) > 0 THEN [f.cur] ELSE [] END), lambda c: list_reduce(c, lambda a, b: a || sep || b)) AS chunks
     FROM (SELECT *, list_reduce(
         list_transform(list_filter(string_split(text, sep), lambda p: p <> ''), lambda p: {{'chunks': []::VARCHAR[][], 'cur': [p], 'n': length(p)::BIGINT + wide}}),
         lambda s, e: CASE WHEN s.n + e.n > {size} AND len(s.cur) > 0 THEN
