@@ -9,7 +9,8 @@ of edges, linear in the bucket, hot buckets included); an edge stands if the sha
 is THRESHOLD or more. Groups are the connected components of edges, found by alternating
 star contraction; the least doc_id of a group stays.
 
-Shuffles: bucket keys (no text), edges, and signatures of BINS * 2 bytes for documents with
+Equal texts share a node (their 64-bit hash), so that a text that millions of documents have is
+one entry of its buckets. Shuffles: signatures of BINS * 2 bytes and bucket keys (no text), and
 edges. Python works on whole Arrow batches; each step that is read again is checkpointed.
 
 Defined results: a null text is in no group and stays. Equal texts (empty ones too) are always
@@ -136,21 +137,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_hash, first_id and first_hash (the group's document that stays) for each distinct document of a group of two or more."""
-    known = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", text_key().alias("text_hash"))
-    named = known.select(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text_hash").alias("node"), "text")
-    signed = cut(named.mapInArrow(_sign, "node long, signature binary, bands array<long>"))
+    known = docs.filter(F.col("text").isNotNull())
+    signed = cut(known.select(text_key().alias("node"), "text").mapInArrow(_sign, "node long, signature binary, bands array<long>").dropDuplicates(["node"]))
     bucket = Window.partitionBy("key")
     rows = signed.select("node", F.explode("bands").alias("key"))
     pairs = rows.withColumn("first", F.min("node").over(bucket)).withColumn("before", F.lag("node").over(bucket.orderBy("node"))).filter("node <> first")
     pairs = pairs.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "before"))).alias("b")).filter("a <> b").distinct()
-    one = signed.select("node", "signature").dropDuplicates(["node"])
+    one = signed.select("node", "signature")
     edges = pairs.join(one.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(one.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
     edges = edges.select("a", "b", "sa", "sb").mapInArrow(_alike(threshold), "a long, b long")
-    found = components(edges)
-    ids = docs.filter(F.col("text").isNotNull()).select("doc_id", text_key().alias("text_hash")).distinct()
-    ids = ids.withColumn("node", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text_hash"))
-    first = F.min(F.struct("doc_id", "text_hash")).over(Window.partitionBy("root"))
-    return ids.join(found, "node").select("doc_id", "text_hash", first.alias("f")).select("doc_id", "text_hash", F.col("f.doc_id").alias("first_id"), F.col("f.text_hash").alias("first_hash"))
+    ids = known.select("doc_id", text_key().alias("text_hash")).distinct()
+    # a text without an edge is a group if several documents have it
+    rooted = ids.join(components(edges).select(F.col("node").alias("text_hash"), "root"), "text_hash", "left")
+    rooted = cut(rooted.select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root")))
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rooted.join(first, "root").select("doc_id", "text_hash", F.col("f.doc_id").alias("first_id"), F.col("f.text_hash").alias("first_hash"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
