@@ -16,12 +16,12 @@ def cluster_count(n: int, most: int = 10) -> int:
 def nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """vec_id, cluster: nearest of the centroids (cluster, centroid), ties to the least; centroids are at most a level's cluster count."""
     d = F.round(V.squared_l2(F.col("embedding"), F.col("centroid")), 9)
-    return vectors.crossJoin(centroids).groupBy("vec_id").agg(F.min(F.struct(d.alias("d"), F.col("cluster"))).alias("m")).select("vec_id", "m.cluster")
+    return vectors.select("vec_id", "embedding").crossJoin(centroids.select("cluster", "centroid")).groupBy("vec_id").agg(F.min(F.struct(d.alias("d"), F.col("cluster"))).alias("m")).select("vec_id", "m.cluster")
 
 
 def recentre(vectors: DataFrame, assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     """cluster, centroid: means of members; a cluster without members keeps its centroid."""
-    dims = vectors.join(assigned, "vec_id").select("cluster", F.posexplode("embedding").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    dims = vectors.select("vec_id", "embedding").join(assigned, "vec_id").select("cluster", F.posexplode("embedding").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     means = dims.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
     return centroids.join(means, "cluster", "left").select("cluster", F.coalesce("mean", F.col("centroid").cast("array<double>")).alias("centroid"))
 
