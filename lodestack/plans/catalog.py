@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import registry, text_queries, vector_queries  # noqa: F401
+from . import registry, retrieval_queries, text_queries, vector_queries  # noqa: F401
+
+
+flagship = retrieval_queries.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
