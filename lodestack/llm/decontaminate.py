@@ -12,7 +12,9 @@ any item asks for, is a window of an item; these windows are tested by array exp
 only documents with one are streamed. That changes no result.
 
 One pass over the documents, no shuffle. What is broadcast grows with the benchmark, not with
-the corpus; beyond `most_benchmark_words` it raises.
+the corpus. A benchmark of more than `most_benchmark_words` words is split into groups of items
+that have at most so many (or one item); each group's automaton passes over the documents on its
+own, only what it finds is kept, and the union is joined to the documents. The result is the same.
 
 Defined results: null text stays null, empty stays empty. Items that are null or have fewer
 than `least_words` words match nothing; repeated items are as one. A text that is removed
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, table
+from .common import cut, fresh, strings, table, text_key
 from .text import Batch, Words, slices, window_hash
 
 MAX_WORDS = 10
@@ -156,24 +158,45 @@ def build(items: list[str | None], max_words: int = MAX_WORDS, coverage: float =
     return a
 
 
-def find(a: Automaton, texts: list[str]) -> list[list[tuple[int, int]]]:
-    """Character spans to remove from each text."""
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+Runs = list[tuple[int, int]]
+
+
+def runs(a: Automaton, w: Words) -> list[Runs]:
+    """Runs [first, last] of words to remove from each text."""
+    out: list[Runs] = [[] for _ in w.batch.texts]
     if a.bitmap is None:
         return out
-    w = Words(Batch(texts))
     h = window_hash(w.hashes, a.window)
     hit = np.flatnonzero(a.bitmap[h >> np.uint64(44)])
     hit = hit[a.windows[np.minimum(np.searchsorted(a.windows, h[hit]), len(a.windows) - 1)] == h[hit]]
     hit = hit[w.doc[hit] == w.doc[hit + a.window - 1]]
     for d in np.unique(w.doc[hit]).tolist():
-        i, j = w.offsets[d], w.offsets[d + 1]
-        base = int(w.batch.starts[d])
-        for x, y in a.covered(w.hashes[i:j].tolist()):
-            out[d].append((int(w.starts[i + x]) - base, int(w.ends[i + y]) - base))
+        out[d] = a.covered(w.hashes[w.offsets[d] : w.offsets[d + 1]].tolist())
     return out
 
 
+def union(found: Runs) -> Runs:
+    """Runs in order, those that overlap or touch as one."""
+    out: Runs = []
+    for a, z in sorted(found):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def spans(w: Words, found: list[Runs]) -> list[Runs]:
+    """Character spans of runs of words."""
+    return [[(int(w.starts[w.offsets[d] + x] - w.batch.starts[d]), int(w.ends[w.offsets[d] + y] - w.batch.starts[d])) for x, y in r] for d, r in enumerate(found)]
+
+
+def find(a: Automaton, texts: list[str]) -> list[Runs]:
+    """Character spans to remove from each text."""
+    w = Words(Batch(texts))
+    return spans(w, runs(a, w))
+
+
 def remove(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans, which are in order and apart."""
     if not spans:
@@ -185,49 +208,100 @@ def remove(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def collect_items(benchmark: DataFrame, most_benchmark_words: int = MOST_BENCHMARK_WORDS) -> list[str]:
-    """Texts of the benchmark, if they have at most so many words."""
-    items = benchmark.select("text").filter(F.col("text").isNotNull())
+def automata(benchmark: DataFrame, max_words: int, coverage: float, least_words: int, most_benchmark_words: int) -> Iterator[Automaton]:
+    """One automaton if the benchmark has at most so many words, else one for each group of items."""
+    items = benchmark.select("text").filter(F.col("text").isNotNull()).distinct()
     words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    if words > most_benchmark_words:
-        raise ValueError(f"the benchmark has {words} words; an automaton of at most {most_benchmark_words} is broadcast")
-    return sorted(r["text"] for r in items.distinct().collect())
+    if words <= most_benchmark_words:
+        yield build(sorted(r["text"] for r in items.collect()), max_words, coverage, least_words)
+        return
+    held, n = [], 0
+    for row in items.toLocalIterator():
+        size = len(row["text"].split())
+        if held and n + size > most_benchmark_words:
+            yield build(held, max_words, coverage, least_words)
+            held, n = [], 0
+        held.append(row["text"])
+        n += size
+    yield build(held, max_words, coverage, least_words)
+
+
+def _mapped(docs: DataFrame, benchmark: DataFrame, schema, emit, max_words: int, coverage: float, least_words: int, most_benchmark_words: int) -> DataFrame:
+    """docs, whose batches emit(batch, texts, spans, clean texts) turns into those of schema."""
+    spark = docs.sparkSession
+    columns, at = docs.columns, docs.columns.index("text")
+
+    def cleaned(batch: pa.RecordBatch, found: list[Runs] | None, a: Automaton | None) -> pa.RecordBatch:
+        texts = strings(batch.column(at))
+        taken: list[Runs] = []
+        for i, j in slices(texts):
+            part = [t or "" for t in texts[i:j]]
+            if a is not None:
+                taken += find(a, part)
+            elif any(found[i:j]):
+                taken += spans(Words(Batch(part)), found[i:j])
+            else:
+                taken += found[i:j]
+        return emit(batch, taken, [t if t is None else remove(t, s) for t, s in zip(texts, taken, strict=True)])
+
+    models = automata(benchmark, max_words, coverage, least_words, most_benchmark_words)
+    first, second = next(models), next(models, None)
+    if second is None:
+        shared = spark.sparkContext.broadcast(first)
+        return docs.mapInArrow(lambda batches: (cleaned(x, None, shared.value) for x in batches), schema)
+
+    def hits(a: Automaton) -> DataFrame:
+        shared = spark.sparkContext.broadcast(a)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = strings(batch.column(1))
+                for i, j in slices(texts):
+                    found = runs(shared.value, Words(Batch([t or "" for t in texts[i:j]])))
+                    some = [k for k, r in enumerate(found) if r]
+                    if some:
+                        key = pa.array([i + k for k in some])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(key), batch.column(2).take(key), pa.array([[{"a": x, "z": y} for x, y in found[k]] for k in some], pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], ["doc_id", "text_hash", "runs"])
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return cut(docs.select("doc_id", "text", text_key().alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, runs array<struct<a:int,z:int>>"))
+
+    every = hits(first).unionByName(hits(second))
+    for a in models:
+        every = every.unionByName(hits(a))
+    i, h, r = fresh("hit_id", docs), fresh("hit_hash", docs), fresh("hit_runs", docs)
+    merged = every.groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).agg(F.flatten(F.collect_set("runs")).alias(r))
+    joined = docs.join(merged, docs["doc_id"].eqNullSafe(F.col(i)) & (text_key() == F.col(h)), "left").select(*docs.columns, r)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [union([(x["a"], x["z"]) for x in row or []]) for row in batch.column(len(columns)).to_pylist()]
+            yield cleaned(batch.select(range(len(columns))), found, None)
+
+    return joined.mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, coverage: float = COVERAGE, least_words: int = LEAST_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, coverage: float = COVERAGE, least_words: int = LEAST_WORDS, most_benchmark_words: int = MOST_BENCHMARK_WORDS) -> DataFrame:
     """doc_id, contaminated, n_spans, removed_chars and the clean text of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(collect_items(benchmark), max_words, coverage, least_words))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, texts = batch.column(0), strings(batch.column(1))
-            for i, j in slices(texts):
-                spans = find(shared.value, [t or "" for t in texts[i:j]])
-                text = [t if t is None else remove(t, s) for t, s in zip(texts[i:j], spans, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [doc.slice(i, j - i), pa.array([bool(s) for s in spans]), pa.array([len(s) for s in spans], pa.int32()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array(text, pa.string())],
-                    ["doc_id", "contaminated", "n_spans", "removed_chars", "text"],
-                )
+    def emit(batch: pa.RecordBatch, found: list[Runs], text: list[str | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([bool(s) for s in found]), pa.array([len(s) for s in found], pa.int32()), pa.array([sum(b - a for a, b in s) for s in found], pa.int64()), pa.array(text, pa.string())],
+            ["doc_id", "contaminated", "n_spans", "removed_chars", "text"],
+        )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, contaminated boolean, n_spans int, removed_chars long, text string")
+    return _mapped(docs.select("doc_id", "text"), benchmark, f"doc_id {kind}, contaminated boolean, n_spans int, removed_chars long, text string", emit, max_words, coverage, least_words, most_benchmark_words)
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean_rows(docs: DataFrame, benchmark: DataFrame, most_benchmark_words: int = MOST_BENCHMARK_WORDS) -> DataFrame:
     """docs with clean texts, and n_chars to match; all other columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(collect_items(benchmark)))
     at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = strings(batch.column(at))
-            out: list[str | None] = []
-            for i, j in slices(texts):
-                spans = find(shared.value, [t or "" for t in texts[i:j]])
-                out += [t if t is None else remove(t, s) for t, s in zip(texts[i:j], spans, strict=True)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-
-    out = docs.mapInArrow(run, docs.schema)
+    def emit(batch: pa.RecordBatch, found: list[Runs], text: list[str | None]) -> pa.RecordBatch:
+        return batch.set_column(at, batch.schema.field(at), pa.array(text, batch.schema.field(at).type))
+
+    out = _mapped(docs, benchmark, docs.schema, emit, MAX_WORDS, COVERAGE, LEAST_WORDS, most_benchmark_words)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

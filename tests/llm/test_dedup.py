@@ -238,8 +238,18 @@ def test_decontamination_edges(spark):
     assert [rows[i]["text"] for i in range(5)] == [None, "", "x  y", "too short", "a b c d"]
     assert decontaminate.clean(df, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.clean(df.limit(0), bench).count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.collect_items(bench, 3)
+
+
+def test_decontamination_by_groups_of_items_is_the_same(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [x["text"].split() for x in bench.collect()]
+    joined = [" ".join(items[k] + items[k + 1]) for k in range(5)] + [None, "", " ".join(items[0])] * 2
+    docs = docs.unionByName(frame(spark, joined).select(F.col("doc_id").cast("long"), "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars")))
+    whole = sorted(decontaminate.clean(docs, bench).collect(), key=repr)
+    assert any(x["contaminated"] for x in whole)
+    assert sorted(decontaminate.clean(docs, bench, most_benchmark_words=300).collect(), key=repr) == whole
+    assert sorted(decontaminate.clean_rows(docs, bench, 300).collect(), key=repr) == sorted(decontaminate.clean_rows(docs, bench).collect(), key=repr)
 
 
 # ---- embeddings
