@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_queries, graph_queries, layout_queries, registry, retrieval_queries, text_queries, vector_queries  # noqa: F401
+from . import answer_queries, graph_queries, layout_queries, registry, retrieval_queries, stream_queries, text_queries, vector_queries  # noqa: F401
 
 
 flagship = retrieval_queries.flagship
