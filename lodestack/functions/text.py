@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 BLANK = " \n\t\r"
 CONFIG_SEPARATORS = ("\n\n", "\n", ".", "!", "?", ",", " ")
@@ -66,50 +68,40 @@ def ten_score(text: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), found.cast("double")))
 
 
-def separator(text: Column, separators: tuple[str, ...]) -> Column:
-    """The first separator that is empty or in the text; else the last one."""
-    out = F.lit(separators[-1])
-    for s in reversed(separators):
-        out = F.when(F.contains(text, F.lit(s)), F.lit(s)).otherwise(out) if s else F.lit("")
+def pack(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
+    """Chunks of one text, as greedy_pack gives them; pieces are only joined once a chunk is closed."""
+    sep = next((s for s in separators if s in text), separators[-1])  # an empty one is in every text
+    pieces = [p for p in (text.split(sep) if sep else text) if p]
+    wide = len(sep)
+    out, first, n = [], 0, 0
+    for i, p in enumerate(pieces):
+        if n + len(p) + wide > size and i > first:
+            out.append(sep.join(pieces[first:i]))
+            least, first, n = first, i, 0
+            while first > least and n + len(pieces[first - 1]) + wide <= overlap:
+                first -= 1
+                n += len(pieces[first]) + wide
+        n += len(p) + wide
+    if pieces:
+        out.append(sep.join(pieces[first:]))
     return out
 
 
 def greedy_pack(text: Column, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = CONFIG_SEPARATORS) -> Column:
     """Chunks of a text: split once at the chosen separator, pieces packed to `size` characters.
 
-    Each piece counts with one separator. When the next one doesn't fit, the chunk is closed and
-    its longest tail of at most `overlap` characters opens the next, to which the piece is added
-    whatever its length.
+    The separator is the first that is empty or in the text, else the last. Each piece counts with
+    one separator. When the next one doesn't fit, the chunk is closed and its longest tail of at most
+    `overlap` characters opens the next, to which the piece is added whatever its length. A null text
+    has no chunks (null). The fold runs on Arrow batches: as a chain of higher-order functions it is
+    interpreted and copies its state for each piece, which took ten times as long.
     """
-    sep = separator(text, separators)
-    wide = F.length(sep)
-    pieces = F.filter(F.split(text, F.concat(F.lit(r"\Q"), sep, F.lit(r"\E"))), lambda p: p != "")
 
-    def tail(cur: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else pack(t, size, overlap, separators) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-        def back(s: Column, p: Column) -> Column:
-            fits = s["open"] & (s["n"] + F.length(p) + wide <= overlap)
-            return F.struct(F.when(fits, F.concat(F.array(p), s["kept"])).otherwise(s["kept"]).alias("kept"), F.when(fits, s["n"] + F.length(p) + wide).otherwise(s["n"]).alias("n"), fits.alias("open"))
-
-        return F.aggregate(F.reverse(cur), start, back)
-
-    def step(s: Column, p: Column) -> Column:
-        n = F.length(p) + wide
-        full = (s["n"] + n > size) & (F.size(s["cur"]) > 0)
-        t = tail(s["cur"])
-        return F.when(
-            full,
-            F.struct(F.concat(s["chunks"], F.array(_join(s["cur"], sep))).alias("chunks"), F.concat(t["kept"], F.array(p)).alias("cur"), (t["n"] + n).alias("n")),
-        ).otherwise(F.struct(s["chunks"].alias("chunks"), F.concat(s["cur"], F.array(p)).alias("cur"), (s["n"] + n).alias("n")))
-
-    start = F.struct(F.array().cast("array<string>").alias("chunks"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
-    return F.aggregate(pieces, start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["chunks"], F.array(_join(s["cur"], sep)))).otherwise(s["chunks"]))
-
-
-def _join(parts: Column, sep: Column) -> Column:
-    """array_join with a separator that is an expression."""
-    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.element_at(parts, 1), lambda a, p: F.concat(a, sep, p))
+    return run(text)
 
 
 def sentence_pack(items: Column, size: int = 512) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def _d(v: Column) -> Column:
@@ -48,3 +53,28 @@ def hash_bucket(token: Column, dim: int = 64) -> Column:
 
 def hash_sign(token: Column) -> Column:
     return F.when(F.conv(F.substring(F.md5(token.cast("binary")), 9, 1), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
+
+
+def hash_vector(tokens: Column, dim: int = 64) -> Column:
+    """Unit vector of signed token hashes (hash_bucket, hash_sign); zeros without tokens or for null.
+
+    Arrow batches: each distinct token of a batch is hashed once, and sums are array operations; as
+    rows of tokens it would take two shuffles.
+    """
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def run(lists: pa.Array) -> pa.Array:
+        n = len(lists)
+        coded = lists.flatten().dictionary_encode()
+        digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
+        bucket = np.array([int(h[:8], 16) % dim for h in digests], np.int64)
+        sign = np.array([1.0 if int(h[8], 16) % 2 == 0 else -1.0 for h in digests])
+        which = coded.indices.to_numpy()
+        sizes = np.array(lists.value_lengths().fill_null(0))
+        row = np.repeat(np.arange(n), sizes)
+        w = np.bincount(row * dim + bucket[which], sign[which], n * dim).reshape(n, dim) if len(which) else np.zeros((n, dim))
+        length = np.sqrt((w * w).sum(1, keepdims=True))
+        w = w / np.where(length > 0, length, 1.0) + 0.0
+        return pa.FixedSizeListArray.from_arrays(pa.array(w.ravel()), dim).cast(pa.list_(pa.float64()))
+
+    return run(tokens)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from .vector import knn
 
 
 def cluster_count(n: int, most: int = 10) -> int:
@@ -14,9 +14,9 @@ def cluster_count(n: int, most: int = 10) -> int:
 
 
 def nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vec_id, cluster: nearest of the centroids (cluster, centroid), ties to the least; centroids are at most a level's cluster count."""
-    d = F.round(V.squared_l2(F.col("embedding"), F.col("centroid")), 9)
-    return vectors.select("vec_id", "embedding").crossJoin(centroids.select("cluster", "centroid")).groupBy("vec_id").agg(F.min(F.struct(d.alias("d"), F.col("cluster"))).alias("m")).select("vec_id", "m.cluster")
+    """vec_id, cluster: nearest of the centroids (cluster, centroid), ties to the least; distances are matrix products."""
+    store = centroids.select(F.col("cluster").alias("vec_id"), F.col("centroid").alias("embedding"))
+    return knn(vectors.select("vec_id", "embedding"), store, 1, "l2", digits=9).select(F.col("query_id").alias("vec_id"), F.col("id").cast("int").alias("cluster"))
 
 
 def recentre(vectors: DataFrame, assigned: DataFrame, centroids: DataFrame) -> DataFrame:

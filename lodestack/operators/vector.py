@@ -121,9 +121,5 @@ def ann(queries: DataFrame, store: DataFrame, k: int, lists: int = 16, probes: i
 
 
 def hash_embed(rows: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
-    """key and a unit vector of `dim` doubles from signed token hashes; a text without tokens gets zeros."""
-    tok = rows.select(key, F.explode(T.tokens(F.col(text))).alias("t"))
-    sums = tok.groupBy(key, V.hash_bucket(F.col("t"), dim).cast("int").alias("b")).agg(F.sum(V.hash_sign(F.col("t"))).alias("w"))
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_divide(F.element_at(F.col("m"), i), F.col("n")), F.lit(0.0)))
-    return rows.select(key).join(maps, key, "left").select(key, F.coalesce(vec, F.array_repeat(F.lit(0.0), dim)).alias("embedding"))
+    """key and a unit vector of `dim` doubles from signed token hashes; a text without tokens gets zeros. No shuffle."""
+    return rows.select(key, V.hash_vector(T.tokens(F.col(text)), dim).alias("embedding"))

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
 from ..operators import chunk, evaluate
-from ..operators.vector import hash_embed
 from ..sources.io import html_text
 from . import sqltext as S
 from .registry import query
@@ -87,9 +87,7 @@ seg AS (SELECT *, coalesce(sum(CASE WHEN round(similarity, 9) < round(threshold,
 
 
 def _embedded_sentences(spark, d):
-    rows = chunk.sentence_rows(_docs(spark, d)).withColumn("key", F.struct("doc_id", "pos"))
-    vec = hash_embed(rows.select("key", F.col("sentence").alias("text")), "key")
-    return rows.join(vec, "key").select("doc_id", "pos", "sentence", "embedding")
+    return chunk.sentence_rows(_docs(spark, d)).withColumn("embedding", V.hash_vector(T.tokens(F.col("sentence"))))
 
 
 @query("semantic_breakpoints", f"WITH {_EMBEDDED_SENTENCES} SELECT doc_id, pos::INTEGER AS pos, round(similarity, 6) AS similarity, round(threshold, 6) AS threshold, segment FROM seg")
@@ -110,8 +108,6 @@ def merge_small_chunks(spark, d):
 @query("late_pooling", f"""WITH tok AS (SELECT doc_id, (generate_subscripts(t, 1) - 1) AS pos, unnest(t) AS t FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents))
 SELECT doc_id, (pos // 64)::BIGINT AS chunk_index, round(avg(length(t)), 6) AS dim0, round(avg({S.bucket('t')}), 6) AS dim1, round(avg({S.sign('t')}), 6) AS dim2 FROM tok GROUP BY ALL""")
 def late_pooling(spark, d):
-    from ..functions import vectors as V
-
     tok = _docs(spark, d).select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "t"))
     vec = tok.select("doc_id", "pos", F.array(F.length("t").cast("double"), V.hash_bucket(F.col("t")).cast("double"), V.hash_sign(F.col("t"))).alias("embedding"))
     ranges = tok.groupBy("doc_id", F.floor(F.col("pos") / 64).cast("long").alias("chunk_index")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
