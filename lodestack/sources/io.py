@@ -17,7 +17,7 @@ IDENTIFIER = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
 def read_text(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("txt", "md"), recursive: bool = True) -> DataFrame:
     """id, content, source, filename, extension of whole text files; unreadable files are skipped, a missing path raises."""
     glob = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}"
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).text(path)
+    raw = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).text(path, wholetext=True)
     source = F.input_file_name()
     out = raw.select(F.col("value").alias("content"), source.alias("source"))
     out = out.withColumn("filename", F.regexp_extract("source", r"([^/]+)$", 1)).withColumn("extension", F.regexp_extract("filename", r"(\.[^.]+)$", 1))
@@ -110,7 +110,7 @@ PAPER = "struct<title:string,abstract:string,full_text:array<struct<section_name
 
 def load_qasper(spark: SparkSession, path: str) -> DataFrame:
     """paper_id, question_id, question, answer, answer_type, evidence: the first answer that isn't unanswerable; free form, else the first highlight, else ''."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", f"map<string,{PAPER}>")).alias("paper_id", "p"))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{PAPER}>")).alias("paper_id", "p"))
     qa = raw.select("paper_id", F.explode("p.qas").alias("q"))
     best = F.get(F.filter("q.answers", lambda a: a["type"] != "unanswerable"), F.lit(0))
     gold = F.coalesce(F.nullif(best["free_form_answer"], F.lit("")), F.get(best["highlighted_evidence"], F.lit(0)), F.lit(""))
@@ -119,7 +119,7 @@ def load_qasper(spark: SparkSession, path: str) -> DataFrame:
 
 def qasper_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """paper_id, ord, section, text of paragraphs that aren't blank."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", f"map<string,{PAPER}>")).alias("paper_id", "p"))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{PAPER}>")).alias("paper_id", "p"))
     sections = raw.select("paper_id", F.posexplode("p.full_text").alias("s", "x")).select("paper_id", "s", F.col("x.section_name").alias("section"), F.posexplode("x.paragraphs").alias("i", "text"))
     return sections.filter(F.trim("text") != "").select("paper_id", F.row_number().over(Window.partitionBy("paper_id").orderBy("s", "i")).alias("ord"), "section", "text")
 
