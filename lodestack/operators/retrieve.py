@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..providers import EmbeddingProvider, LLMProvider, Reranker
 from . import sparse
 from .vector import knn, top_k
@@ -71,13 +72,21 @@ def _judge(llm: LLMProvider, query: Column, content: Column, least: float) -> Co
     return F.coalesce(score >= least, F.lit(True))  # a failed judgement keeps the document
 
 
+def _judged(results: DataFrame, queries: DataFrame, chunks: DataFrame, llm: LLMProvider, least: float) -> DataFrame:
+    """query_id, id, rank, ok: whether any chunk of the content, all of it judged in chunks of about 1,000 characters, is worth `least`."""
+    pairs = content_of(results, chunks).join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
+    cut = pairs.select("query_id", "id", "rank", "_q", T.greedy_pack(F.col("content")).alias("_c"))
+    pieces = cut.select("query_id", "id", "rank", "_q", F.explode_outer(F.when(F.size("_c") == 0, F.array(F.lit(""))).otherwise(F.col("_c"))).alias("_c"))
+    judged = pieces.select("query_id", "id", "rank", _judge(llm, F.col("_q"), F.col("_c"), least).alias("ok"))
+    return judged.groupBy("query_id", "id", "rank").agg(F.bool_or("ok").alias("ok"))
+
+
 def self_reflective(queries: DataFrame, base: Retriever, chunks: DataFrame, llm: LLMProvider, k: int, needs: Column | None = None, least: float = 0.2, support: float | None = None) -> DataFrame:
-    """Queries that need retrieval get 2k results, of which the relevant (by their first 300 characters) and, if asked, supported (500) ones stay, cut to k."""
+    """Queries that need retrieval get 2k results, of which the relevant and, if asked, supported ones stay, cut to k."""
     asked = queries.filter(needs) if needs is not None else queries
-    got = content_of(base(asked, 2 * k), chunks).join(asked.select("query_id", F.col("text").alias("_q")), "query_id")
-    got = got.filter(_judge(llm, F.col("_q"), F.concat(F.substring("content", 1, 300), F.lit("...")), least))
+    got = _judged(base(asked, 2 * k).select("query_id", "id", "rank"), asked, chunks, llm, least).filter("ok")
     if support is not None:
-        got = got.filter(_judge(llm, F.col("_q"), F.substring("content", 1, 500), support))
+        got = _judged(got, asked, chunks, llm, support).filter("ok")
     w = Window.partitionBy("query_id").orderBy("rank")
     return got.withColumn("new_rank", F.row_number().over(w)).filter(F.col("new_rank") <= k).select("query_id", "id", F.col("new_rank").alias("rank"))
 
@@ -93,8 +102,7 @@ def corrective(queries: DataFrame, base: Retriever, chunks: DataFrame, llm: LLMP
     need = max(1, int(k * share))
     open_queries, done = queries.select("query_id", "text"), None
     for attempt in range(refinements + 1):
-        got = content_of(base(open_queries, k), chunks).join(open_queries.select("query_id", F.col("text").alias("_q")), "query_id")
-        judged = cut(got.withColumn("ok", _judge(llm, F.col("_q"), F.concat(F.substring("content", 1, 300), F.lit("...")), least)).select("query_id", "id", "rank", "ok"))
+        judged = cut(_judged(base(open_queries, k), open_queries, chunks, llm, least))
         per = judged.groupBy("query_id").agg(F.count(F.when(F.col("ok"), 1)).alias("n"))
         settled = per.filter(F.col("n") >= need) if attempt < refinements else per
         rows = judged.join(settled, "query_id").filter(F.col("ok") | (F.col("n") == 0))

@@ -161,6 +161,19 @@ def test_corrective_rounds(spark):
     assert {(r["query_id"], r["id"]) for r in good.collect()} == {(1, 1), (1, 2), (2, 3)}
 
 
+def test_judges_read_whole_documents(spark):
+    far = "Nothing of that kind here. " * 60 + "The zebra crossed a frozen river."
+    chunks = spark.createDataFrame([(1, far), (2, "A zebra. " + "Other things. " * 200), (3, "no match")], "id long, content string")
+    q = spark.createDataFrame([(1, "zebra crossed frozen river")], "query_id long, text string")
+    base = retrieve.keyword(chunks)
+    assert far.index("zebra") > 500
+    got = retrieve.self_reflective(q, base, chunks, ExtractiveLLM(), 2, least=0.9, support=0.9)
+    assert [(r["id"], r["rank"]) for r in got.collect()] == [(1, 1)]
+    lost = lambda text, attempt: F.lit("no match")
+    settled = retrieve.corrective(q, base, chunks, ExtractiveLLM(), 1, lost, least=0.9)
+    assert [r["id"] for r in settled.collect()] == [1]
+
+
 def test_rerank_ties_keep_order_and_compression_drops(spark):
     chunks, q, base = _texts(spark)
     got = retrieve.rerank(base(q, 3), q, chunks, LexicalReranker(), 1)
