@@ -91,3 +91,12 @@ def verified(contexts: DataFrame, queries: DataFrame, llm: LLMProvider, most: in
     out = rows.join(per, "query_id", "left")
     refined = llm.generate(F.when(F.col("checks").isNotNull(), prompt("answer", F.col("question"), F.concat_ws("\n\n", "context", "initial_answer", "checks"))))
     return out.select("query_id", "initial_answer", F.coalesce("n_questions", F.lit(0)).cast("long").alias("n_questions"), F.coalesce(refined, F.col("initial_answer")).alias("answer"))
+
+
+def questions(chunks: DataFrame, llm: LLMProvider, least: float = 7.0) -> DataFrame:
+    """doc_id, chunk_index, pos, question, score of the questions about each chunk (doc_id, chunk_index, content) that score `least` of 10 or more against the whole chunk."""
+    asked = llm.generate_json(prompt("questions", F.col("content")), "array<string>", 1)
+    made = chunks.select("doc_id", "chunk_index", "content", F.posexplode(asked).alias("pos", "question"))
+    score = llm.generate(prompt("score", F.col("question"), F.col("content"))).cast("double")
+    scored = made.select("doc_id", "chunk_index", "pos", "question", F.explode(F.array(F.round(score * 10, 4))).alias("score"))  # a filter moved below a plain column would ask the model twice
+    return scored.filter(F.col("score") >= least)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, generate, judge
+from ..operators import chunk, evaluate, generate, judge
 from ..providers import ExtractiveLLM, HashingEmbedder
 from . import retrieval_queries as R
 from . import sqltext as S
@@ -142,9 +142,7 @@ def boundaries_by_model(spark, d):
 
 @query("qa_generation")
 def qa_generation(spark, d):
-    """Questions for each document from a model, of which those with a good enough score stay."""
-    docs = table(spark, d, "documents").filter(F.length("text") >= 100).withColumn("head", F.substring("text", 1, 2000))
-    qs = ExtractiveLLM().generate_json(judge.prompt("questions", F.substring_index("head", ".", 1)), "array<string>", 1)
-    made = docs.select("doc_id", "head", F.posexplode(F.slice(qs, 1, 2)).alias("pos", "question"))
-    score = ExtractiveLLM().generate(judge.prompt("score", F.col("question"), F.col("head"))).cast("double")
-    return made.withColumn("score", F.round(score * 10, 4)).filter("score >= 7").select("doc_id", "pos", "question", "score")
+    """Questions for every chunk of each document from a model, of which all with a good enough score stay; pos counts a chunk's questions."""
+    docs = table(spark, d, "documents").filter(F.length("text") >= 100)
+    chunks = chunk.greedy(docs.select("doc_id", "text")).select(F.col("parent_id").alias("doc_id"), "chunk_index", "content")
+    return judge.questions(chunks, ExtractiveLLM())

@@ -336,6 +336,17 @@ def test_verified_answers(spark):
     assert judge.verified(c, q, ScriptedLLM({"^answer": "draft"})).first()["answer"] == "draft"
 
 
+def test_questions_reach_the_end_of_a_document(spark, tmp_path):
+    from lodestack.plans import catalog
+
+    text = "Plain words come first here. " * 100 + "The heron nests in old willow trees. " * 3
+    spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalog.queries()["qa_generation"](spark, str(tmp_path)).collect()
+    assert text.index("heron") > 2000 and any("heron" in r["question"] for r in rows)
+    assert {r["pos"] for r in rows} == {0, 1, 2} and {r["doc_id"] for r in rows} == {1}
+    assert {r["chunk_index"] for r in rows} == set(range(len(brute_pack(text, 1000, 200, T.CONFIG_SEPARATORS))))
+
+
 def test_json_is_asked_again(spark):
     llm = ScriptedLLM({"only valid JSON": "[1]", "x": "no"})
     assert one(spark, "x", lambda c: llm.generate_json(c, "array<int>")) == [1]
