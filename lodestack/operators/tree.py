@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .vector import knn
 
+PIECE = 8000
+
 
 def cluster_count(n: int, most: int = 10) -> int:
-    """Clusters for a level of n nodes."""
-    return min(most, max(2, n // 3))
+    """Clusters for a level of n nodes: a third of them, at most `most` or, on levels of more than most * most, the root of n."""
+    return min(max(most, isqrt(n)), max(2, n // 3))
 
 
 def nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def kmeans(vectors: DataFrame, k: int, rounds: int = 50) -> DataFrame:
 
 
 def build(leaves: DataFrame, summarise: Column, embed, levels: int = 3, most: int = 10) -> DataFrame:
-    """vec_id, level (0 for leaves), cluster, text, embedding of all nodes. summarise: over texts (array) of a cluster; embed: frame with vec_id, text -> with embedding."""
+    """vec_id, level (0 for leaves), cluster, text, embedding of all nodes. summarise: over texts (array) of a cluster, all its members in pieces of about PIECE characters; embed: frame with vec_id, text -> with embedding."""
     from ..plans.session import cut
 
     nodes = leaves.select("vec_id", F.lit(0).alias("level"), F.lit(None).cast("int").alias("cluster"), "text", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -55,7 +60,8 @@ def build(leaves: DataFrame, summarise: Column, embed, levels: int = 3, most: in
             break
         k = cluster_count(n, most)
         placed = level_nodes.drop("cluster").join(kmeans(level_nodes, k) if n > k else level_nodes.select("vec_id", (F.row_number().over(Window.orderBy("vec_id")) - 1).alias("cluster")), "vec_id")
-        texts = placed.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "text"))), lambda s: s["text"]).alias("texts"))
+        pieces = placed.select("cluster", "vec_id", F.posexplode_outer(T.greedy_pack(F.col("text"), PIECE, 0)).alias("pos", "text"))
+        texts = pieces.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "pos", "text"))), lambda s: s["text"]).alias("texts"))
         summaries = texts.select((-(F.lit(1_000_000) * level + F.col("cluster")) - 1).cast("long").alias("vec_id"), "cluster", summarise.alias("text"))
         embedded = embed(summaries.select("vec_id", "text")).select("vec_id", "embedding")
         level_nodes = cut(summaries.join(embedded, "vec_id").select("vec_id", F.lit(level).alias("level"), "cluster", "text", "embedding"))
@@ -64,8 +70,8 @@ def build(leaves: DataFrame, summarise: Column, embed, levels: int = 3, most: in
 
 
 def first_sentences(texts: Column) -> Column:
-    """What stands when no model summarises: the first sentences of the first three texts."""
-    return F.array_join(F.transform(F.slice(texts, 1, 3), lambda t: F.concat(F.substring_index(t, ".", 1), F.lit("."))), " ")
+    """What stands when no model summarises: the first sentence of every text."""
+    return F.array_join(F.transform(texts, lambda t: F.concat(F.substring_index(t, ".", 1), F.lit("."))), " ")
 
 
 def prefer_leaves(results: DataFrame, k: int) -> DataFrame:

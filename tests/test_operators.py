@@ -244,6 +244,17 @@ def test_kmeans_separates_two_blobs(spark):
     assert [tree.cluster_count(n) for n in (2, 9, 100)] == [2, 3, 10]
 
 
+def test_summaries_gather_all_members(spark):
+    texts = [f"Word{i} opens. More of it follows." for i in range(12)] + ["Filler goes on. " * 700 + "\n\nLatecomer ends it." + " Filler goes on." * 700]
+    rows = [(i, t, [float(i % 2), 1.0 - i % 2]) for i, t in enumerate(texts)]
+    leaves = spark.createDataFrame(rows, "vec_id long, text string, embedding array<double>")
+    embed = lambda df: df.select("vec_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    nodes = tree.build(leaves, tree.first_sentences(F.col("texts")), embed, levels=1).filter("level = 1").collect()
+    whole = " ".join(r["text"] for r in nodes)
+    assert all(f"Word{i} opens." in whole for i in range(12)) and "Latecomer ends it." in whole
+    assert [tree.cluster_count(n) for n in (100, 10_000, 1_000_000)] == [10, 100, 1000]
+
+
 # ---- layout
 
 
