@@ -197,6 +197,12 @@ def community_report(spark, d):
     return reports(spark, d)
 
 
+def detected(spark, d):
+    """node, community: by label propagation over all relations; an entity without relations is a community of its own."""
+    names = entities(spark, d).select(F.col("name").alias("node")).distinct()
+    return names.join(community_labels(spark, d), "node", "left").select("node", F.coalesce("community", "node").alias("community"))
+
+
 @query("community_score", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), dims AS (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM v) GROUP BY ALL),
 c AS (SELECT label AS community, list(x ORDER BY i) AS m FROM dims GROUP BY label)
 SELECT vec_id AS query_id, community, round(list_cosine_similarity(e, m) * (1.0::DOUBLE + community / 20.0::DOUBLE), 6) AS score FROM v CROSS JOIN c""")
@@ -209,13 +215,13 @@ def community_score(spark, d):
 
 @query("global_search")
 def global_search(spark, d):
-    """An answer reduced from the best communities' reports, then retrieved documents."""
+    """An answer reduced from all parts of the best detected communities' reports, then retrieved documents."""
     from ..providers import HashingEmbedder
 
     embedder = HashingEmbedder()
-    r = cut(reports(spark, d).select("community", "report"))
+    r = cut(graph.report_parts(cut(detected(spark, d)), merged(spark, d)))
     q = R.items(spark, d)
-    c = embedder.embed(r.select("community", F.col("report").alias("text")), "community").withColumn("rank", F.lit(0))
+    c = embedder.embed(graph.whole_reports(r).select("community", F.col("report").alias("text")), "community").withColumn("rank", F.lit(0))
     scored = graph.score_communities(embedder.embed(q, "query_id"), c)
     got = retrieve.content_of(R.sparse_retriever(spark, d)(q, 5), R.corpus(spark, d))
     return retrieve.global_answer(q, scored, r, got, ExtractiveLLM(), 5).select("query_id", "rank", "id", F.length("content").alias("n_chars"))

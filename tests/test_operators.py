@@ -234,6 +234,26 @@ def test_components_of_a_long_chain(spark):
     assert {r["community"] for r in got.collect()} == {"n000", "x"} and got.count() == 63
 
 
+def test_report_parts_hold_all_entities_and_relations(spark):
+    names = [f"name{i:02d}" for i in range(40)]
+    member = spark.createDataFrame([(n, "c") for n in names] + [("alone", "alone")], "node string, community string")
+    links = [(a, b, 1.0) for a, b in zip(names, names[1:])] + [(names[0], "alone", 1.0)]
+    parts = graph.report_parts(member, spark.createDataFrame(links, "source string, target string, weight double"), 200).collect()
+    text = " ".join(r["report"] for r in parts if r["community"] == "c")
+    assert all(n in text for n in names) and all(f"{a} - {b}" in text for a, b, _ in links[:-1])
+    assert max(len(r["report"]) for r in parts) <= 200 + 20 and [r["report"] for r in parts if r["community"] == "alone"] == ["alone"]
+    reports = graph.whole_reports(spark.createDataFrame(parts)).collect()
+    assert {r["community"] for r in reports} == {"c", "alone"}
+
+
+def test_global_search_reads_detected_communities(spark, sf):
+    from lodestack.plans import graph_queries as G
+
+    label = {r["node"]: r["community"] for r in G.detected(spark, sf).collect()}
+    assert set(label) == {r["name"] for r in G.entities(spark, sf).select("name").distinct().collect()}
+    assert any(c[0] != n[0] for n, c in label.items())
+
+
 # ---- tree
 
 
