@@ -116,14 +116,25 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def propagate_labels(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """node, community by synchronous label propagation over weighted edges (node, neighbour, weight); ties go to the least label."""
+def propagate_labels(edges: DataFrame, rounds: int | None = 5) -> DataFrame:
+    """node, community by synchronous label propagation over weighted edges (node, neighbour, weight); ties go to the least label.
+
+    rounds: None goes on until labels are those of an earlier round. Where they alternate in a
+    cycle, the labels of the cycle's first round to be met stand.
+    """
     labels = _cut(edges.select("node").distinct().withColumn("community", F.col("node")))
-    for _ in range(rounds):
+    seen: set[tuple] = set()
+    while rounds is None or rounds > 0:
+        rounds = rounds if rounds is None else rounds - 1
         votes = edges.join(labels.select(F.col("node").alias("neighbour"), "community"), "neighbour").groupBy("node", "community").agg(F.sum("weight").alias("w"))
         own = labels.select("node", "community", F.lit(0.5).alias("w"))
         every = votes.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w"))
         labels = _cut(every.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("s")).select("node", "s.community"))
+        if rounds is None:
+            now = tuple(labels.agg(F.expr("bit_xor(xxhash64(node, community))"), F.expr("sum(cast(xxhash64(community, node) AS decimal(20, 0)))")).first())
+            if now in seen:
+                break
+            seen.add(now)
     return labels
 
 

@@ -159,7 +159,7 @@ def community_labels(spark, d):
     """Communities by weighted label propagation."""
     r = merged(spark, d)
     both = r.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "weight").unionByName(r.select(F.col("target").alias("node"), F.col("source").alias("neighbour"), "weight"))
-    return graph.propagate_labels(cut(both))
+    return graph.propagate_labels(cut(both), None)
 
 
 _INSIDE = "inside AS (SELECT substr(source, 1, 1) AS community, source, target, weight FROM mrel WHERE substr(source, 1, 1) = substr(target, 1, 1))"

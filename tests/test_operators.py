@@ -228,6 +228,17 @@ def test_label_propagation_against_a_loop(spark):
     assert graph.modularity_levels(None, 1) == [1.0] and graph.modularity_levels(None, 3) == [0.5, 1.0, 1.5]
 
 
+def test_label_propagation_goes_on_until_labels_repeat(spark):
+    falling = [(f"n{i:02d}", f"n{i + 1:02d}", 20.0 - i) for i in range(12)]
+    both = falling + [(b, a, w) for a, b, w in falling]
+    df = spark.createDataFrame(both, "node string, neighbour string, weight double")
+    after = lambda rounds: {r["node"]: r["community"] for r in graph.propagate_labels(df, rounds).collect()}
+    done = after(None)
+    assert done != after(5) and done in (after(40), after(41))
+    pair = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "node string, neighbour string, weight double")
+    assert {r["node"] for r in graph.propagate_labels(pair, None).collect()} == {"a", "b"}
+
+
 def test_components_of_a_long_chain(spark):
     e = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y")]
     got = graph.components(graph.adjacency(spark.createDataFrame(e, "source string, target string")))
