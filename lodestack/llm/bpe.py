@@ -7,9 +7,10 @@ prefix before it is the one (two tokens are compatible if encoding their bytes t
 them apart, which walking down their merges decides). Following the back-pointers emits ids
 that are those of the merge procedure, in linear time.
 
-Pre-tokens (GPT-2's pattern) are cut by array expressions over code points, hashed, and made
-distinct by batch; only a worker's new ones are encoded, and their ids are gathered by document.
-One pass, no shuffle; the automaton is built once in a worker from the vocabulary file.
+Pre-tokens (GPT-2's pattern) are cut by array expressions over code points and made distinct by
+batch (by hash, then character by character); only a worker's new ones are encoded, and their ids
+are gathered by document. One pass, no shuffle; the driver reads the vocabulary file (a megabyte or
+so) and broadcasts it, and the automaton is built once in a worker.
 
 Defined results: null text -> null ids and null decoded text; empty text -> no ids, empty
 text. Repeated rows each get theirs. Columns beside doc_id and text are ignored.
@@ -20,20 +21,21 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import chunks, strings, table
-from .text import LETTER, MARK, NUMBER, OTHER, SPACE, UNDERSCORE, Batch, class_table, prefix_hash, span_hash
+from .text import MARK, OTHER, SPACE, UNDERSCORE, Batch, class_table, distinct_spans
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MOST_CACHED = 2_000_000
-_PAIRS_KEPT = 1 << 20
-_loaded: dict[str, "Bpe"] = {}
+#: Pre-tokens whose ids a worker remembers, and the longest of these; what is forgotten is encoded again.
+MOST_CACHED, LONGEST_CACHED = 200_000, 64
+_PAIRS_KEPT = 1 << 18
+_loaded: dict[str | bytes, "Bpe"] = {}
 _group = None
-CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 def _groups() -> np.ndarray:
@@ -108,7 +110,7 @@ class Bpe:
 
     def reset(self) -> None:
         """Forgets cached pre-tokens; results stay the same."""
-        self.keys, self.places = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.places: dict[str, int] = {}
         self.ids, self.ends = np.empty(1 << 16, np.int32), np.zeros(1, np.int64)
 
     def _splits(self) -> list[tuple[int, int]]:
@@ -189,10 +191,6 @@ class Bpe:
                     if left == limit:
                         return True
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        return self.encode_pieces([piece])[0]
-
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of sorted pre-tokens: the table of one serves the next as far as their prefix is shared."""
         goto, fail, suffixes, length, known, pair = self.goto, self.fail, self.suffixes, self.length, self.compatible, self._pair
@@ -248,30 +246,24 @@ class Bpe:
         s, e, offsets = pretokens(batch)
         if not len(s):
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        h = span_hash(prefix_hash(batch.codes), s, e)
-        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > MOST_CACHED:
+        first, which = distinct_spans(batch.codes, s, e)
+        if len(self.ends) > MOST_CACHED:
             self.reset()
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != keys[inside]
-        place = np.empty(len(keys), np.int64)
-        place[~new] = self.places[at[~new]]
-        if new.any():
-            text = "\n".join(texts)
-            which_new = np.flatnonzero(new)
-            pieces = sorted((text[a:b].encode("utf-8", "replace"), i) for i, a, b in zip(which_new.tolist(), s[first[which_new]].tolist(), e[first[which_new]].tolist(), strict=True))
-            got = self.encode_pieces([p for p, _ in pieces])
+        text = "\n".join(texts)
+        pieces = [text[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
+        place = np.array([self.places.get(p, -1) for p in pieces], np.int64)
+        if len(own := np.flatnonzero(place < 0)):
+            new = sorted((pieces[k].encode("utf-8", "replace"), k) for k in own.tolist())
+            got = self.encode_pieces([p for p, _ in new])
             flat = np.fromiter(chain.from_iterable(got), np.int32)
             used = int(self.ends[-1])
             if used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(flat)), np.int32)])
+                self.ids = np.concatenate([self.ids[:used], np.empty(max(used, len(flat)), np.int32)])
             self.ids[used : used + len(flat)] = flat
-            place[[i for _, i in pieces]] = np.arange(len(got)) + len(self.ends) - 1
+            at = len(self.ends) - 1
+            place[[k for _, k in new]] = np.arange(at, at + len(new))
+            self.places.update((pieces[k], at + i) for i, (_, k) in enumerate(new) if len(pieces[k]) <= LONGEST_CACHED)
             self.ends = np.concatenate([self.ends, used + np.cumsum(np.fromiter(map(len, got), np.int64))])
-            self.keys = np.insert(self.keys, at[new], keys[new])
-            self.places = np.insert(self.places, at[new], place[new])
         bound = self.ends
         begin, count = bound[place], bound[place + 1] - bound[place]
         n = count[which]
@@ -305,26 +297,29 @@ class Bpe:
             return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(where[:-1], where[1:], strict=True)], pa.string())
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def read_ranks(source: str | bytes) -> dict[bytes, int]:
+    """Ranks of a file, given by its path or content."""
+    data = source if isinstance(source, bytes) else Path(source).read_bytes()
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
-def load(path: str) -> Bpe:
+def load(source: str | bytes) -> Bpe:
     """The vocabulary of a file of ranks, once in a worker."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(read_ranks(path))
-    return _loaded[path]
+    if source not in _loaded:
+        _loaded.clear()
+        _loaded[source] = Bpe(read_ranks(source))
+    return _loaded[source]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, ids (of the whole text), n_tokens and decoded (the text that the ids give back)."""
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
+        bpe = load(shared.value)
         for batch in batches:
             doc, texts = batch.column(0), strings(batch.column(1))
-            for i, part in chunks(texts, 1 << 20):
+            for i, part in chunks(texts):
                 ids, offsets = bpe.encode_batch(part)
                 none = np.array([t is None for t in texts[i : i + len(part)]])
                 values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(none))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, fresh, strings, table, text_key
-from .text import Batch, Words, mix, prefix_hash, span_hash, window_hash
+from .text import Batch, Words, mix, span_hash, window_hash
 
 SHINGLE = 3
 BINS = 128
@@ -52,7 +52,7 @@ def signatures(texts: list[str]) -> np.ndarray:
     if len(none := np.flatnonzero(counts == 0)):
         b = w.batch
         doc.append(none)
-        shingle.append(span_hash(prefix_hash(b.codes), b.starts[none], b.starts[none] + b.lengths[none]))
+        shingle.append(span_hash(b.codes, b.starts[none], b.starts[none] + b.lengths[none]))
     doc, h = np.concatenate(doc), mix(np.concatenate(shingle))
     bins = (h >> np.uint64(57)).astype(np.int64)
     value = h & np.uint64((1 << 57) - 1)

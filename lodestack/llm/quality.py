@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, strings, table
-from .text import LETTER, NUMBER, OTHER, SPACE, Batch, Words, class_table, lower_table, prefix_hash, span_hash, window_hash, word_table
+from .text import LETTER, NUMBER, OTHER, SPACE, Batch, Words, class_table, lower_table, span_hash, window_hash, word_table
 
 MAX_TRAIN_DOCS = 10_000
 TREES, DEPTH, BINS, RATE, RIDGE = 60, 4, 64, 0.15, 1.0
@@ -72,7 +72,7 @@ def statistics(texts: list[str]) -> np.ndarray:
         share(g == LETTER), share(g == NUMBER), share(g == SPACE), share(other), share(lower_table()[c] != c),
         tokens / np.maximum(lines, 1), np.bincount(solid.doc, ending, n) / some,
         _distinct(w.doc, w.hashes, n) / many, _distinct(w.doc[at], triples[at], n) / np.maximum(words - 2, 1),
-        _distinct(ldoc, span_hash(prefix_hash(c), ls, le), n) / np.maximum(lines, 1), share(c == ord("|")), share(other) * b.lengths / some,
+        _distinct(ldoc, span_hash(c, ls, le), n) / np.maximum(lines, 1), share(c == ord("|")), share(other) * b.lengths / some,
     ]
     return np.stack(out, 1)
 

@@ -104,16 +104,75 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span, equal for equal contents at any place."""
-    h = prefix[ends] - prefix[starts]
-    h *= powers(len(prefix))[1][starts]
-    h += (ends - starts).astype(np.uint64)
-    return mix(h)
+def _portions(lengths: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive spans that have about `most` characters together."""
+    total = np.cumsum(lengths)
+    i = done = 0
+    while i < len(lengths):
+        j = max(i + 1, int(np.searchsorted(total, done + most, "right")))
+        yield i, j
+        i, done = j, int(total[j - 1])
+
+
+def span_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of every span, equal for equal contents at any place.
+
+    The sum over a span's characters of a mixed (character, place in the span): not a polynomial,
+    whose values modulo 2**64 repeat for long texts of a regular build.
+    """
+    out = np.empty(len(starts), np.uint64)
+    lengths = ends - starts
+    for i, j in _portions(lengths):
+        n = lengths[i:j]
+        total = np.cumsum(n)
+        place = np.arange(total[-1])
+        place -= np.repeat(total - n, n)
+        v = codes[place + np.repeat(starts[i:j], n)].astype(np.uint64)
+        v |= place.view(np.uint64) << np.uint64(21)
+        v *= _C1
+        v ^= v >> np.uint64(32)
+        v *= _C2
+        v ^= v >> np.uint64(29)
+        v *= _C3
+        sums = np.zeros(len(v) + 1, np.uint64)
+        np.cumsum(v, out=sums[1:])
+        out[i:j] = sums[total] - sums[total - n]
+    out += lengths.astype(np.uint64)
+    return mix(out)
+
+
+def same_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the characters of the span whose index `other` gives."""
+    lengths = ends - starts
+    same = lengths == lengths[other]
+    pairs = np.flatnonzero(same & (other != np.arange(len(other))))
+    for i, j in _portions(lengths[pairs]):
+        k = pairs[i:j]
+        n = lengths[k]
+        total = np.cumsum(n)
+        at = np.arange(total[-1])
+        at += np.repeat(starts[k] - (total - n), n)
+        differ = np.flatnonzero(codes[at] != codes[at + np.repeat(starts[other[k]] - starts[k], n)])
+        same[k[np.searchsorted(total, differ, "right")]] = False
+    return same
+
+
+def distinct_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of a first span of each distinct content, and for every span which of these it equals.
+
+    Spans are grouped by hash and then compared with their group's first; one that differs stands for itself.
+    """
+    _, first, which = np.unique(span_hash(codes, starts, ends), return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_spans(codes, starts, ends, first[which]))
+    which[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate([first, odd]), which
 
 
 def window_hash(hashes: np.ndarray, k: int, prefix: np.ndarray | None = None) -> np.ndarray:
-    """Hash of every window of k consecutive word hashes: len(hashes) - k + 1 values (none if shorter)."""
+    """Hash of every window of k consecutive word hashes: len(hashes) - k + 1 values (none if shorter).
+
+    A polynomial, as the values are well mixed hashes and k is small.
+    """
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -156,7 +215,7 @@ class Words:
         self.batch = batch
         self.starts, self.ends = batch.runs(solid_table() if exact else word_table())
         codes = batch.codes if exact else lower_table()[batch.codes]
-        self.hashes = span_hash(prefix_hash(codes), self.starts, self.ends)
+        self.hashes = span_hash(codes, self.starts, self.ends)
         self.offsets = batch.by_doc(self.starts)
         self.doc = np.repeat(np.arange(len(batch.texts)), np.diff(self.offsets))
 
@@ -177,4 +236,4 @@ def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
 def word_hash(word: str) -> int:
     """The hash that Words gives a single lower-case word."""
     b = Batch([word])
-    return int(span_hash(prefix_hash(lower_table()[b.codes]), np.array([0]), np.array([len(word)]))[0])
+    return int(span_hash(lower_table()[b.codes], np.array([0]), np.array([len(word)]))[0])

@@ -9,10 +9,10 @@ Distinct pre-tokens (spaces and what follows them) go into a trie. Each node kee
 forward score of its prefix and that segmentation's number of pieces, computed once however
 many pre-tokens share the prefix; pieces that end at a node come from a suffix-matching
 automaton whose state the node keeps too. Terminal counts are looked up for all occurrences at
-once. No piece crosses a pre-token's border, so the sum is the count of the whole text's best
+once (pre-tokens are grouped by hash, then compared by character). No piece crosses a pre-token's border, so the sum is the count of the whole text's best
 segmentation. Equal scores: the fewer pieces.
 
-One pass, no shuffle. Defined results: null text -> null; empty text -> 0. Every row gets a
+One pass, no shuffle; the driver reads the model file (under a megabyte) and broadcasts it. Defined results: null text -> null; empty text -> 0. Every row gets a
 row, repeated ones too; columns beside doc_id and text are ignored.
 """
 
@@ -20,19 +20,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import chunks, strings, table
-from .text import Batch, prefix_hash, span_hash
+from .text import Batch, distinct_spans
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_NODES = 500_000
-MOST_CACHED = 2_000_000
+#: Nodes of the trie and pre-tokens (and the longest of these) that a worker remembers; what is forgotten is scored again.
+MOST_NODES = 300_000
+MOST_CACHED, LONGEST_CACHED = 300_000, 64
 SPACE_MARK = "▁"
-_loaded: dict[str, "Unigram"] = {}
+_loaded: dict[str | bytes, "Unigram"] = {}
 
 
 class Unigram:
@@ -42,7 +44,7 @@ class Unigram:
         self.scores = scores
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self._automaton()
-        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.counts: dict[str, int] = {}
         self._new_trie()
 
     def _new_trie(self) -> None:
@@ -135,37 +137,33 @@ class Unigram:
         start = mark.copy()
         start[1:] &= ~mark[:-1]
         s = np.flatnonzero(start)
-        first = batch.starts[batch.lengths > 0]
-        s = np.union1d(s, first)
+        begin = batch.starts[batch.lengths > 0]
+        s = np.union1d(s, begin)
         offsets = batch.by_doc(s)
         e = np.append(s[1:], len(c))
         last = offsets[1:][batch.lengths > 0] - 1
-        e[last] = first + batch.lengths[batch.lengths > 0]
-        h = span_hash(prefix_hash(c), s, e)
-        keys, where, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > MOST_CACHED:
-            self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != keys[inside]
-        n = np.empty(len(keys), np.int64)
-        n[~new] = self.counts[at[~new]]
-        if new.any():
-            text, own = "\n".join(shown), np.flatnonzero(new)
-            words = sorted((text[a:b], i) for i, a, b in zip(own.tolist(), s[where[own]].tolist(), e[where[own]].tolist(), strict=True))
-            n[[i for _, i in words]] = self.insert([w for w, _ in words])
-            self.keys = np.insert(self.keys, at[new], keys[new])
-            self.counts = np.insert(self.counts, at[new], n[new])
+        e[last] = begin + batch.lengths[batch.lengths > 0]
+        first, which = distinct_spans(c, s, e)
+        if len(self.counts) > MOST_CACHED:
+            self.counts = {}
+        text = "\n".join(shown)
+        words = [text[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
+        n = np.array([self.counts.get(w, -1) for w in words], np.int64)
+        if len(own := np.flatnonzero(n < 0)):
+            new = sorted((words[k], k) for k in own.tolist())
+            got = self.insert([w for w, _ in new])
+            n[[k for _, k in new]] = got
+            self.counts.update((w, m) for (w, _), m in zip(new, got, strict=True) if len(w) <= LONGEST_CACHED)
         total = np.concatenate([[0], np.cumsum(n[which])])
         return np.diff(total[offsets])
 
 
-def read_pieces(path: str) -> dict[str, float]:
-    """Pieces of a SentencePiece file with their Zipf scores; a piece with a space mark after another character is left out."""
+def read_pieces(source: str | bytes) -> dict[str, float]:
+    """Pieces of a SentencePiece file (path or content) with their Zipf scores; a piece with a space mark after another character is left out."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    data = source if isinstance(source, bytes) else Path(source).read_bytes()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
     out: dict[str, float] = {}
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
@@ -175,17 +173,19 @@ def read_pieces(path: str) -> dict[str, float]:
     return out
 
 
-def load(path: str) -> Unigram:
-    if path not in _loaded:
-        _loaded[path] = Unigram(read_pieces(path))
-    return _loaded[path]
+def load(source: str | bytes) -> Unigram:
+    if source not in _loaded:
+        _loaded.clear()
+        _loaded[source] = Unigram(read_pieces(source))
+    return _loaded[source]
 
 
 def count_tokens(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and n_tokens for every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigram = load(model)
+        unigram = load(shared.value)
         for batch in batches:
             doc, texts = batch.column(0), strings(batch.column(1))
             for i, part in chunks(texts):
