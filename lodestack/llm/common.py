@@ -48,6 +48,25 @@ def text_key(text: str = "text") -> F.Column:
     return F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text)))
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a column of long numbers in the order of `column`, null for null: whole numbers as they are, values of other kinds by rank.
+
+    Ranks cost a sort of the distinct values and a join; only a count for each partition comes to the driver.
+    """
+    if df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return df.withColumn(name, F.col(column).cast("long"))
+    v, part, place = fresh("value", df), fresh("part", df), fresh("place", df)
+    values = df.select(F.col(column).alias(v)).filter(F.col(v).isNotNull()).distinct().repartitionByRange(v).sortWithinPartitions(v)
+    values = cut(values.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    total, before = 0, []
+    for k, n in sorted(tuple(r) for r in values.groupBy(part).count().collect()):
+        before.append((k, total))
+        total += n
+    base = df.sparkSession.createDataFrame(before, f"{part} int, _base long")
+    ranks = values.join(F.broadcast(base), part).select(v, (F.col("_base") + F.col(place)).alias(name))
+    return df.join(ranks, df[column] == ranks[v], "left").drop(v)
+
+
 def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     from .text import slices
 

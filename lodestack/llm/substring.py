@@ -1,48 +1,58 @@
 """Substring dedup: exact repeats of MIN_WORDS words or more, found from fixed-block anchors.
 
-A text is its words (maximal runs without white space, compared exactly). The reference index
-holds every non-overlapping block of BLOCK words (at multiples of BLOCK in its document). Every
-rolling window of BLOCK words of every document probes it. As 2 * BLOCK - 1 <= MIN_WORDS, a
-repeat of MIN_WORDS words contains a whole reference block of each of its occurrences, so that
-each occurrence has a window that hits a block of another, at any alignment. Hits are then
-extended: the MIN_WORDS-word windows around a hit are compared exactly (by 64-bit hash) with
-all others of the corpus, and runs of repeated ones join to maximal repeats. The first
-occurrence, by (doc_id, place), stays; the words of later ones are removed.
-
-How it runs. The index that windows probe is a Bloom filter of fixed size (one of the hashes that
-blocks have, one of those that two blocks have), which is what is broadcast; however full it
-gets at larger corpora, it only lets more windows through to the exact comparison, never
-fewer, and changes no result. With a full filter every window is shuffled, some 10 bytes each. Hashes travel in blobs, one row for each range of hashes and batch of
-documents, so that a shuffle moves few rows and about 10 bytes a window; ranges are in
-proportion to spark.sql.shuffle.partitions. Comparison is linear: each window meets the first
-place of its hash, never all pairs. Documents then join their spans by (doc_id, text hash).
+A text is its words (maximal runs without white space). The reference index holds every
+non-overlapping block of BLOCK words (at multiples of BLOCK in its document). Every rolling
+window of BLOCK words of every document probes it. As 2 * BLOCK - 1 <= MIN_WORDS, a repeat of
+MIN_WORDS words contains a whole reference block of each of its occurrences, so that each
+occurrence has a window that hits a block of another, at any alignment. Hits are then extended
+to the MIN_WORDS-word windows around them, which are compared with all others of the corpus,
+and runs of repeated ones join to maximal repeats. The first occurrence, by (doc_id, place),
+stays; the words of later ones are removed. Windows are compared by 96 bits of two independent
+hashes: 1.6e13 windows (100 TB) are expected to have 0.002 pairs that differ and compare equal.
+
+How it runs. Hashes travel in blobs, one row for each range of hashes and batch of documents, so
+that a shuffle moves few rows and 10 to 15 bytes a window. The number of ranges follows the bytes
+of text (RANGE_BYTES a range), so that a range always fits a Python worker; beyond COARSE ranges
+blobs are split in two rounds. Windows that repeat within a batch are settled there and only the
+first goes on, so that a passage which a third of all documents have is one entry a batch.
+The index is a Bloom filter with FILTER_SHARE bits a block; one of at most 2**MOST_FILTER_BITS bits is
+broadcast (64 MB with that of repeated blocks). A larger index stays in its ranges: all rolling windows go to
+the range of their hash, are probed there, and the hits are joined to the documents. Either way
+gives the same result. Documents join their spans by (doc_id, text hash).
 
 Defined results: null text stays null, empty stays empty; texts under MIN_WORDS words are left
 alone. Rows equal in doc_id and text are the same document and are treated alike. A null
-doc_id comes first in the order. A text that is removed whole stays as a row, with
-what is around its words. Repeats within a document count too. White space between removed
-words goes, that around them stays.
+doc_id comes first in the order; doc_ids may be of any kind that has an order. A text that is
+removed whole stays as a row, with what is around its words. Repeats within a document count too.
+White space between removed words goes, that around them stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fresh, shuffle_parts, strings, table, text_key
-from .text import Batch, Words, prefix_hash, window_hash
+from .common import chunks, cut, fresh, numbered, power_of_two, strings, table, text_key
+from .text import RADIX_2, Batch, Words, mix, prefix_hash, window_hash
 
 BLOCK = 25
 MIN_WORDS = 50
-FILTER_BITS = 28
+RANGE_BYTES = 4 << 20
+COARSE = 1 << 14
+FILTER_SHARE, MOST_FILTER_BITS = 8, 28
 PROBES = 3
+HELD = 1 << 20
+DOC = np.dtype([("some", "u1"), ("id", "<i8"), ("key", "<i8")])
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_NULL_ID = -(1 << 63)
+Blob = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+# ---- blobs: windows (hash, second hash, document, place) and their documents
 
 
 def _plane(a: np.ndarray) -> bytes:
@@ -55,25 +65,206 @@ def _unplane(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _ranges(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by range of hashes, and the bounds of each range."""
-    bits = parts.bit_length() - 1
-    part = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(hashes), np.uint16)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+def _pack(h: np.ndarray, g: np.ndarray, docs: np.ndarray, which: np.ndarray, p: np.ndarray) -> bytes:
+    """g may be empty, and docs, which and p together."""
+    own, which = np.unique(which, return_inverse=True)
+    parts = [h.tobytes(), g.tobytes(), docs[own].tobytes(), _plane(which.astype(np.uint32)), _plane(p.astype(np.uint32))]
+    return np.array([len(h), len(g), len(own)], np.int64).tobytes() + b"".join(parts)
+
+
+def _unpack(b: bytes) -> Blob:
+    n, k, m = np.frombuffer(b, np.int64, 3).tolist()
+    h = np.frombuffer(b, np.uint64, n, 24)
+    at = 24 + 8 * n
+    g = np.frombuffer(b, np.uint32, k, at)
+    at += 4 * k
+    docs = np.frombuffer(b, DOC, m, at)
+    at += DOC.itemsize * m
+    half = (len(b) - at) // 2
+    return h, g, docs, _unplane(b[at : at + half], np.uint32).astype(np.int64), _unplane(b[at + half :], np.uint32)
+
+
+def _merge(blobs: list[Blob]) -> Blob:
+    h, g, docs, which, p = ([b[k] for b in blobs] for k in range(5))
+    base = np.cumsum([0, *map(len, docs[:-1])])
+    return np.concatenate(h), np.concatenate(g), np.concatenate(docs), np.concatenate([w + n for w, n in zip(which, base.tolist(), strict=True)]), np.concatenate(p)
+
+
+def _in_order(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct documents in order, and the rank of each in them."""
+    order = np.lexsort((docs["key"], docs["id"], docs["some"]))
+    s = docs[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    rank = np.empty(len(s), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return s[new], rank
+
+
+def _split(h: np.ndarray, g: np.ndarray, docs: np.ndarray, which: np.ndarray, p: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Blobs by range of hashes, of windows in the order of their hashes."""
+    if not len(h):
+        return
+    part = (h >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64) if parts > 1 else np.zeros(len(h), np.int64)
+    bound = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(h)).tolist()
+    for a, b in zip(bound[:-1], bound[1:], strict=True):
+        yield int(part[a]), _pack(h[a:b], g[a:b], docs, which[a:b], p[a:b])
+
+
+def _firsts(h: np.ndarray, g: np.ndarray, docs: np.ndarray, which: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct pair of hashes the first place, in the order of hashes, and all other places: h, g, documents, first, later (places are rank of document << 32 | word)."""
+    docs, rank = _in_order(docs)
+    place = rank[which] << 32 | p.astype(np.int64)
+    order = np.argsort(h)
+    h, place = h[order], place[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    if len(g):
+        g = g[order]
+        if (~new[1:] & (g[1:] != g[:-1])).any():  # first hashes collide
+            order = np.lexsort((g, h))
+            h, g, place = h[order], g[order], place[order]
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    start = np.flatnonzero(new)
+    least = np.minimum.reduceat(place, start) if len(start) else place
+    later = np.unique(place[place != np.repeat(least, np.diff(np.append(start, len(h))))])
+    return h[start], g[start] if len(g) else g, docs, least, later
+
+
+def _places(docs: np.ndarray, places: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """Blobs, by range of documents, of sorted places: documents, counts, and differences from the place before."""
+    own, count = np.unique(places >> 32, return_counts=True)
+    p = places & 0xFFFFFFFF
+    first = np.cumsum(count) - count
+    step = np.diff(p, prepend=0)
+    step[first] = p[first]
+    docs = docs[own]
+    to = (mix(docs["id"].view(np.uint64) * _ODD[0] ^ docs["key"].view(np.uint64)) & np.uint64(groups - 1)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    bound = np.append(np.flatnonzero(np.diff(to[order], prepend=-1)), len(to)).tolist()
+    for a, b in zip(bound[:-1], bound[1:], strict=True):
+        k = order[a:b]
+        n = count[k]
+        at = np.arange(n.sum()) + np.repeat(first[k] - (np.cumsum(n) - n), n)
+        yield int(to[k[0]]), np.array([b - a], np.int64).tobytes() + docs[k].tobytes() + n.astype(np.uint32).tobytes() + _plane(step[at].astype(np.uint32))
+
+
+def _unplaces(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents in order and all places, sorted and distinct."""
+    docs, doc, p, n = [], [], [], 0
+    for b in blobs:
+        m = int(np.frombuffer(b, np.int64, 1)[0])
+        docs.append(np.frombuffer(b, DOC, m, 8))
+        at = 8 + DOC.itemsize * m
+        count = np.frombuffer(b, np.uint32, m, at).astype(np.int64)
+        total = np.cumsum(_unplane(b[at + 4 * m :], np.uint32).astype(np.int64))
+        first = np.cumsum(count) - count
+        p.append(total - np.repeat(np.where(first > 0, total[first - 1], 0), count))
+        doc.append(np.repeat(np.arange(m) + n, count))
+        n += m
+    merged, rank = _in_order(np.concatenate(docs))
+    return merged, np.unique(rank[np.concatenate(doc)] << 32 | np.concatenate(p))
+
+
+def _rows(rows: Iterator[tuple[int, bytes]], base: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows (part, blob) in batches of a bounded size."""
+    held, size = [], 0
+    for k, b in rows:
+        held.append((k + base, b))
+        size += len(b)
+        if size > 8 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.int64()), pa.array([x for _, x in held], pa.binary())], ["part", "blob"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.int64()), pa.array([x for _, x in held], pa.binary())], ["part", "blob"])
+
+
+class _Held:
+    """Windows of a task; those that repeat within a batch of HELD are settled, the first ones go to their ranges."""
+
+    def __init__(self, parts: int, coarse: int, groups: int):
+        self.parts, self.coarse, self.groups, self.blobs, self.n = parts, coarse, groups, [], 0
+
+    def add(self, h: np.ndarray, g: np.ndarray, docs: np.ndarray, which: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.blobs.append((h, g, docs, which, p))
+        self.n += len(h)
+        if self.n >= HELD:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            h, g, docs, first, later = _firsts(*_merge(self.blobs))
+            self.blobs, self.n = [], 0
+            yield from _rows(_split(h, g, docs, first >> 32, first & 0xFFFFFFFF, self.coarse))
+            if len(later):
+                yield from _rows(_places(docs, later, self.groups), self.parts)
+
+
+def _documents(ids: pa.Array, keys: pa.Array) -> np.ndarray:
+    out = np.zeros(len(ids), DOC)
+    out["some"] = ids.is_valid().to_numpy(zero_copy_only=False)
+    out["id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    out["key"] = keys.fill_null(0).to_numpy(zero_copy_only=False)
+    return out
+
+
+# ---- ranges
+
+
+class Ranges:
+    """How many ranges of hashes and of documents there are (powers of two), from the bytes of text."""
+
+    def __init__(self, n_bytes: int, range_bytes: int = RANGE_BYTES, coarse: int = COARSE):
+        self.parts = self.groups = power_of_two(max(1, n_bytes // range_bytes))
+        self.coarse = min(self.parts, coarse)
+
+    def refined(self, blobs: DataFrame) -> DataFrame:
+        """Rows (part, blob) by range; those of coarse ranges are split by a second round."""
+        coarse, parts = self.coarse, self.parts
+        if coarse == parts:
+            return blobs
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[Blob] = []
+            now = -1
 
+            def out() -> Iterator[pa.RecordBatch]:
+                if held:
+                    h, g, docs, which, p = _merge(held)
+                    held.clear()
+                    order = np.argsort(h)
+                    yield from _rows(_split(h[order], g[order] if len(g) else g, docs, which[order] if len(p) else which, p[order] if len(p) else p, parts))
 
-def _blocks(parts: int, block: int):
+            for batch in batches:
+                for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if k >= parts:
+                        yield from _rows(iter([(k, b)]))
+                        continue
+                    if k != now or sum(len(x[0]) for x in held) >= HELD:
+                        yield from out()
+                        now = k
+                    held.append(_unpack(b))
+            yield from out()
+
+        return blobs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part long, blob binary")
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+
+# ---- the index
+
+
+def _blocks(coarse: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        none = np.empty(0, np.int64)
 
         def out() -> Iterator[pa.RecordBatch]:
-            h = np.concatenate(held)
+            h = np.sort(np.concatenate(held))
             held.clear()
-            order, bound = _ranges(h, parts)
-            h = h[order]
-            some = [k for k in range(parts) if bound[k] < bound[k + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([h[bound[k] : bound[k + 1]].tobytes() for k in some], pa.binary())], ["part", "hashes"])
+            yield from _rows(_split(h, np.empty(0, np.uint32), np.empty(0, DOC), none, none, coarse))
 
         for batch in batches:
             for _, part in chunks(strings(batch.column(0))):
@@ -83,7 +274,7 @@ def _blocks(parts: int, block: int):
                 at = at[at + block <= w.offsets[w.doc[at] + 1]]
                 if len(at):
                     held.append(window_hash(w.hashes, block)[at])
-            if sum(map(len, held)) > 1 << 20:
+            if sum(map(len, held)) > HELD:
                 yield from out()
         if held:
             yield from out()
@@ -91,6 +282,11 @@ def _blocks(parts: int, block: int):
     return run
 
 
+def blocks(docs: DataFrame, ranges: Ranges, block: int = BLOCK) -> DataFrame:
+    """part, blob: hashes of the reference blocks."""
+    return ranges.refined(docs.select("text").mapInArrow(_blocks(ranges.coarse, block), "part long, blob binary"))
+
+
 def _slots(hashes: np.ndarray, parts: int, filter_bits: int) -> Iterator[np.ndarray]:
     """The PROBES slots of each hash, all in the segment of its range."""
     own = np.uint64(filter_bits - (parts.bit_length() - 1))
@@ -104,25 +300,23 @@ def _segment(parts: int, filter_bits: int):
     own = filter_bits - (parts.bit_length() - 1)
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        h = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]))
+        h = np.sort(np.concatenate([_unpack(x)[0] for x in t.column("blob").to_pylist()]))
         maps = []
         for some in (h, h[1:][h[1:] == h[:-1]]):
             bits = np.zeros(1 << own, bool)
             for slot in _slots(some, parts, filter_bits):
                 bits[slot & ((1 << own) - 1)] = True
             maps.append(np.packbits(bits).tobytes())
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "present": pa.array([maps[0]], pa.binary()), "twice": pa.array([maps[1]], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "present": pa.array([maps[0]], pa.binary()), "twice": pa.array([maps[1]], pa.binary())})
 
     return run
 
 
-def block_filter(docs: DataFrame, block: int = BLOCK, filter_bits: int = FILTER_BITS) -> np.ndarray:
+def block_filter(index: DataFrame, parts: int, filter_bits: int) -> np.ndarray:
     """(2, 2**filter_bits / 8) bytes: slots that some reference block's hash falls on, and those that a repeated hash falls on."""
-    parts = min(shuffle_parts(docs.sparkSession), 1 << (filter_bits - 3))
-    rows = docs.select("text").mapInArrow(_blocks(parts, block), "part int, hashes binary")
     out = np.zeros((2, 1 << (filter_bits - 3)), np.uint8)
     size = out.shape[1] // parts
-    for r in rows.groupBy("part").applyInArrow(_segment(parts, filter_bits), "part int, present binary, twice binary").toLocalIterator(prefetchPartitions=False):
+    for r in index.groupBy("part").applyInArrow(_segment(parts, filter_bits), "part long, present binary, twice binary").toLocalIterator(prefetchPartitions=False):
         out[0, r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["present"], np.uint8)
         out[1, r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["twice"], np.uint8)
     return out
@@ -139,185 +333,179 @@ def _within(bitmap: np.ndarray, hashes: np.ndarray, parts: int, filter_bits: int
     return out
 
 
-def _candidates(parts: int, block: int, min_words: int, filter_bits: int, shared: Broadcast):
-    """Hash and place of the min_words-word windows that hold a hit, in blobs by range of hashes."""
+# ---- probes and windows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        docs: list[tuple[np.ndarray, np.ndarray]] = []
-        n_docs = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            nonlocal n_docs
-            h, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            ids, keys = (np.concatenate(x) for x in zip(*docs, strict=True))
-            held.clear()
-            docs.clear()
-            n_docs = 0
-            order, bound = _ranges(h, parts)
-            h, d, p = h[order], d[order], p[order]
-            rows = []
-            for k in range(parts):
-                a, b = bound[k], bound[k + 1]
-                if a < b:
-                    own, which = np.unique(d[a:b], return_inverse=True)
-                    rows.append((k, _pack(h[a:b], ids[own], keys[own], which, p[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "blob"])
-
-        present, twice = shared.value
+def _rolling(w: Words, block: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every rolling window of a batch's words, whether it is a block of its document, and whether it is within one."""
+    h = window_hash(w.hashes, block, prefix)
+    at, doc = np.arange(len(h)), w.doc[: len(h)]
+    return h, (at - w.offsets[doc]) % block == 0, at + block <= w.offsets[doc + 1]
+
+
+def _probed(block: int, parts: int, filter_bits: int, shared: Broadcast) -> Callable:
+    """hit(batch, first row, words, prefix hash): which rolling windows the broadcast index may hold."""
+
+    def hit(batch: pa.RecordBatch, i: int, w: Words, prefix: np.ndarray) -> np.ndarray:
+        h, own, out = _rolling(w, block, prefix)
+        for mine, bitmap in zip((~own & out, own & out), shared.value, strict=True):
+            out[mine] = _within(bitmap, h[mine], parts, filter_bits)
+        return out
+
+    return hit
+
+
+def _joined(block: int) -> Callable:
+    """As _probed, from the places that a column of the batch has."""
+
+    def hit(batch: pa.RecordBatch, i: int, w: Words, prefix: np.ndarray) -> np.ndarray:
+        out = np.zeros(max(0, len(w.hashes) - block + 1), bool)
+        for j, places in enumerate(batch.column(3).slice(i, len(w.batch.texts)).to_pylist()):
+            out[w.offsets[j] + np.frombuffer(places or b"", np.uint32)] = True
+        return out
+
+    return hit
+
+
+def _probes(ranges: Ranges, block: int):
+    """All rolling windows, in blobs by range of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(ranges.parts, ranges.coarse, ranges.groups)
         for batch in batches:
-            ids = np.array([_NULL_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            keys = np.array([x or 0 for x in batch.column(2).to_pylist()], np.int64)
+            docs = _documents(batch.column(0), batch.column(2))
             for i, part in chunks(strings(batch.column(1))):
                 w = Words(Batch(part), exact=True)
-                if len(w.hashes) < min_words:
-                    continue
-                prefix = prefix_hash(w.hashes)
-                h = window_hash(w.hashes, block, prefix)
-                at = np.arange(len(h))
-                doc = w.doc[: len(h)]
-                own = (at - w.offsets[doc]) % block == 0
-                hit = at + block <= w.offsets[doc + 1]
-                for mine, bitmap in ((own & hit, twice), (~own & hit, present)):
-                    hit[mine] = _within(bitmap, h[mine], parts, filter_bits)
-                # windows of min_words words that start at p hold the hits at p .. p + min_words - block
-                many = np.concatenate([[0], np.cumsum(hit)])
-                n = len(w.hashes) - min_words + 1
-                p = np.arange(n)
-                held_by = many[np.minimum(p + min_words - block + 1, len(hit))] - many[p] > 0
-                p = p[held_by & (p + min_words <= w.offsets[w.doc[:n] + 1])]
-                if not len(p):
-                    continue
-                d, begin = w.doc[p], w.offsets[w.doc[p]]
-                held.append((window_hash(w.hashes, min_words, prefix)[p], d + n_docs, (p - begin).astype(np.uint32)))
-                docs.append((ids[i : i + len(part)], keys[i : i + len(part)]))
-                n_docs += len(part)
-                if sum(len(x[0]) for x in held) > 3 << 20:
-                    yield from out()
-        if held:
-            yield from out()
+                h, _, inside = _rolling(w, block, prefix_hash(w.hashes))
+                at = np.flatnonzero(inside)
+                d = w.doc[at]
+                yield from held.add(h[at], np.empty(0, np.uint32), docs[i : i + len(part)], d, (at - w.offsets[d]).astype(np.uint32))
+        yield from held.out()
 
     return run
 
 
-def _pack(h: np.ndarray, ids: np.ndarray, keys: np.ndarray, which: np.ndarray, p: np.ndarray) -> bytes:
-    parts = [h.tobytes(), ids.tobytes(), keys.tobytes(), _plane(which.astype(np.uint32)), _plane(p.astype(np.uint32))]
-    return np.array([len(h), len(ids)], np.int64).tobytes() + b"".join(parts)
+def _hits(parts: int, groups: int, block: int):
+    """Of one range of hashes, the places of windows that a block of another document, or place, has."""
 
+    def run(key: tuple, index: pa.Table, probes: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        if k >= parts or not probes.num_rows:  # repeated within a batch
+            return pa.table({"part": pa.array([k - parts] * probes.num_rows, pa.int64()), "blob": probes.column("blob").cast(pa.binary())})
+        known, count = np.unique(np.concatenate([np.empty(0, np.uint64), *(_unpack(x)[0] for x in index.column("blob").to_pylist())]), return_counts=True)
+        h, _, docs, which, p = _merge([_unpack(x) for x in probes.column("blob").to_pylist()])
+        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+        hit = (known[at] == h) & (count[at] >= np.where(p % block == 0, 2, 1)) if len(known) else np.zeros(len(h), bool)
+        docs, rank = _in_order(docs)
+        rows = list(_places(docs, np.unique(rank[which[hit]] << 32 | p[hit].astype(np.int64)), groups)) if hit.any() else []
+        return pa.table({"part": pa.array([x for x, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
-def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(b, np.int64, 2)
-    at = 16
-    h = np.frombuffer(b, np.uint64, n, at)
-    at += 8 * n
-    ids = np.frombuffer(b, np.int64, m, at)
-    keys = np.frombuffer(b, np.int64, m, at + 8 * m)
-    at += 16 * m
-    return h, ids, keys, _unplane(b[at : at + 4 * n], np.uint32), _unplane(b[at + 4 * n :], np.uint32)
+    return run
 
 
-def _merge(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, documents (ids, keys, in order, distinct), and each window's document and place."""
-    h, ids, keys, which, p = [], [], [], [], []
-    n = 0
-    for b in blobs:
-        x = _unpack(b)
-        h.append(x[0])
-        ids.append(x[1])
-        keys.append(x[2])
-        which.append(x[3].astype(np.int64) + n)
-        p.append(x[4])
-        n += len(x[1])
-    h, ids, keys, which, p = map(np.concatenate, (h, ids, keys, which, p))
-    order = np.lexsort((keys, ids))
-    ids, keys = ids[order], keys[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return h, ids[new], keys[new], rank[which], p
+def _hit_rows(key: tuple, t: pa.Table) -> pa.Table:
+    """For one range of documents, the places of each that have hits."""
+    docs, places = _unplaces(t.column("blob").to_pylist())
+    bound = np.searchsorted(places >> 32, np.arange(len(docs) + 1))
+    p = (places & 0xFFFFFFFF).astype(np.uint32)
+    return pa.table({"number": pa.array(docs["id"], pa.int64(), mask=docs["some"] == 0), "text_hash": pa.array(docs["key"], pa.int64()), "places": pa.array([p[a:b].tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)], pa.binary())})
 
 
-def _repeated(parts: int):
-    """Of one range of hashes, the windows that aren't the first of theirs, in blobs by range of documents."""
+def _windows(ranges: Ranges, block: int, min_words: int, hit: Callable):
+    """The min_words-word windows that hold a hit, in blobs by range of hashes."""
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        h, ids, keys, doc, p = _merge(t.column("blob").to_pylist())
-        place = doc << 32 | p.astype(np.int64)
-        order = np.argsort(h)
-        h, place = h[order], place[order]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        least = np.minimum.reduceat(place, start)
-        later = np.sort(place[place != np.repeat(least, np.diff(np.append(start, len(h))))])
-        doc, p = later >> 32, (later & 0xFFFFFFFF).astype(np.uint32)
-        to = (keys[doc] & (parts - 1)).astype(np.int64)
-        rows = []
-        for k in np.unique(to).tolist():
-            sel = to == k
-            own, which = np.unique(doc[sel], return_inverse=True)
-            rows.append((k, _pack_places(ids[own], keys[own], which, p[sel])))
-        return pa.table({"part": pa.array([k for k, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(ranges.parts, ranges.coarse, ranges.groups)
+        for batch in batches:
+            docs = _documents(batch.column(0), batch.column(2))
+            for i, part in chunks(strings(batch.column(1))):
+                w = Words(Batch(part), exact=True)
+                n = len(w.hashes) - min_words + 1
+                if n <= 0:
+                    continue
+                prefix = prefix_hash(w.hashes)
+                found = hit(batch, i, w, prefix)
+                # windows of min_words words that start at p hold the hits at p .. p + min_words - block
+                many = np.concatenate([[0], np.cumsum(found)])
+                p = np.arange(n)
+                held_by = many[np.minimum(p + min_words - block + 1, len(found))] - many[p] > 0
+                p = p[held_by & (p + min_words <= w.offsets[w.doc[:n] + 1])]
+                if len(p):
+                    d = w.doc[p]
+                    second = (window_hash(w.hashes, min_words, radix=RADIX_2)[p] >> np.uint64(32)).astype(np.uint32)
+                    yield from held.add(window_hash(w.hashes, min_words, prefix)[p], second, docs[i : i + len(part)], d, (p - w.offsets[d]).astype(np.uint32))
+        yield from held.out()
 
     return run
 
 
-def _pack_places(ids: np.ndarray, keys: np.ndarray, which: np.ndarray, p: np.ndarray) -> bytes:
-    """Places by document: counts, and differences from the place before."""
-    count = np.bincount(which, minlength=len(ids)).astype(np.uint32)
-    step = np.diff(p.astype(np.int64), prepend=0)
-    first = np.cumsum(count) - count
-    step[first] = p[first]
-    return np.array([len(ids)], np.int64).tobytes() + ids.tobytes() + keys.tobytes() + count.tobytes() + _plane(step.astype(np.uint32))
+def _repeated(parts: int, groups: int):
+    """Of one range of hashes, the windows that aren't the first of theirs, in blobs by range of documents."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        if k >= parts:  # known to repeat within a batch
+            return pa.table({"part": pa.array([k - parts] * t.num_rows, pa.int64()), "blob": t.column("blob").cast(pa.binary())})
+        _, _, docs, _, later = _firsts(*_merge([_unpack(x) for x in t.column("blob").to_pylist()]))
+        rows = list(_places(docs, later, groups)) if len(later) else []
+        return pa.table({"part": pa.array([x for x, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
+
+    return run
 
 
 def _spans(min_words: int):
     """For one range of documents, the words of each that repeats cover, as runs [first word, one past the last]."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        ids, keys, doc, p = [], [], [], []
-        n = 0
-        for b in t.column("blob").to_pylist():
-            m = int(np.frombuffer(b, np.int64, 1)[0])
-            ids.append(np.frombuffer(b, np.int64, m, 8))
-            keys.append(np.frombuffer(b, np.int64, m, 8 + 8 * m))
-            count = np.frombuffer(b, np.uint32, m, 8 + 16 * m).astype(np.int64)
-            step = _unplane(b[8 + 20 * m :], np.uint32).astype(np.int64)
-            total = np.cumsum(step)
-            first = np.cumsum(count) - count
-            base = np.repeat(total[first] - step[first], count)
-            p.append(total - base)
-            doc.append(np.repeat(np.arange(m) + n, count))
-            n += m
-        ids, keys, doc, p = map(np.concatenate, (ids, keys, doc, p))
-        order = np.lexsort((keys, ids))
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.cumsum(new) - 1
-        ids, keys = ids[order][new], keys[order][new]
-        at = np.sort(rank[doc] << 32 | p)
+        docs, at = _unplaces(t.column("blob").to_pylist())
         d, p = at >> 32, at & 0xFFFFFFFF
         apart = np.ones(len(at), bool)
         apart[1:] = (d[1:] != d[:-1]) | (p[1:] > p[:-1] + min_words)
         begin = np.flatnonzero(apart)
         end = np.append(begin[1:], len(at)) - 1
-        offsets = np.searchsorted(d[begin], np.arange(len(ids) + 1))
+        offsets = np.searchsorted(d[begin], np.arange(len(docs) + 1))
         pairs = pa.StructArray.from_arrays([pa.array(p[begin], pa.int32()), pa.array(p[end] + min_words, pa.int32())], ["a", "z"])
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == _NULL_ID), "text_hash": pa.array(keys, pa.int64()), "runs": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)})
+        return pa.table({"number": pa.array(docs["id"], pa.int64(), mask=docs["some"] == 0), "text_hash": pa.array(docs["key"], pa.int64()), "runs": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)})
 
     return run
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, block: int = BLOCK, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, text_hash, runs (array of struct a, z: words a .. z - 1 repeat an earlier place) for documents that have some."""
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, block: int = BLOCK, filter_bits: int | None = None, most_filter_bits: int = MOST_FILTER_BITS, range_bytes: int = RANGE_BYTES, coarse: int = COARSE) -> DataFrame:
+    """number, text_hash, runs (array of struct a, z: words a .. z - 1 repeat an earlier place) of documents (number, text) that have some.
+
+    filter_bits: the index is a broadcast filter of so many bits (None: as many as it needs, if these aren't more than most_filter_bits).
+    """
     if 2 * block - 1 > min_words:
         raise ValueError("a repeat of min_words words must hold a whole block: 2 * block - 1 <= min_words")
     spark = docs.sparkSession
-    parts = min(shuffle_parts(spark), 1 << (filter_bits - 3))
-    shared = spark.sparkContext.broadcast(block_filter(docs, block, filter_bits))
-    found = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("text_hash")).mapInArrow(_candidates(parts, block, min_words, filter_bits, shared), "part int, blob binary")
-    later = found.groupBy("part").applyInArrow(_repeated(parts), "part int, blob binary")
-    return later.groupBy("part").applyInArrow(_spans(min_words), "doc_id long, text_hash long, runs array<struct<a:int,z:int>>")
+    n_bytes = text_bytes(docs)
+    ranges = Ranges(n_bytes, range_bytes, coarse)
+    keyed = docs.select("number", "text", text_key().alias("text_hash"))
+    index = blocks(docs, ranges, block)
+    if filter_bits is None:
+        index = cut(index)
+        n_blocks = index.agg(F.sum(F.length("blob") / 8).alias("n")).first()["n"] or 0
+        filter_bits = power_of_two(int(FILTER_SHARE * n_blocks) + 1).bit_length() - 1
+    if filter_bits <= most_filter_bits:
+        segments = Ranges(n_bytes, range_bytes, min(coarse, 1 << max(0, filter_bits - 6)))
+        if segments.coarse != segments.parts or segments.parts != ranges.parts:
+            segments.parts = segments.coarse
+            index = docs.select("text").mapInArrow(_blocks(segments.parts, block), "part long, blob binary")
+        filter_bits = max(filter_bits, segments.parts.bit_length() - 1 + 6)
+        shared = spark.sparkContext.broadcast(block_filter(index, segments.parts, filter_bits))
+        found = keyed.mapInArrow(_windows(ranges, block, min_words, _probed(block, segments.parts, filter_bits, shared)), "part long, blob binary")
+    else:
+        probes = ranges.refined(keyed.mapInArrow(_probes(ranges, block), "part long, blob binary"))
+        hits = index.groupBy("part").cogroup(probes.groupBy("part")).applyInArrow(_hits(ranges.parts, ranges.groups, block), "part long, blob binary")
+        hits = hits.groupBy("part").applyInArrow(_hit_rows, "number long, text_hash long, places binary")
+        hits = hits.select(F.col("number").alias("_n"), F.col("text_hash").alias("_h"), "places")
+        both = keyed.join(hits, F.col("number").eqNullSafe(F.col("_n")) & (F.col("text_hash") == F.col("_h"))).select("number", "text", "text_hash", "places")
+        found = both.mapInArrow(_windows(ranges, block, min_words, _joined(block)), "part long, blob binary")
+    later = ranges.refined(found).groupBy("part").applyInArrow(_repeated(ranges.parts, ranges.groups), "part long, blob binary")
+    return later.groupBy("part").applyInArrow(_spans(min_words), "number long, text_hash long, runs array<struct<a:int,z:int>>")
+
+
+# ---- texts without repeats
 
 
 def _cut_words(batches: Iterator[pa.RecordBatch], at: int, runs_at: int, tail: str) -> Iterator[pa.RecordBatch]:
@@ -344,25 +532,25 @@ def _cut_words(batches: Iterator[pa.RecordBatch], at: int, runs_at: int, tail: s
             yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(batch.columns) if k != runs_at], [n for k, n in enumerate(batch.schema.names) if k != runs_at])
 
 
-def _with_runs(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    i, h = fresh("found_id", docs), fresh("found_hash", docs)
-    found = found.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("runs").alias(name))
-    same: Column = docs["doc_id"].eqNullSafe(F.col(i)) & (text_key() == F.col(h))
-    return docs.join(found, same, "left").drop(i, h)
+def _with_runs(docs: DataFrame, name: str, **options: int | None) -> DataFrame:
+    """docs with the runs of their repeats in a column of that name."""
+    n, i, h = fresh("number", docs), fresh("found_id", docs), fresh("found_hash", docs)
+    own = numbered(docs, "doc_id", n)
+    found = repeats(own.select(F.col(n).alias("number"), "text"), **options).select(F.col("number").alias(i), F.col("text_hash").alias(h), F.col("runs").alias(name))
+    return own.join(found, own[n].eqNullSafe(F.col(i)) & (text_key() == F.col(h)), "left").drop(i, h, n)
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, block: int = BLOCK, filter_bits: int = FILTER_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, block: int = BLOCK, filter_bits: int | None = None, **options: int) -> DataFrame:
     """doc_id, removed_words, n_spans and the text without its repeats, for every row."""
-    small = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = _with_runs(small, repeats(small, min_words, block, filter_bits), "runs").select("doc_id", "text", "runs")
+    joined = _with_runs(docs.select("doc_id", "text"), "runs", min_words=min_words, block=block, filter_bits=filter_bits, **options).select("doc_id", "text", "runs")
     return joined.mapInArrow(lambda x: _cut_words(x, 1, 2, "report"), f"doc_id {kind}, removed_words long, n_spans int, text string")
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, **options: int) -> DataFrame:
     """docs with the texts that remove_repeats gives, and n_chars to match; all other columns as they are."""
     runs = fresh("runs", docs)
-    joined = _with_runs(docs, repeats(docs), runs).select(*docs.columns, runs)
+    joined = _with_runs(docs, runs, **options).select(*docs.columns, runs)
     at, last = docs.columns.index("text"), len(docs.columns)
     out = joined.mapInArrow(lambda x: _cut_words(x, at, last, "rows"), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -14,7 +14,8 @@ import numpy as np
 
 LETTER, NUMBER, MARK, SPACE, OTHER, UNDERSCORE = 1, 2, 3, 4, 5, 6
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_RADIX = 0xD1342543DE82EF95
+#: Radices of the window hashes; the second is for a second, independent hash.
+RADIX, RADIX_2 = 0xD1342543DE82EF95, 0xAEF17502108EF2D9
 _tables: dict[str, np.ndarray] = {}
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -63,12 +64,11 @@ def solid_table() -> np.ndarray:
     return _tables["solid"]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, radix: int = RADIX) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the radix and of its inverse modulo 2**64."""
-    have = _powers.get(0)
+    have = _powers.get(radix)
     if have is None or len(have[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
-        inverse = pow(_RADIX, -1, 1 << 64)
 
         def table(r: int) -> np.ndarray:
             out = np.empty(size, np.uint64)
@@ -79,7 +79,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             return out
 
         with np.errstate(over="ignore"):
-            _powers[0] = have = (table(_RADIX), table(inverse))
+            _powers[radix] = have = (table(radix), table(pow(radix, -1, 1 << 64)))
     return have[0][:n], have[1][:n]
 
 
@@ -93,13 +93,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
+def prefix_hash(values: np.ndarray, radix: int = RADIX) -> np.ndarray:
     """Prefix sums of values times powers of the radix; one longer than values."""
     out = np.zeros(len(values) + 1, np.uint64)
     v = values.astype(np.uint64)
     v += np.uint64(1)
     v *= _C1
-    v *= powers(len(v))[0]
+    v *= powers(len(v), radix)[0]
     np.cumsum(v, out=out[1:])
     return out
 
@@ -168,7 +168,7 @@ def distinct_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     return np.concatenate([first, odd]), which
 
 
-def window_hash(hashes: np.ndarray, k: int, prefix: np.ndarray | None = None) -> np.ndarray:
+def window_hash(hashes: np.ndarray, k: int, prefix: np.ndarray | None = None, radix: int = RADIX) -> np.ndarray:
     """Hash of every window of k consecutive word hashes: len(hashes) - k + 1 values (none if shorter).
 
     A polynomial, as the values are well mixed hashes and k is small.
@@ -176,9 +176,9 @@ def window_hash(hashes: np.ndarray, k: int, prefix: np.ndarray | None = None) ->
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    p = prefix_hash(hashes) if prefix is None else prefix
+    p = prefix_hash(hashes, radix) if prefix is None else prefix
     h = p[k:] - p[:-k]
-    h *= powers(n)[1]
+    h *= powers(n, radix)[1]
     return mix(h)
 
 

@@ -140,8 +140,7 @@ def without(text, gone):
     return "".join([*out, text[last:]])
 
 
-@pytest.mark.parametrize("seed,least,block,bits", [(1, 50, 25, 28), (2, 9, 5, 12), (3, 7, 4, 20), (4, 5, 3, 10)])
-def test_substring_against_all_windows(spark, seed, least, block, bits):
+def planted_repeats(seed, least):
     r = random.Random(seed)
     passages = [words(r, r.randint(least - 1, 3 * least)) for _ in range(6)]
     texts = []
@@ -155,10 +154,21 @@ def test_substring_against_all_windows(spark, seed, least, block, bits):
                 w += p[a:]
         texts.append((" " if r.random() < 0.9 else "\n ").join(w))
     texts += [texts[0], texts[1], "", None]
-    ids = [*range(200, 200 + len(texts) - 2), 3, 4]
-    df = frame(spark, texts, ids)
+    return texts, [*range(200, 200 + len(texts) - 2), 3, 4]
+
+
+SIZED, FULL = {}, {"filter_bits": 10}
+SHUFFLED = {"most_filter_bits": 0}
+RANGES = {"range_bytes": 1 << 10}
+ROUNDS = {"range_bytes": 1 << 9, "coarse": 4}
+
+
+@pytest.mark.parametrize("options", [SIZED, FULL, RANGES, SHUFFLED, RANGES | SHUFFLED, ROUNDS, ROUNDS | SHUFFLED], ids=repr)
+@pytest.mark.parametrize("seed,least,block", [(1, 50, 25), (2, 9, 5), (3, 7, 4)])
+def test_substring_against_all_windows(spark, seed, least, block, options):
+    texts, ids = planted_repeats(seed, least)
     want = brute_repeats(list(zip(ids, texts, strict=True)), least)
-    rows = {x["doc_id"]: x for x in substring.remove_repeats(df, least, block, bits).collect()}
+    rows = {x["doc_id"]: x for x in substring.remove_repeats(frame(spark, texts, ids), least, block, **options).collect()}
     assert len(rows) == len(texts) and rows[4]["text"] is None
     for i, t in zip(ids, texts, strict=True):
         if t:
@@ -167,6 +177,46 @@ def test_substring_against_all_windows(spark, seed, least, block, bits):
     assert sum(x["removed_words"] for x in rows.values()) > 0
 
 
+def test_substring_ids_of_any_kind(spark):
+    texts, _ = planted_repeats(5, 9)
+    names = [f"doc {k * 7919 % 1000:03d}" for k in range(len(texts))]
+    df = spark.createDataFrame(list(zip(names, texts, strict=True)), "doc_id string, text string").withColumn("number", F.lit("x"))
+    place = {n: k for k, n in enumerate(sorted(names))}
+    want = brute_repeats([(place[n], t) for n, t in zip(names, texts, strict=True)], 9)
+    rows = {x["doc_id"]: x["removed_words"] for x in substring.remove_repeats(df, 9, 5).collect()}
+    assert rows == {n: len(want[place[n], t]) if t else 0 for n, t in zip(names, texts, strict=True)}
+    assert substring.drop_repeats(df).columns == df.columns
+    p = " ".join(words(random.Random(1), 60))
+    low = spark.createDataFrame([(-(1 << 63), p), (0, p), (None, p)], "doc_id long, text string")
+    assert {x["doc_id"]: x["removed_words"] for x in substring.remove_repeats(low).collect()} == {None: 0, -(1 << 63): 60, 0: 60}
+
+
+def test_windows_whose_first_hashes_collide_stay_apart():
+    r = np.random.default_rng(3)
+    docs = np.zeros(9, substring.DOC)
+    docs["some"], docs["id"] = 1, np.arange(9)[::-1]
+    content = r.integers(0, 40, 500)
+    which, p = r.integers(0, 9, 500), r.integers(0, 1000, 500).astype(np.uint32)
+    second = (content * 2654435761 % 2**32).astype(np.uint32)
+    _, _, order, first, later = substring._firsts((content % 2).astype(np.uint64), second, docs, which, p)
+    places = {}
+    for c, d, x in zip(content.tolist(), which.tolist(), p.tolist(), strict=True):
+        places.setdefault(c, set()).add((8 - d, x))
+    got = lambda v: sorted((int(order["id"][k >> 32]), int(k & 0xFFFFFFFF)) for k in v)
+    assert got(first) == sorted(min(v) for v in places.values())
+    assert got(later) == sorted(set().union(*(v - {min(v)} for v in places.values())))
+
+
+def test_substring_of_hot_passages_and_very_long_texts(spark):
+    r = random.Random(8)
+    hot = " ".join(words(r, 60))
+    texts = [f"{" ".join(words(r, 5, 10**9))} {hot} {" ".join(words(r, 5, 10**9))}" for _ in range(300)] + [" ".join(words(r, 120_000, 10**9)) + " " + hot, "z " * 100_000]
+    for options in (SIZED, SHUFFLED):
+        rows = {x["doc_id"]: x for x in substring.remove_repeats(frame(spark, texts), **options).collect()}
+        assert [rows[k]["removed_words"] for k in range(302)] == [0] + [60] * 300 + [99_999]
+        assert rows[300]["text"] == texts[300][: -len(hot)]
+
+
 def test_substring_repeats_rows_and_clashes(spark):
     r = random.Random(9)
     p = " ".join(words(r, 55))
