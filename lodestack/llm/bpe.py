@@ -32,7 +32,7 @@ from .text import MARK, OTHER, SPACE, UNDERSCORE, Batch, class_table, distinct_s
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers, and the longest of these; what is forgotten is encoded again.
-MOST_CACHED, LONGEST_CACHED = 200_000, 64
+MOST_CACHED, LONGEST_CACHED = 1_000_000, 64
 _PAIRS_KEPT = 1 << 18
 _loaded: dict[str | bytes, "Bpe"] = {}
 _group = None

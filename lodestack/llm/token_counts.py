@@ -32,7 +32,7 @@ from .text import Batch, distinct_spans
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Nodes of the trie and pre-tokens (and the longest of these) that a worker remembers; what is forgotten is scored again.
 MOST_NODES = 300_000
-MOST_CACHED, LONGEST_CACHED = 300_000, 64
+MOST_CACHED, LONGEST_CACHED = 1_000_000, 64
 SPACE_MARK = "▁"
 _loaded: dict[str | bytes, "Unigram"] = {}
 
