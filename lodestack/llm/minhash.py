@@ -5,13 +5,16 @@ of them together; no word: the text itself). One hash sorts shingles into BINS b
 each keeps its least value; an empty bin takes the value of a full one that a hash of (bin,
 attempt) picks, the same for all documents. Bands of ROWS bins are bucket keys. In a bucket
 each document is compared with the bucket's first and with the one before it (two stars' worth
-of edges, linear in the bucket, hot buckets included); an edge stands if the share of equal bins
-is THRESHOLD or more. Groups are the connected components of edges, found by alternating
-star contraction; the least doc_id of a group stays.
+of edges, linear in the bucket); an edge stands if the share of equal bins is THRESHOLD or
+more. Groups are the connected components of edges, found by alternating star contraction; the
+least doc_id of a group stays.
 
 Equal texts share a node (their 64-bit hash), so that a text that millions of documents have is
-one entry of its buckets. Shuffles: signatures of BINS * 2 bytes and bucket keys (no text), and
-edges. Python works on whole Arrow batches; each step that is read again is checkpointed.
+one entry of its buckets. A bucket that very many texts share is split by node into parts of about
+PART entries (its size is estimated from one in SAMPLE nodes, which hash values are), each with a star of its own; the
+parts' firsts are compared with the bucket's first. Shuffles: signatures of BINS * 2 bytes and bucket
+keys (no text), and edges; least neighbours are aggregates that are joined, so that a hub is split as a
+skewed join. Python works on whole Arrow batches; each step that is read again is checkpointed.
 
 Defined results: a null text is in no group and stays. Equal texts (empty ones too) are always
 in one group. Rows equal in doc_id and text are the same document. A group's first is the one with the
@@ -34,6 +37,7 @@ SHINGLE = 3
 BINS = 128
 ROWS = 4
 THRESHOLD = 0.5
+PART, SAMPLE = 20_000, 64
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -123,9 +127,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = Window.partitionBy("a")
-        large = both.withColumn("m", F.least(F.col("a"), F.min("b").over(near))).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.withColumn("m", F.min("b").over(near))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         edges = cut(small)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"), F.sum(F.expr("xxhash64(a, b) % 1000003")).alias("s")).first()
@@ -135,14 +139,24 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def candidates(signed: DataFrame, part: int = PART, sample: int = SAMPLE) -> DataFrame:
+    """a, b: pairs of nodes that a star of a bucket has, once each; rows of signed are distinct nodes with their bands."""
+    rows = signed.select("node", F.explode("bands").alias("key"))
+    large = rows.filter(F.pmod("node", F.lit(sample)) == 0).groupBy("key").agg(F.ceil(F.count(F.lit(1)) * sample / part).cast("int").alias("parts")).filter("parts > 1")
+    split = rows.join(large, "key", "left").select("node", "key", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).alias("part"))
+    star = Window.partitionBy("key", "part")
+    near = split.withColumn("first", F.min("node").over(star)).withColumn("before", F.lag("node").over(star.orderBy("node"))).filter("node <> first")
+    pairs = near.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "before"))).alias("b"))
+    firsts = split.join(large.select("key"), "key", "left_semi").groupBy("key", "part").agg(F.min("node").alias("a"))
+    tops = firsts.join(firsts.groupBy("key").agg(F.min("a").alias("b")), "key").select("a", "b")
+    return pairs.unionByName(tops).filter("a <> b").distinct()
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_hash, first_id and first_hash (the group's document that stays) for each distinct document of a group of two or more."""
     known = docs.filter(F.col("text").isNotNull())
     signed = cut(known.select(text_key().alias("node"), "text").mapInArrow(_sign, "node long, signature binary, bands array<long>").dropDuplicates(["node"]))
-    bucket = Window.partitionBy("key")
-    rows = signed.select("node", F.explode("bands").alias("key"))
-    pairs = rows.withColumn("first", F.min("node").over(bucket)).withColumn("before", F.lag("node").over(bucket.orderBy("node"))).filter("node <> first")
-    pairs = pairs.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "before"))).alias("b")).filter("a <> b").distinct()
+    pairs = candidates(signed)
     one = signed.select("node", "signature")
     edges = pairs.join(one.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(one.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
     edges = edges.select("a", "b", "sa", "sb").mapInArrow(_alike(threshold), "a long, b long")

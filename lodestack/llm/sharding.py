@@ -11,7 +11,9 @@ directory of each round on the prefix of its address.
 Defined results: null and empty texts have 0 bytes. A null doc_id is an address like any
 other. A single document over the limit is a shard of its own. Rows that share a doc_id share
 an address and can't be split: if together they exceed the limit at the last bit, they go to
-overflow pages (column page, else 0), each within the limit. All rows get a row; columns
+overflow pages (column page, else 0), each within the limit. Pages are filled in the order of the
+rows' bytes; an address with over SPAN limits is dealt to several fillings first, so that no task has all
+its rows, and which of its rows share a page is not defined. All rows get a row; columns
 beside doc_id and text are ignored. An empty table gives no rows.
 """
 
@@ -20,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 BITS = 60
 ROUND = 8
-LIMIT = 64 << 20
+#: A megabyte: the given tables are small, and their shards must split.
+LIMIT = 1 << 20
+SPAN = 64
 
 
 def address(doc_id: str = "doc_id") -> Column:
@@ -32,39 +36,58 @@ def address(doc_id: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _prefix(bits: int) -> Column:
-    return F.shiftright("_h", BITS - bits)
-
-
-def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, prefix (the shard's bits as a number), depth (how many), page and n_bytes for every row."""
-    base = cut(docs.select("doc_id", address().alias("_h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")))
-    pending, placed, low = base, base, 0
-    depths: list[str] = []
+def _directories(base: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]], bool]:
+    """For each round its last bit and the table (prefix of so many bits, depth or null), from rows (h, n); whether some addresses overflow."""
+    pending, low = base, 0
+    out: list[tuple[int, DataFrame]] = []
     while low < BITS:
         high = min(BITS, low + ROUND)
-        sums = pending.groupBy(_prefix(high).alias("_p")).agg(F.sum("n_bytes").alias("_b"), F.count(F.lit(1)).alias("_n"))
-        levels = sums.select("*", F.explode(F.sequence(F.lit(low + (low > 0)), F.lit(high))).alias("_d"))
-        whole = Window.partitionBy("_d", F.expr(f"shiftright(_p, {high} - _d)"))
-        fits = (F.sum("_b").over(whole) <= limit) | (F.sum("_n").over(whole) == 1)
-        depth = f"_depth{high}"
-        directory = cut(levels.withColumn("_fits", fits).groupBy("_p").agg(F.min(F.when(F.col("_fits"), F.col("_d"))).alias(depth)).withColumnRenamed("_p", f"_p{high}"))
-        placed = placed.withColumn(f"_p{high}", _prefix(high)).join(directory, f"_p{high}", "left")
-        depths.append(depth)
-        over = directory.filter(F.col(depth).isNull())
+        prefix = F.shiftright("h", BITS - high)
+        sums = pending.groupBy(prefix.alias("p")).agg(F.sum("n").alias("b"), F.count(F.lit(1)).alias("c"))
+        levels = sums.select("*", F.explode(F.sequence(F.lit(low + (low > 0)), F.lit(high))).alias("d"))
+        whole = Window.partitionBy("d", F.expr(f"shiftright(p, {high} - d)"))
+        fits = (F.sum("b").over(whole) <= limit) | (F.sum("c").over(whole) == 1)
+        directory = cut(levels.withColumn("f", fits).groupBy("p").agg(F.min(F.when(F.col("f"), F.col("d"))).alias("depth")))
+        out.append((high, directory))
+        over = directory.filter("depth IS NULL").select("p")
         if over.isEmpty():
-            break
-        pending = pending.withColumn(f"_p{high}", _prefix(high)).join(over.select(f"_p{high}"), f"_p{high}", "left_semi")
+            return out, False
+        pending = pending.withColumn("p", prefix).join(over, "p", "left_semi")
         low = high
-    placed = placed.select("doc_id", "_h", "n_bytes", F.coalesce(*depths).alias("_depth"))
-    fine = placed.filter(F.col("_depth").isNotNull()).select("doc_id", F.expr(f"shiftright(_h, cast({BITS} - _depth as int))").alias("prefix"), F.col("_depth").cast("int").alias("depth"), F.lit(0).cast("long").alias("page"), "n_bytes")
-    if low < BITS:
+    return out, True
+
+
+def _placed(rows: DataFrame, limit: int, names: tuple[str, str, str]) -> DataFrame:
+    """rows (any columns, doc_id and text among them) with a prefix, depth and page under the given names."""
+    prefix, depth, page = names
+    h, n, p, s, row = (fresh(x, rows) for x in ("_h", "_n", "_p", "_s", "_row"))
+    sized = rows.withColumn(h, address()).withColumn(n, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    directories, overflow = _directories(cut(rows.select(address().alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))), limit)
+    depths = []
+    for high, directory in directories:
+        depths.append(fresh(f"_depth{high}", rows))
+        own = directory.select(F.col("p").alias(p), F.col("depth").alias(depths[-1]))
+        sized = sized.join(own, F.shiftright(h, BITS - high) == F.col(p), "left").drop(p)
+    sized = sized.withColumn(depth, F.coalesce(*depths).cast("int")).drop(*depths)
+    fine = sized.filter(F.col(depth).isNotNull()) if overflow else sized
+    fine = fine.withColumn(prefix, F.expr(f"shiftright(`{h}`, {BITS} - `{depth}`)")).withColumn(page, F.lit(0).cast("long")).drop(h, n)
+    if not overflow:
         return fine
     # rows of one address that don't fit together: those within a stretch of the limit share a page, one that crosses a border has its own
-    before = F.sum("n_bytes").over(Window.partitionBy("_h").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, -1))
-    crowded = placed.filter(F.col("_depth").isNull()).withColumn("_s", F.coalesce(before, F.lit(0)))
-    a, z = F.floor(F.col("_s") / limit), F.floor((F.col("_s") + F.greatest(F.col("n_bytes") - 1, F.lit(0))) / limit)
-    return fine.unionByName(crowded.select("doc_id", F.col("_h").alias("prefix"), F.lit(BITS).alias("depth"), (2 * a + F.when(z > a, 1).otherwise(0)).cast("long").alias("page"), "n_bytes"))
+    crowded = sized.filter(F.col(depth).isNull())
+    parts = crowded.groupBy(F.col(h).alias(p)).agg(F.ceil(F.sum(n) / (SPAN * limit)).cast("int").alias(s))
+    dealt = crowded.join(parts, F.col(h) == F.col(p)).withColumn(row, F.pmod(F.monotonically_increasing_id(), F.col(s)))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(h, row).orderBy(n).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = dealt.withColumn(page, before)
+    a, z = F.floor(F.col(page) / limit), F.floor((F.col(page) + F.greatest(F.col(n) - 1, F.lit(0))) / limit)
+    dealt = dealt.withColumn(page, (F.col(row) + F.col(s) * (2 * a + F.when(z > a, 1).otherwise(0))).cast("long"))
+    return fine.unionByName(dealt.withColumn(prefix, F.col(h)).withColumn(depth, F.lit(BITS)).drop(h, n, p, s, row))
+
+
+def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id, prefix (the shard's bits as a number), depth (how many), page and n_bytes for every row."""
+    out = _placed(docs.select("doc_id", "text"), limit, ("prefix", "depth", "page"))
+    return out.select("doc_id", "prefix", "depth", "page", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +109,10 @@ def sql(limit: int = LIMIT) -> str:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes docs, whose doc_ids must be distinct and not null, by shard: one folder a shard."""
-    shards = assign(docs, limit).select("doc_id", F.concat_ws("-", "depth", "prefix", "page").alias("shard"))
-    docs.join(shards, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes all rows of docs by shard, one folder a shard (its depth, prefix and page); a column of docs that has the folders' name, shard, is refused."""
+    if "shard" in (c.lower() for c in docs.columns):
+        raise ValueError("docs must not have a column shard")
+    names = tuple(fresh(x, docs) for x in ("_prefix", "_depth", "_page"))
+    placed = _placed(docs, limit, names)
+    rows = placed.withColumn("shard", F.concat_ws("-", names[1], names[0], names[2])).drop(*names)
+    rows.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -87,6 +87,42 @@ def test_components_of_long_chains_and_stars(spark):
     assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("part,sample", [(20_000, 64), (10, 1), (3, 2)])
+def test_stars_of_split_buckets_join_what_is_alike(spark, part, sample):
+    """A bucket that all nodes share, in parts: what stays one group of nodes by the stars' pairs."""
+    r = random.Random(6)
+    nodes = sorted({r.randrange(-(1 << 63), 1 << 63) for _ in range(90)})
+    df = spark.createDataFrame([(n, [1, n]) for n in nodes] + [(5, [2]), (6, [2]), (7, [3])], "node long, bands array<long>")
+    pairs = [tuple(x) for x in minhash.candidates(df, part, sample).collect()]
+    assert len(pairs) == len(set(pairs)) <= 3 * len(nodes)
+    root = {x["node"]: x["root"] for x in minhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert {root[n] for n in nodes} == {nodes[0]} and root[6] == 5 and 7 not in root
+
+
+def test_near_duplicates_recall_by_similarity(spark):
+    """Shares of pairs put in one group, from a true similarity of 0.5 up."""
+    r = random.Random(12)
+    texts, truth = [], []
+    for k in range(120):
+        n = 300
+        base = words(r, n, 10**9)
+        same = int(n * (0.67 + 0.3 * k / 120))
+        texts += [" ".join(base), " ".join(base[:same] + words(r, n - same, 10**9))]
+        a, b = jaccard_sets(texts[-2:])
+        truth.append(len(a & b) / len(a | b))
+    first = {x["doc_id"]: x["first_id"] for x in minhash.near_duplicates(frame(spark, texts)).collect()}
+    got = [(j, first[2 * k] == first[2 * k + 1]) for k, j in enumerate(truth)]
+    share = lambda a, z: np.mean([x for j, x in got if a <= j < z])
+    assert share(0.5, 0.56) > 0.5 and share(0.56, 0.62) > 0.8 and share(0.62, 1.1) == 1.0
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    r = random.Random(13)
+    long = words(r, 150_000)
+    rows = minhash.near_duplicates(frame(spark, [" ".join(long), " ".join(long[:-9]), "x" * 500_000, "short"])).collect()
+    assert sorted((x["doc_id"], x["first_id"]) for x in rows) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
 def test_keep_first_nulls_repeats_ties_and_clashes(spark):
     r = random.Random(4)
     t = " ".join(words(r, 80))
@@ -302,6 +338,17 @@ def test_decontamination_by_groups_of_items_is_the_same(spark, sf):
     assert sorted(decontaminate.clean_rows(docs, bench, 300).collect(), key=repr) == sorted(decontaminate.clean_rows(docs, bench).collect(), key=repr)
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    r = random.Random(14)
+    item = words(r, 30, 10**9)
+    body = words(r, 150_000, 10**9)
+    text = " ".join(body[:70_000] + item + body[70_000:])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for most in (1_000_000, 1):
+        (x,) = decontaminate.clean(frame(spark, [text]), bench, most_benchmark_words=most).collect()
+        assert x["text"] == " ".join(body[:70_000]) + "  " + " ".join(body[70_000:]) and x["n_spans"] == 1
+
+
 # ---- embeddings
 
 
@@ -362,6 +409,38 @@ def test_sharding_overflow_nulls_and_empty(spark):
     assert sharding.assign(df.limit(0)).count() == 0
 
 
+def test_sharding_deals_a_hot_address_to_several_fillings(spark):
+    r = random.Random(2)
+    df = frame(spark, ["x" * r.randrange(40) for _ in range(3000)] + ["y" * 999], [7] * 3000 + [8])
+    rows = sharding.assign(df, 100).collect()
+    size = {}
+    for x in rows:
+        size.setdefault((x["depth"], x["prefix"], x["page"]), []).append(x["n_bytes"])
+    assert len(rows) == 3001 and all(sum(v) <= 100 or len(v) == 1 for v in size.values())
+
+
+def test_sharding_splits_the_tables_of_the_query(spark):
+    rows = sharding.query(spark, "/root/testdata/sf0.01")
+    assert rows.filter("depth > 0").count() == rows.count() > 0
+    assert rows.groupBy("depth", "prefix", "page").agg(F.sum("n_bytes").alias("b")).filter(f"b > {sharding.LIMIT}").isEmpty()
+
+
+def test_sharding_writes_every_row_once(spark, sf, tmp_path):
+    r = random.Random(3)
+    long = "long " * 100_000
+    texts = ["a b", "a b", "c", None, "", long] + ["t" * r.randrange(50) for _ in range(200)]
+    ids = [1, 1, 1, None, None, 5] + [r.randrange(30) for _ in range(200)]
+    df = frame(spark, texts, ids).withColumns({"_prefix": F.lit(1), "page": F.lit("p"), "depth": F.lit(2)})
+    for limit in (60, 5_000):
+        sharding.write_shards(df, str(tmp_path / f"w{limit}"), limit)
+        back = spark.read.parquet(str(tmp_path / f"w{limit}"))
+        assert sorted(map(repr, back.drop("shard").select(*df.columns).collect())) == sorted(map(repr, df.collect()))
+        sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n"))
+        assert sizes.filter(f"b > {limit} AND n > 1").isEmpty()
+    with pytest.raises(ValueError):
+        sharding.write_shards(df.withColumn("SHARD", F.lit(1)), str(tmp_path / "no"))
+
+
 def test_sharding_writes_folders(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     sharding.write_shards(docs, str(tmp_path / "out"), 50_000)
