@@ -11,7 +11,7 @@ stays; the words of later ones are removed. Windows are compared by 96 bits of t
 hashes: 1.6e13 windows (100 TB) are expected to have 0.002 pairs that differ and compare equal.
 
 How it runs. Hashes travel in blobs, one row for each range of hashes and batch of documents, so
-that a shuffle moves few rows and 10 to 15 bytes a window. The number of ranges follows the bytes
+that a shuffle moves few rows and some 15 bytes a window. The number of ranges follows the bytes
 of text (RANGE_BYTES a range), so that a range always fits a Python worker; beyond COARSE ranges
 blobs are split in two rounds. Windows that repeat within a batch are settled there and only the
 first goes on, so that a passage which a third of all documents have is one entry a batch.
@@ -42,7 +42,7 @@ from .text import RADIX_2, Batch, Words, mix, prefix_hash, window_hash
 
 BLOCK = 25
 MIN_WORDS = 50
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 2 << 20
 COARSE = 1 << 14
 FILTER_SHARE, MOST_FILTER_BITS = 8, 28
 PROBES = 3
@@ -102,10 +102,13 @@ def _in_order(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _split(h: np.ndarray, g: np.ndarray, docs: np.ndarray, which: np.ndarray, p: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Blobs by range of hashes, of windows in the order of their hashes."""
+    """Blobs by range of hashes, each in the order of places, which then pack well."""
     if not len(h):
         return
     part = (h >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64) if parts > 1 else np.zeros(len(h), np.int64)
+    order = np.lexsort((p, which, part)) if len(p) else np.argsort(part, kind="stable")
+    part, h = part[order], h[order]
+    g, which, p = (x[order] if len(x) else x for x in (g, which, p))
     bound = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(h)).tolist()
     for a, b in zip(bound[:-1], bound[1:], strict=True):
         yield int(part[a]), _pack(h[a:b], g[a:b], docs, which[a:b], p[a:b])
@@ -230,10 +233,9 @@ class Ranges:
 
             def out() -> Iterator[pa.RecordBatch]:
                 if held:
-                    h, g, docs, which, p = _merge(held)
+                    merged = _merge(held)
                     held.clear()
-                    order = np.argsort(h)
-                    yield from _rows(_split(h[order], g[order] if len(g) else g, docs, which[order] if len(p) else which, p[order] if len(p) else p, parts))
+                    yield from _rows(_split(*merged, parts))
 
             for batch in batches:
                 for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -262,7 +264,7 @@ def _blocks(coarse: int, block: int):
         none = np.empty(0, np.int64)
 
         def out() -> Iterator[pa.RecordBatch]:
-            h = np.sort(np.concatenate(held))
+            h = np.concatenate(held)
             held.clear()
             yield from _rows(_split(h, np.empty(0, np.uint32), np.empty(0, DOC), none, none, coarse))
 
