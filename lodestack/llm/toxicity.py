@@ -2,12 +2,12 @@
 
 A document is the set of its hashed lower-case words. The score is linear in the terms plus the
 sum over all pairs of terms of the product of their factors, so that a pair (an insult and a
-mention of a group) can weigh what neither does alone. Trained with Adagrad on logistic loss from
-at most `max_train_docs` labelled documents (those whose doc_id hashes lowest), near copies (equal
+mention of a group) can weigh what neither does alone. Trained with Adagrad on logistic loss, in small
+batches, from at most `max_train_docs` labelled documents (those whose doc_id hashes lowest), near copies (equal
 MinHash bands) once. Of the 2**BITS buckets, those have weights that are in at least MIN_DOCS training
 documents and are associated with the label (chi-square MIN_CHI2) or frequent (FREQUENT to COMMON of
-the documents, for pairs; penalised more); all others weigh nothing. Scoring is one pass, no shuffle; the
-weights have at most MOST_TERMS terms.
+the documents, for pairs; penalised more); all others weigh nothing. Scoring is one pass, no shuffle; what
+is broadcast has at most one weight and FACTORS factors a bucket, whatever the corpus.
 
 Defined results: every row gets a row, repeated ones too; null, empty and wordless texts have
 no terms and score the intercept. Null labels are left out; of several labels of a
@@ -37,7 +37,6 @@ MIN_CHI2 = 40.0
 FREQUENT, COMMON = 0.02, 0.5
 #: L2 penalties of a term's weight: of one associated with the label, and how many times that of one that is only frequent.
 RIDGE, DOUBT = 2e-5, 2000
-MOST_TERMS = 100_000
 THRESHOLD = 0.5
 
 
@@ -76,8 +75,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(len(texts), doc, np.searchsorted(self.buckets, bucket)), -30, 30)))
 
 
-def train(n: int, doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.4, seed: int = 7) -> Machine:
-    """Machine from the (document, bucket) pairs of n labelled documents."""
+def train(n: int, doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, rounds: int = 20, rate: float = 0.4, seed: int = 7, size: int = 256) -> Machine:
+    """Machine from the (document, bucket) pairs, by document, of n labelled documents: `rounds` passes in batches of `size`."""
     empty = Machine(-30.0, np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
     if n == 0 or y.min() == y.max():
         return empty
@@ -88,29 +87,43 @@ def train(n: int, doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, rounds: in
         chi2 = n * (bad * (n - p - good) - good * (p - bad)) ** 2 / (df * (n - df) * p * (n - p))
     chi2[~np.isfinite(chi2)] = 0
     kept = np.flatnonzero((df >= MIN_DOCS) & (df <= COMMON * n) & ((chi2 >= MIN_CHI2) | (df >= FREQUENT * n)))
-    kept = np.sort(kept[np.argsort(-chi2[kept], kind="stable")[:MOST_TERMS]])
     place = np.full(1 << BITS, -1)
     place[kept] = np.arange(len(kept))
     own = place[bucket] >= 0
     doc, term = doc[own], place[bucket[own]]
-    m = Machine(float(np.log(p / (n - p))), kept, np.zeros(len(kept)), np.random.default_rng(seed).normal(0, 0.01, (len(kept), FACTORS)))
+    first = np.searchsorted(doc, np.arange(n + 1))
+    random = np.random.default_rng(seed)
+    m = Machine(float(np.log(p / (n - p))), kept, np.zeros(len(kept)), random.normal(0, 0.01, (len(kept), FACTORS)))
     ridge = np.where(chi2[kept] >= MIN_CHI2, RIDGE, DOUBT * RIDGE)
     gw, gv, gb = np.full(len(kept), 1e-8), np.full(m.factors.shape, 1e-8), 1e-8
+
+    def summed(by: np.ndarray, values: np.ndarray, many: int) -> np.ndarray:
+        return np.stack([np.bincount(by, values[:, f], many) for f in range(FACTORS)], 1)
+
     for _ in range(rounds):
-        d = (1 / (1 + np.exp(-np.clip(m.raw(n, doc, term), -30, 30))) - y) / n
-        per = d[doc]
-        g = np.bincount(term, per, len(kept)) + ridge * m.weights
-        gw += g * g
-        m.weights -= rate * g / np.sqrt(gw)
-        for f in range(FACTORS):
-            v = m.factors[term, f]
-            s = np.bincount(doc, v, n)
-            g = np.bincount(term, per * (s[doc] - v), len(kept)) + 5 * ridge * m.factors[:, f]
-            gv[:, f] += g * g
-            m.factors[:, f] -= 0.1 * rate * g / np.sqrt(gv[:, f])
-        g = d.sum()
-        gb += g * g
-        m.bias -= rate * g / np.sqrt(gb)
+        order = random.permutation(n)
+        for i in range(0, n, size):
+            b = order[i : i + size]
+            count = first[b + 1] - first[b]
+            total = np.cumsum(count)
+            at = np.arange(total[-1]) + np.repeat(first[b] - (total - count), count)
+            d = np.repeat(np.arange(len(b)), count)
+            u, t = np.unique(term[at], return_inverse=True)
+            w, v = m.weights[u], m.factors[u]
+            vt = v[t]
+            s = summed(d, vt, len(b))
+            raw = m.bias + np.bincount(d, w[t], len(b)) + 0.5 * ((s * s).sum(1) - np.bincount(d, (vt * vt).sum(1), len(b)))
+            e = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[b]) / len(b)
+            per = e[d]
+            g = np.bincount(t, per, len(u)) + ridge[u] * w
+            gw[u] += g * g
+            m.weights[u] = w - rate * g / np.sqrt(gw[u])
+            g = summed(t, per[:, None] * (s[d] - vt), len(u)) + 5 * ridge[u][:, None] * v
+            gv[u] += g * g
+            m.factors[u] = v - 0.1 * rate * g / np.sqrt(gv[u])
+            g = e.sum()
+            gb += g * g
+            m.bias -= rate * g / np.sqrt(gb)
     return m
 
 
