@@ -1,14 +1,19 @@
 """Embedding near-dedup by epsilon grid order join: pairs of cosine similarity THRESHOLD or more.
 
 Vectors are normalised; similarity t is distance eps = sqrt(2 - 2 t). The grid lies on the
-leading principal dimensions (from the covariance of all vectors, summed on the executors).
+leading GRID principal dimensions (from the covariance of all vectors, summed on the executors).
 Vectors are sorted by their cells in lexicographic order over the whole table and cut into
-blocks of consecutive ones, each with its bounding box. Pairs of sequence intervals are joined
+blocks of consecutive ones, each with its bounding box on the leading DIMS principal dimensions and
+on the norm of what these leave out. Pairs of sequence intervals are joined
 recursively, FAN parts at a time, and dropped as soon as their boxes are further apart than
 eps; this descends from the whole sequence to blocks in DataFrame joins on interval numbers
-(no cross join of blocks), and within pairs of blocks in numpy, down to small intervals that
-are multiplied. Projected distances never exceed true ones, so nothing is missed. Candidates
-of the single-precision product are decided in double precision.
+(no cross join of blocks), and within a pair of blocks to leaves of LEAF vectors, whose boxes are all
+compared at once; only pairs of leaves that are left are multiplied. Distances on the principal
+dimensions and the norm of the rest together never exceed true ones, so nothing is missed.
+Candidates of the single-precision product are decided in double precision.
+
+What is pruned depends on the vectors: of clustered ones most pairs of blocks are; of vectors spread
+evenly over many dimensions none can be, by this or any grid, and the work is that of all pairs.
 
 A pair never leaves the executors: each pair of blocks is summed up by vector (number of near
 ones, least id), so groups of any size give linear output.
@@ -16,7 +21,8 @@ ones, least id), so groups of any size give linear output.
 Defined results: one row for each row. Null, empty or zero vectors, vectors with nulls, NaNs or
 infinities, and those whose length isn't the table's most frequent (the greatest, if tied) are
 near nothing and kept. Rows that share a vec_id aren't near each other; all get that id's
-result, whose n_near counts the near pairs of all its rows. A null vec_id is near nothing. A vector is dropped if one of smaller vec_id is near it.
+result, whose n_near counts the near pairs of all its rows. A null vec_id is near nothing; vec_ids may be
+of any kind that has an order. A vector is dropped if one of smaller vec_id is near it.
 """
 
 from __future__ import annotations
@@ -29,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, numbered, table
 
 THRESHOLD = 0.95
-BLOCK = 8192
-LEAF = 512
+BLOCK = 4096
+LEAF = 64
 FAN = 8
-DIMS = 6
+GRID = 6
+DIMS = 16
 
 
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
@@ -74,6 +81,12 @@ def _principal(vectors: DataFrame, dim: int, dims: int) -> np.ndarray:
     return np.linalg.eigh(m[:dim, :dim] / n - np.outer(mean, mean))[1][:, ::-1][:, :dims]
 
 
+def _box_points(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Where unit vectors are: on the axes, and the norm of what these leave out."""
+    y = x @ axes
+    return np.hstack([y, np.sqrt(np.maximum(1 - (y * y).sum(1, keepdims=True), 0))])
+
+
 def _cells(dim: int, axes: np.ndarray, eps: float):
     k = axes.shape[1]
 
@@ -86,7 +99,7 @@ def _cells(dim: int, axes: np.ndarray, eps: float):
 
 
 def _blocks(dim: int, axes: np.ndarray, block: int):
-    k = axes.shape[1]
+    names = [f"{s}{i}" for s in ("lo", "hi") for i in range(axes.shape[1] + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -94,11 +107,11 @@ def _blocks(dim: int, axes: np.ndarray, block: int):
 
         def out(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             nonlocal done
-            y = _unit(x) @ axes
+            y = _box_points(_unit(x), axes)
             done += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([done - 1], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.astype(np.float32).tobytes()], pa.binary()), *(pa.array([v]) for v in y.min(0)), *(pa.array([v]) for v in y.max(0))],
-                ["place", "ids", "vectors", *(f"lo{i}" for i in range(k)), *(f"hi{i}" for i in range(k))],
+                ["place", "ids", "vectors", *names],
             )
 
         for batch in batches:
@@ -113,41 +126,44 @@ def _blocks(dim: int, axes: np.ndarray, block: int):
     return run
 
 
+def _leaves(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest coordinates of runs of LEAF points."""
+    at = np.arange(0, len(y), LEAF)
+    return np.minimum.reduceat(y, at, axis=0), np.maximum.reduceat(y, at, axis=0)
+
+
 def _join(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, same: bool, eps: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of near rows of two intervals; of one interval with itself each pair once."""
-    stack = [(0, len(x), 0, len(y))]
     x32, y32 = x.astype(np.float32), y.astype(np.float32)
-    limit = (eps + 1e-9) ** 2
-    while stack:
-        a, b, c, d = stack.pop()
-        if same and c < a:
-            continue
-        gap = np.maximum(px[a:b].min(0) - py[c:d].max(0), py[c:d].min(0) - px[a:b].max(0))
-        if (np.maximum(gap, 0) ** 2).sum() > limit:
-            continue
-        if b - a <= LEAF and d - c <= LEAF:
-            i, j = np.nonzero(x32[a:b] @ y32[c:d].T >= threshold - 1e-4)
-            i, j = i + a, j + c
+    (xlo, xhi), (ylo, yhi) = _leaves(px), _leaves(py)
+    for a in range(len(xlo)):
+        gap = np.maximum(np.maximum(xlo[a] - yhi, ylo - xhi[a]), 0)
+        left = (gap * gap).sum(1) <= (eps + 1e-6) ** 2
+        if same:
+            left[:a] = False
+        own = slice(a * LEAF, (a + 1) * LEAF)
+        # runs of leaves that are left are one product each
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], left, [False]]).astype(np.int8)))
+        for c, d in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            i, j = np.nonzero(x32[own] @ y32[c * LEAF : d * LEAF].T >= threshold - 1e-4)
+            i, j = i + a * LEAF, j + c * LEAF
             if same:
                 i, j = i[i < j], j[i < j]
             for s in range(0, len(i), 1 << 16):
                 u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                 ok = np.einsum("ij,ij->i", x[u], y[v]) >= threshold
                 yield u[ok], v[ok]
-            continue
-        halves = lambda p, q: [(p, q)] if q - p <= LEAF else [(p, p + LEAF * ((q - p + 2 * LEAF - 1) // (2 * LEAF))), (p + LEAF * ((q - p + 2 * LEAF - 1) // (2 * LEAF)), q)]
-        stack += [(*p, *q) for p in halves(a, b) for q in halves(c, d)]
 
 
 def _near(dim: int, axes: np.ndarray, eps: float, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, ia, va, ib, vb in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                ids = [np.frombuffer(v, np.int64) for v in (ia, ib)]
-                x, y = (_unit(np.frombuffer(v, np.float32).reshape(-1, dim).astype(np.float64)) for v in (va, vb))
+            for a, b, ia, va, ib, vb in zip(*(batch.column(k) for k in range(6)), strict=True):
+                ids = [np.frombuffer(v.as_py(), np.int64) for v in (ia, ib)]
+                x, y = (_unit(np.frombuffer(v.as_py(), np.float32).reshape(-1, dim).astype(np.float64)) for v in (va, vb))
                 count = [np.zeros(len(v), np.int64) for v in ids]
                 least = [np.full(len(v), np.iinfo(np.int64).max) for v in ids]
-                for i, j in _join(x, y, x @ axes, y @ axes, a == b, eps, threshold):
+                for i, j in _join(x, y, _box_points(x, axes), _box_points(y, axes), a == b, eps, threshold):
                     apart = ids[0][i] != ids[1][j]
                     for k, (u, v) in enumerate(((i[apart], j[apart]), (j[apart], i[apart]))):
                         count[k] += np.bincount(u, minlength=len(ids[k]))
@@ -159,22 +175,20 @@ def _near(dim: int, axes: np.ndarray, eps: float, threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, dims: int = DIMS) -> DataFrame:
-    """vec_id, n_near, dup_of (least id of a near vector, if smaller; else null) and keep for every row."""
-    kind = vectors.schema["vec_id"].dataType
-    fit = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """id, e: the vectors (number, embedding) that can be near others, of the most frequent length, and that length (0: none)."""
+    fit = vectors.select(F.col("number").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
     fit = fit.filter("id IS NOT NULL AND size(e) > 0 AND NOT exists(e, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(e, x -> x <> 0)")
     most = fit.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    rows = vectors.select("vec_id")
-    if most is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast(kind).alias("dup_of"), F.lit(True).alias("keep"))
-    dim = most["d"]
-    fit = fit.filter(F.size("e") == dim)
-    eps, k = math.sqrt(max(0.0, 2 - 2 * threshold)), min(dims, dim)
-    axes = _principal(fit, dim, k)
+    return (fit.filter(F.size("e") == most["d"]), most["d"]) if most else (fit, 0)
+
+
+def block_pairs(fit: DataFrame, axes: np.ndarray, eps: float, dim: int, block: int) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks in grid order (seq, ids, vectors), the pairs (a, b) of those whose boxes are within eps, and how many blocks there are."""
+    k, boxed = min(GRID, axes.shape[1]), axes.shape[1] + 1
     order = [f"c{i}" for i in range(k)] + ["id"]
-    celled = fit.mapInArrow(_cells(dim, axes, eps or 1e-9), "id long, e array<double>, " + ", ".join(f"c{i} int" for i in range(k)))
-    boxes = [f"{s}{i}" for s in ("lo", "hi") for i in range(k)]
+    celled = fit.mapInArrow(_cells(dim, axes[:, :k], eps or 1e-9), "id long, e array<double>, " + ", ".join(f"c{i} int" for i in range(k)))
+    boxes = [f"{s}{i}" for s in ("lo", "hi") for i in range(boxed)]
     blocks = celled.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "e").mapInArrow(_blocks(dim, axes, block), "place long, ids binary, vectors binary, " + ", ".join(f"{x} double" for x in boxes))
     blocks = cut(blocks.withColumn("part", F.spark_partition_id()))
     # dense numbers in sequence: a count for each partition is all that comes to the driver
@@ -183,7 +197,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     for part, n in counts:
         before.append((part, total))
         total += n
-    spark = vectors.sparkSession
+    spark = fit.sparkSession
     blocks = blocks.join(F.broadcast(spark.createDataFrame(before, "part int, base long")), "part").withColumn("seq", F.col("base") + F.col("place"))
     meta = blocks.select("seq", *boxes)
     levels = max(1, math.ceil(math.log(max(total, 2), FAN)))
@@ -193,19 +207,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         agg = [(F.min if x.startswith("lo") else F.max)(x).alias(f"{side}_{x}") for x in boxes]
         return meta.groupBy(key.alias(side)).agg(*agg).withColumn(f"{side}_up", F.floor(F.col(side) / FAN).cast("long"))
 
-    gap = " + ".join(f"power(greatest(a_lo{i} - b_hi{i}, b_lo{i} - a_hi{i}, 0), 2)" for i in range(k))
+    gap = " + ".join(f"power(greatest(a_lo{i} - b_hi{i}, b_lo{i} - a_hi{i}, 0), 2)" for i in range(boxed))
     pairs = spark.createDataFrame([(0, 0)], "a_up long, b_up long")
     for level in range(levels - 1, -1, -1):
-        met = pairs.join(nodes(level, "a"), "a_up").join(nodes(level, "b"), "b_up").filter(f"a <= b AND {gap} <= {(eps + 1e-9) ** 2!r}")
+        met = pairs.join(nodes(level, "a"), "a_up").join(nodes(level, "b"), "b_up").filter(f"a <= b AND {gap} <= {(eps + 1e-6) ** 2!r}")
         pairs = met.select(F.col("a").alias("a_up"), F.col("b").alias("b_up"))
-    pairs = pairs.select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))
+    return blocks, pairs.select(F.col("a_up").alias("a"), F.col("b_up").alias("b")), total
+
+
+def pairs_kept(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, dims: int = DIMS) -> tuple[int, int]:
+    """How many pairs of blocks (of one with itself too) are left to multiply, and how many there are."""
+    fit, dim = usable(numbered(vectors, "vec_id", "number"))
+    if not dim:
+        return 0, 0
+    _, pairs, n = block_pairs(fit, _principal(fit, dim, min(dims, dim)), math.sqrt(max(0.0, 2 - 2 * threshold)), dim, block)
+    return pairs.count(), n * (n + 1) // 2
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, dims: int = DIMS) -> DataFrame:
+    """vec_id, n_near, dup_of (least id of a near vector, if smaller; else null) and keep for every row."""
+    kind = vectors.schema["vec_id"].dataType
+    own = numbered(vectors.select("vec_id", "embedding"), "vec_id", "number")
+    fit, dim = usable(own)
+    if not dim:
+        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast(kind).alias("dup_of"), F.lit(True).alias("keep"))
+    eps = math.sqrt(max(0.0, 2 - 2 * threshold))
+    axes = _principal(fit, dim, min(dims, dim))
+    blocks, pairs, _ = block_pairs(fit, axes, eps, dim, block)
     left = blocks.select(F.col("seq").alias("a"), F.col("ids").alias("ia"), F.col("vectors").alias("va"))
     right = blocks.select(F.col("seq").alias("b"), F.col("ids").alias("ib"), F.col("vectors").alias("vb"))
     work = pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "va", "ib", "vb")
     near = work.mapInArrow(_near(dim, axes, eps, threshold), "id long, n long, least long").groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
-    out = rows.join(near, F.col("vec_id").cast("long") == F.col("id"), "left")
-    smaller = F.when(F.col("least") < F.col("vec_id"), F.col("least")).cast(kind)
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_near"), smaller.alias("dup_of"), smaller.isNull().alias("keep"))
+    out = own.select("vec_id", "number").join(near, F.col("number") == F.col("id"), "left")
+    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("least") < F.col("number"), F.col("least")).alias("least"))
+    if kind.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return out.select("vec_id", "n_near", F.col("least").cast(kind).alias("dup_of"), F.col("least").isNull().alias("keep"))
+    names = own.filter("number IS NOT NULL").select("number", F.col("vec_id").alias("dup_of")).distinct()
+    return out.join(names, F.col("least") == F.col("number"), "left").select("vec_id", "n_near", "dup_of", F.col("least").isNull().alias("keep"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -380,6 +380,27 @@ def test_embedding_edges(spark):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_ids_of_any_kind(spark):
+    df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.01]), ("c", [0.0, 1.0]), (None, [1.0, 0.0]), ("d", [2.0, 0.0])], "vec_id string, embedding array<double>").withColumn("number", F.lit(3))
+    got = sorted((str(x["vec_id"]), x["n_near"], x["dup_of"], x["keep"]) for x in embedding.near_duplicates(df).collect())
+    assert got == [("None", 0, None, True), ("a", 2, None, True), ("b", 2, "a", False), ("c", 0, None, True), ("d", 2, "a", False)]
+
+
+def test_clustered_embeddings_are_pruned_and_complete(spark):
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(40, 32))
+    x = (np.repeat(centres, 100, 0) + r.normal(scale=0.08, size=(4000, 32))).astype(np.float32)
+    x = x[r.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(float))], "vec_id long, embedding array<float>").repartition(4)
+    kept, every = embedding.pairs_kept(df, block=64)
+    assert kept < 0.5 * every and every > 500
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {z["vec_id"]: z["n_near"] for z in embedding.near_duplicates(df, block=64).collect()}
+    assert [got[i] for i in range(len(x))] == near.sum(1).tolist() and near.sum() > 1000
+
+
 # ---- sharding
 
 

@@ -25,6 +25,7 @@ def planted(spark, sf):
     extra = [long[0], " ".join([*long[1].split()[:-2], "changed"])]
     extra += [f"{' '.join(words(r, 40))} {passage} {' '.join(words(r, 30))}" for _ in range(3)]
     extra += [f"{' '.join(words(r, 40))} {item} {' '.join(words(r, 30))}" for item in items[:4]]
+    extra += [" ".join(words(r, 60_000, 10**9)) + f" {items[4]} {passage}"]
     extra += ["", "1234 5678 ###", None, None, "  "]
     rows = frame(spark, extra, list(range(10_000_000, 10_000_000 + len(extra))))
     return docs.select(*COLUMNS).unionByName(rows.withColumn("source", F.lit("planted")))
