@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm import bpe, decontaminate, language_id, minhash, substring
+from lodestack.llm.common import stored
 
 STAGES = [
     ("language_id", language_id.stage),
@@ -24,8 +25,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to the table of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages, applied to the table of documents. What a stage keeps is written once into the shared folder, as its successor reads it several times; a stage's table goes when the next one is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs, now = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before()
+        before = now
+    return STAGES[-1][1](spark, docs, sf_dir)
