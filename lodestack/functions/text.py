@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,28 +106,50 @@ def greedy_pack(text: Column, size: int = 1000, overlap: int = 200, separators:
     return run(text)
 
 
-def sentence_pack(items: Column, size: int = 512) -> Column:
-    """Sentences joined by spaces: a chunk closes when the next sentence alone would pass `size`; a joiner counts afterwards."""
-    start = F.struct(F.array().cast("array<string>").alias("chunks"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
+def pack_sentences(items: list[str], size: int) -> list[str]:
+    """Chunks of one list of sentences, as sentence_pack gives them."""
+    out, cur, n = [], [], 0
+    for p in items:
+        if cur and n + len(p) > size:
+            out.append(" ".join(cur))
+            cur, n = [], 0
+        cur.append(p)
+        n += len(p) + 1
+    return [*out, " ".join(cur)] if cur else out
 
-    def step(s: Column, p: Column) -> Column:
-        full = (s["n"] + F.length(p) > size) & (F.size(s["cur"]) > 0)
-        return F.when(full, F.struct(F.concat(s["chunks"], F.array(F.array_join(s["cur"], " "))).alias("chunks"), F.array(p).alias("cur"), (F.length(p) + 1).alias("n"))).otherwise(
-            F.struct(s["chunks"].alias("chunks"), F.concat(s["cur"], F.array(p)).alias("cur"), (s["n"] + F.length(p) + 1).alias("n"))
-        )
 
-    return F.aggregate(items, start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["chunks"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["chunks"]))
+def join_small(chunks: list[str], least: int) -> list[str]:
+    """Chunks of one list, as merge_small gives them; those that join are only joined once their run ends."""
+    out, cur, n = [], [], 0
+    for c in chunks:
+        if cur and n + len(c) < least:
+            cur.append(c)
+            n += len(c) + 1
+        else:
+            if cur:
+                out.append(" ".join(cur))
+            cur, n = [c], len(c)
+    return [*out, " ".join(cur)] if cur else out
 
 
-def merge_small(chunks: Column, least: int = 100) -> Column:
-    """A chunk joins the one before, with a space, while the two together have fewer than `least` characters."""
+def _on_lists(items: Column, turn: Callable[[list[str]], list[str]]) -> Column:
+    """turn on each list of an Arrow batch; null for null."""
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else turn(x) for x in lists.to_pylist()], pa.list_(pa.string()))
 
-    def step(out: Column, c: Column) -> Column:
-        last = F.element_at(out, -1)
-        join = (F.size(out) > 0) & (F.length(last) + F.length(c) < least)
-        return F.when(join, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(last, F.lit(" "), c)))).otherwise(F.concat(out, F.array(c)))
+    return run(items)
 
-    return F.aggregate(chunks, F.array().cast("array<string>"), step)
+
+def sentence_pack(items: Column, size: int = 512) -> Column:
+    """Sentences joined by spaces: a chunk closes when the next sentence alone would pass `size`; a joiner counts afterwards."""
+    return _on_lists(items, lambda x: pack_sentences(x, size))
+
+
+def merge_small(chunks: Column, least: int = 100) -> Column:
+    """A chunk joins the one before, with a space, while the two together have fewer than `least` characters."""
+    return _on_lists(chunks, lambda x: join_small(x, least))
 
 
 def groups_of(items: Column, n: int) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 def _islands(df: DataFrame, keys: list[str], value: Column, tolerance: float, name: str, *ties: str) -> DataFrame:
@@ -128,23 +130,34 @@ def outside_tables(text_lines: DataFrame, tables: DataFrame) -> DataFrame:
     return text_lines.join(t, (F.col("page") == F.col("tp")) & F.expr("x0 >= tx0 AND y0 >= ty0 AND x1 <= tx1 AND y1 <= ty1"), "left_anti")
 
 
+def _row_numbers(tolerance: float):
+    """Row of each of a page's elements from their sorted middle heights: a row's elements are within the tolerance of its first."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def run(heights: pa.Array) -> pa.Array:
+        out = []
+        for page in heights.to_pylist():
+            rows, row, anchor = [], -1, 0.0
+            for m in page or []:
+                if row < 0 or abs(m - anchor) > tolerance:
+                    row, anchor = row + 1, m
+                rows.append(row)
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return run
+
+
 def reading_order(elements: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """page, id, pos: rows from top to bottom (a row's elements are within the tolerance of its first), each from left to right.
+    """page, id, text, pos: rows from top to bottom (a row's elements are within the tolerance of its first), each from left to right.
 
-    A fold by page over elements sorted by middle height, as the anchor of a row is its first element.
+    Ties go by id, then text; an id may be there several times.
     """
-    arr = F.array_sort(F.collect_list(F.struct(mid_y().alias("m"), F.col("id"), F.col("x0"))))
+    arr = F.array_sort(F.collect_list(F.struct(mid_y().alias("m"), F.col("id").cast("long").alias("id"), F.col("x0").cast("double").alias("x0"), F.col("text"))))
     per = elements.groupBy("page").agg(arr.alias("e"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).cast("double").alias("anchor"), F.array().cast("array<struct<row:int,x0:double,id:bigint>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        new = (s["row"] < 0) | (F.abs(e["m"] - s["anchor"]) > tolerance)
-        row = F.when(new, s["row"] + 1).otherwise(s["row"])
-        one = F.struct(row.alias("row"), e["x0"].cast("double").alias("x0"), e["id"].cast("long").alias("id"))
-        return F.struct(row.alias("row"), F.when(new, e["m"]).otherwise(s["anchor"]).alias("anchor"), F.concat(s["out"], F.array(one)).alias("out"))
-
-    rows = F.array_sort(F.aggregate("e", start, step, lambda s: s["out"]))
-    return per.select("page", F.posexplode(rows).alias("pos", "r")).select("page", "r.id", "pos")
+    per = per.withColumn("n", _row_numbers(tolerance)(F.transform("e", lambda x: x["m"].cast("double"))))
+    placed = F.transform(F.arrays_zip("e", "n"), lambda z: F.struct(z["n"].alias("row"), z["e"]["x0"].alias("x0"), z["e"]["id"].alias("id"), z["e"]["text"].alias("text")))
+    return per.select("page", F.posexplode(F.array_sort(placed)).alias("pos", "r")).select("page", "r.id", "r.text", "pos")
 
 
 def render(elements: DataFrame) -> DataFrame:

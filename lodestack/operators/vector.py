@@ -7,6 +7,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,13 @@ from ..functions import vectors as V
 BLOCK = 4096
 
 
-def upsert(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of new replace those of store with the same key; the others stay."""
+def upsert(store: DataFrame, new: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """Rows of new replace those of store with the same key; the others stay. A vector of another length than the store's fails the job (ValueError's counterpart in a plan)."""
+    if vector in new.columns and vector in store.columns:
+        length = store.select(F.size(vector).alias("_n")).filter("_n > 0").limit(1)
+        checked = new.join(F.broadcast(length), F.lit(True), "left")
+        wrong = F.col("_n").isNotNull() & (F.size(vector) != F.col("_n"))
+        new = checked.withColumn(vector, F.when(wrong, F.raise_error(F.lit("vectors of different lengths"))).otherwise(F.col(vector))).select(*new.columns)
     return store.join(new.select(key), key, "left_anti").unionByName(new)
 
 
@@ -37,47 +44,73 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _pack(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, BLOCK):
-            ids = batch.column(0).slice(i, BLOCK)
-            rows = batch.column(1).slice(i, BLOCK)
-            ok = [v is not None and len(v) > 0 for v in rows]
-            ids, rows = ids.filter(pa.array(ok)), rows.filter(pa.array(ok))
-            if len(ids):
-                x = np.asarray(rows.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], [f"{kind}_ids", f"{kind}_x"])
+def _matrix(rows: pa.Array) -> np.ndarray:
+    """Rows of equal length as doubles; lengths that differ are a ValueError."""
+    sizes = np.asarray(rows.value_lengths())
+    if len(sizes) and sizes.min() != sizes.max():
+        raise ValueError(f"vectors of different lengths: {sizes.min()} and {sizes.max()}")
+    return np.asarray(rows.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
+
+
+def _present(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of the rows that have one."""
+    ok = pa.array([n is not None and n > 0 for n in batch.column(1).value_lengths().to_pylist()], pa.bool_())
+    return batch.column(0).filter(ok), _matrix(batch.column(1).filter(ok))
+
+
+def _one(ids: pa.Array, x: np.ndarray, *extra: pa.Array) -> list[pa.Array]:
+    """A block as a row: its ids, of their own kind, and its matrix."""
+    return [*extra, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([x.tobytes()], pa.binary())]
 
 
 def _blocks(df: DataFrame, key: str, vector: str, kind: str) -> DataFrame:
-    return df.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(lambda b: _pack(kind, b), f"{kind}_ids binary, {kind}_x binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = _present(batch)
+            for i in range(0, len(ids), BLOCK):
+                yield pa.RecordBatch.from_arrays(_one(ids.slice(i, BLOCK), x[i : i + BLOCK]), [f"{kind}_ids", f"{kind}_x"])
+
+    of = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"{kind}_ids array<{of}>, {kind}_x binary")
+
+
+def _best(q: np.ndarray, s: np.ndarray, metric: str, k: int, digits: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the best k of each row; equal scores go by the columns' order. NaN (a zero vector) never."""
+    if q.shape[1] != s.shape[1]:
+        raise ValueError(f"vectors of different lengths: {q.shape[1]} and {s.shape[1]}")
+    if metric == "l2":
+        score = -((q * q).sum(1)[:, None] - 2 * (q @ s.T) + (s * s).sum(1)[None, :])
+    else:
+        score = q @ s.T
+        if metric == "cosine":
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score /= np.sqrt((q * q).sum(1))[:, None] * np.sqrt((s * s).sum(1))[None, :]
+    score = np.round(score, digits)[:, order] + 0.0
+    score = np.where(np.isnan(score), -np.inf, score)
+    take = min(k, score.shape[1])
+    if take < score.shape[1]:  # all that are at least the k-th best, so that ties are whole
+        least = np.partition(score, score.shape[1] - take, axis=1)[:, score.shape[1] - take]
+        row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+    else:
+        row, col = np.nonzero(np.isfinite(score))
+    v = score[row, col]
+    by = np.lexsort((col, -v, row))
+    row, col, v = row[by], col[by], v[by]
+    first = np.searchsorted(row, np.arange(len(q)))
+    kept = np.arange(len(row)) - first[row] < take
+    return row[kept], order[col[kept]], v[kept]
 
 
 def _scores(metric: str, k: int, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qi, qx, si, sx in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                qid, sid = np.frombuffer(qi, np.int64), np.frombuffer(si, np.int64)
-                q, s = (np.frombuffer(v, np.float64).reshape(n, -1) for v, n in ((qx, len(qid)), (sx, len(sid))))
-                if metric == "l2":
-                    score = -((q * q).sum(1)[:, None] - 2 * (q @ s.T) + (s * s).sum(1)[None, :])
-                else:
-                    score = q @ s.T
-                    if metric == "cosine":
-                        with np.errstate(invalid="ignore", divide="ignore"):
-                            score /= np.sqrt((q * q).sum(1))[:, None] * np.sqrt((s * s).sum(1))[None, :]
-                score = np.round(score, digits) + 0.0
-                # the best k of this block, ties by id; NaN (a zero vector) never
-                take = min(k, len(sid))
-                order = np.argsort(sid, kind="stable")
-                sid, score = sid[order], score[:, order]
-                score = np.where(np.isnan(score), -np.inf, score)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :take]
-                row = np.repeat(np.arange(len(qid)), take)
-                col = best.ravel()
-                v = score[row, col]
-                ok = np.isfinite(v)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[row[ok]]), pa.array(sid[col[ok]]), pa.array(v[ok])], ["query_id", "id", "score"])
+            qi, qx, si, sx = (batch.column(c) for c in range(4))
+            for n in range(batch.num_rows):
+                qid, sid = qi[n].values, si[n].values
+                q, s = (np.frombuffer(v[n].as_py(), np.float64).reshape(len(i), -1) for v, i in ((qx, qid), (sx, sid)))
+                order = np.asarray(pc.sort_indices(sid)).astype(np.int64)
+                row, col, v = _best(q, s, metric, k, digits, order)
+                yield pa.RecordBatch.from_arrays([qid.take(pa.array(row)), sid.take(pa.array(col)), pa.array(v)], ["query_id", "id", "score"])
 
     return run
 
@@ -86,12 +119,14 @@ def knn(queries: DataFrame, store: DataFrame, k: int, metric: str = "cosine", ke
     """query_id, id, score, rank: exact top k of the store for each query row.
 
     Both sides are packed into blocks; each pair of blocks is one matrix product that keeps its
-    own top k, and only those are shuffled for the final rank. Nothing is broadcast by hand. Scores
-    are rounded to `digits` before they are ranked; l2 scores are negated squared distances. A
-    zero vector has no cosine and is left out on either side.
+    own top k, and only those are shuffled for the final rank: a stated query set against all rows. Nothing is
+    broadcast by hand. Ids keep their kind. Scores are rounded to `digits` before they are ranked; l2 scores are
+    negated squared distances. A zero vector has no cosine and is left out on either side; vectors of
+    different lengths fail the job.
     """
     pairs = _blocks(queries, key, vector, "q").crossJoin(_blocks(store, key, vector, "s"))
-    return top_k(pairs.mapInArrow(_scores(metric, k, digits), "query_id long, id long, score double"), k)
+    kinds = f"query_id {queries.schema[key].dataType.simpleString()}, id {store.schema[key].dataType.simpleString()}, score double"
+    return top_k(pairs.mapInArrow(_scores(metric, k, digits), kinds), k)
 
 
 def flatten_metadata(rows: DataFrame, columns: list[str]) -> Column:
@@ -104,21 +139,59 @@ def flatten_metadata(rows: DataFrame, columns: list[str]) -> Column:
     return F.create_map(*pairs)
 
 
-def assign_ivf(vectors: DataFrame, centroids: DataFrame, probes: int = 1, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id: the `probes` nearest centroids of each vector."""
-    return knn(vectors, centroids, probes, "l2", key, vector).select("query_id", F.col("id").alias("list"))
+def unflatten_metadata(flat: Column, kinds: dict[str, str]) -> dict[str, Column]:
+    """Columns of the given kinds from metadata that flatten_metadata made: nested kinds are read as JSON, others cast."""
+    nested = ("array", "map", "struct")
+    return {c: F.from_json(flat[c], kind) if kind.startswith(nested) else flat[c].cast(kind) for c, kind in kinds.items()}
+
+
+def train_centroids(store: DataFrame, lists: int, key: str = "vec_id", vector: str = "embedding", sample: int = 20_000, rounds: int = 12) -> np.ndarray:
+    """Unit centroids by Lloyd's iteration on the driver from a bounded sample: the `sample` vectors whose id hashes lowest."""
+    rows = store.select(F.xxhash64(key).alias("h"), key, F.col(vector).cast("array<double>").alias("v")).filter("size(v) > 0").orderBy("h", key).limit(sample).toArrow()
+    x = _matrix(rows.column("v").combine_chunks()) if rows.num_rows else np.zeros((0, 1))
+    x = x[(x * x).sum(1) > 0]
+    x = x / np.sqrt((x * x).sum(1, keepdims=True))
+    c = x[:lists].copy()
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(1) if len(c) else np.zeros(0, np.int64)
+        for n in range(len(c)):
+            if (near == n).any():
+                m = x[near == n].sum(0)
+                c[n] = m / max(np.sqrt(m @ m), 1e-12)
+    return c
 
 
-def ann(queries: DataFrame, store: DataFrame, k: int, lists: int = 16, probes: int = 13, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Approximate top k by inverted lists: vectors go to the list of their nearest centroid, queries to `probes` lists.
+def _listed(df: DataFrame, key: str, vector: str, kind: str, shared: Broadcast, probes: int) -> DataFrame:
+    """Blocks by list of the vectors' `probes` nearest centroids."""
 
-    Centroids are the vectors whose id hashes lowest. Vectors without clusters need most lists: of 16,
-    13 give a recall of 0.94 or more against knn on the test tables (8 give 0.76).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            ids, x = _present(batch)
+            if not len(ids):
+                continue
+            near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes]
+            for n in np.unique(near).tolist():
+                own = np.flatnonzero((near == n).any(1))
+                for i in range(0, len(own), BLOCK):
+                    some = own[i : i + BLOCK]
+                    yield pa.RecordBatch.from_arrays(_one(ids.take(pa.array(some)), x[some], pa.array([n], pa.int32())), ["list", f"{kind}_ids", f"{kind}_x"])
+
+    of = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"list int, {kind}_ids array<{of}>, {kind}_x binary")
+
+
+def ann(queries: DataFrame, store: DataFrame, k: int, lists: int = 32, probes: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Approximate top k by cosine over inverted lists: every vector is in the list of its nearest centroid, queries look into `probes` lists.
+
+    Centroids are trained on a bounded sample (train_centroids) and broadcast (lists * dimensions
+    doubles). Lists travel as blocks, so that a hot one is many rows. On the test vectors, which have few clusters, 20
+    of 32 lists give a recall of 0.92 against knn; clustered ones need fewer.
     """
-    centroids = store.orderBy(F.xxhash64(key), key).limit(lists)
-    stored = assign_ivf(store, centroids, 1, key, vector).join(store.select(F.col(key).alias("query_id"), F.col(vector).alias("sv")), "query_id").select("list", F.col("query_id").alias("id"), "sv")
-    asked = assign_ivf(queries, centroids, probes, key, vector).join(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("qv")), "query_id")
-    return top_k(asked.join(stored, "list").select("query_id", "id", F.round(V.cosine(F.col("qv"), F.col("sv")), 6).alias("score")).filter("score IS NOT NULL"), k)
+    shared = store.sparkSession.sparkContext.broadcast(train_centroids(store, lists, key, vector))
+    pairs = _listed(queries, key, vector, "q", shared, probes).join(_listed(store, key, vector, "s", shared, 1), "list").select("q_ids", "q_x", "s_ids", "s_x")
+    kinds = f"query_id {queries.schema[key].dataType.simpleString()}, id {store.schema[key].dataType.simpleString()}, score double"
+    return top_k(pairs.mapInArrow(_scores("cosine", k, 6), kinds), k)
 
 
 def hash_embed(rows: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:

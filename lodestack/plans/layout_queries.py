@@ -155,9 +155,9 @@ def table_overlap_filter(spark, d):
     return layout.outside_tables(layout.lines(spans(spark, d)), t).select("page", "line", "text")
 
 
-_ORDER = f"""{_SPAN}, arr AS (SELECT page, list({{'m': (y0 + y1) / 2, 'id': ord, 'x0': x0, 'row': 0::BIGINT, 'anchor': (y0 + y1) / 2}} ORDER BY (y0 + y1) / 2, ord, x0) AS e FROM spans GROUP BY page),
-f AS (SELECT page, unnest(list_reduce(list_transform(e, lambda x: [x]), lambda s, x: list_concat(s, [CASE WHEN abs(x[1].m - s[len(s)].anchor) > 5 THEN {{'m': x[1].m, 'id': x[1].id, 'x0': x[1].x0, 'row': s[len(s)].row + 1, 'anchor': x[1].m}} ELSE {{'m': x[1].m, 'id': x[1].id, 'x0': x[1].x0, 'row': s[len(s)].row, 'anchor': s[len(s)].anchor}} END]))) AS r FROM arr),
-ordered AS (SELECT page, r.id AS id, (row_number() OVER (PARTITION BY page ORDER BY r.row, r.x0, r.id) - 1)::INTEGER AS pos FROM f)"""
+_ORDER = f"""{_SPAN}, arr AS (SELECT page, list({{'m': (y0 + y1) / 2, 'id': ord, 'x0': x0, 'text': text, 'row': 0::BIGINT, 'anchor': (y0 + y1) / 2}} ORDER BY (y0 + y1) / 2, ord, x0, text) AS e FROM spans GROUP BY page),
+f AS (SELECT page, unnest(list_reduce(list_transform(e, lambda x: [x]), lambda s, x: list_concat(s, [CASE WHEN abs(x[1].m - s[len(s)].anchor) > 5 THEN {{'m': x[1].m, 'id': x[1].id, 'x0': x[1].x0, 'text': x[1].text, 'row': s[len(s)].row + 1, 'anchor': x[1].m}} ELSE {{'m': x[1].m, 'id': x[1].id, 'x0': x[1].x0, 'text': x[1].text, 'row': s[len(s)].row, 'anchor': s[len(s)].anchor}} END]))) AS r FROM arr),
+ordered AS (SELECT page, r.id AS id, r.text AS text, (row_number() OVER (PARTITION BY page ORDER BY r.row, r.x0, r.id, r.text) - 1)::INTEGER AS pos FROM f)"""
 
 
 def _ordered(spark, d):
@@ -166,16 +166,15 @@ def _ordered(spark, d):
 
 @query("reading_order", f"WITH {_ORDER} SELECT page, id::BIGINT AS id, pos FROM ordered")
 def reading_order(spark, d):
-    return _ordered(spark, d)
+    return _ordered(spark, d).select("page", "id", "pos")
 
 
-@query("page_render", f"""WITH {_ORDER}, el AS (SELECT o.page, o.pos, CASE WHEN s.ord % 3 = 0 THEN '[x] ' || s.text WHEN s.ord % 3 = 1 THEN '[ ] ' || s.text ELSE s.text || ' | b' || chr(10) || '--- | ---' || chr(10) || '1 | 2' END AS t FROM ordered o JOIN spans s ON s.page = o.page AND s.ord = o.id)
+@query("page_render", f"""WITH {_ORDER}, el AS (SELECT page, pos, CASE WHEN id % 3 = 0 THEN '[x] ' || text WHEN id % 3 = 1 THEN '[ ] ' || text ELSE text || ' | b' || chr(10) || '--- | ---' || chr(10) || '1 | 2' END AS t FROM ordered)
 SELECT page, string_agg(t, chr(10) ORDER BY pos) AS text FROM el GROUP BY page""")
 def page_render(spark, d):
-    s = spans(spark, d).select("page", F.col("ord").cast("long").alias("id"), "text")
     m = F.col("id") % 3
     kind = F.when(m == 2, "table").otherwise("checkbox")
-    el = _ordered(spark, d).join(s, ["page", "id"]).select("page", "pos", kind.alias("kind"), "text", F.when(m == 0, "checked").otherwise("unchecked").alias("state"), F.array("text", F.lit("b")).alias("header"), F.array(F.array(F.lit("1"), F.lit("2"))).alias("rows"))
+    el = _ordered(spark, d).select("page", "pos", kind.alias("kind"), "text", F.when(m == 0, "checked").otherwise("unchecked").alias("state"), F.array("text", F.lit("b")).alias("header"), F.array(F.array(F.lit("1"), F.lit("2"))).alias("rows"))
     return layout.render(el)
 
 
