@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..lineage import cut
 
 
 def ranking(queries: DataFrame, results: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
@@ -41,14 +44,56 @@ def ranking(queries: DataFrame, results: DataFrame, gold: DataFrame, k: int = 10
     )
 
 
-def exact_match(pred: Column, gold: Column) -> Column:
-    return F.when(T.normalise(pred) == T.normalise(gold), 1.0).otherwise(0.0)
+MOST_PASSAGE_CHARS = 20_000_000
+
+
+def passages_in(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, source: documents (source, text) that hold an item's text (query_id, text) as it is; an empty one is in all texts.
+
+    One pass without a shuffle: the distinct texts of the items make an automaton, which is broadcast if they have at most
+    MOST_PASSAGE_CHARS characters together; larger sets pass in groups of items, whose documents are read again.
+    """
+    distinct = cut(items.filter("text IS NOT NULL").select("text").distinct())
+    of = docs.schema["source"].dataType.simpleString()
+    sc = docs.sparkSession.sparkContext
+
+    def found(texts: list[str]) -> DataFrame:
+        shared = sc.broadcast(texts)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            search = ahocorasick.Automaton()
+            for k, t in enumerate(shared.value):
+                if t:
+                    search.add_word(t, k)
+            search.make_automaton()
+            always = {k for k, t in enumerate(shared.value) if not t}
+            for batch in batches:
+                at, which = [], []
+                for n, text in enumerate(batch.column(1).to_pylist()):
+                    if text is not None:
+                        hit = always | ({k for _, k in search.iter(text)} if len(search) else set())
+                        at += [n] * len(hit)
+                        which += hit
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([shared.value[k] for k in which], pa.string())], ["source", "text"])
+
+        return docs.select("source", "text").mapInArrow(run, f"source {of}, text string")
+
+    every, held, size = None, [], 0
+    for row in distinct.toLocalIterator():
+        if held and size + len(row["text"]) > MOST_PASSAGE_CHARS:
+            part = found(held)
+            every, held, size = part if every is None else every.unionByName(part), [], 0
+        held.append(row["text"])
+        size += len(row["text"])
+    part = found(held)
+    every = part if every is None else every.unionByName(part)
+    return items.select("query_id", "text").join(every, "text").select("query_id", "source")
 
 
-def _counts(text: Column) -> Column:
-    """Tokens with how many times each occurs."""
-    tok = T.words(T.normalise(text))
-    return F.transform(F.array_distinct(tok), lambda t: F.struct(t.alias("t"), F.size(F.filter(tok, lambda x: x == t)).alias("n")))
+def exact_match(pred: Column, gold: Column) -> Column:
+    return F.when(T.normalise(pred) == T.normalise(gold), 1.0).otherwise(0.0)
 
 
 def token_f1(pairs: DataFrame, key: str = "id", pred: str = "pred", gold: str = "gold", digits: int = 6) -> DataFrame:

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
 
 
-def rule_entities(docs: DataFrame, low: int = 5, high: int = 12, least: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """name, doc_id, ord (first place in the document) of tokens of `least` characters or more that `low` to `high` documents have."""
-    tok = docs.select(F.col(key).alias("doc_id"), F.posexplode(T.tokens(F.col(text))).alias("ord", "name")).filter(F.length("name") >= least)
-    once = tok.groupBy("name", "doc_id").agg(F.min("ord").alias("ord"))
-    return once.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter(F.col("df").between(low, high)).drop("df")
+def rule_entities(docs: DataFrame, low: int = 5, share: float = 0.002, least: int = 4, key: str = "doc_id", text: str = "text", floor: int = 12) -> DataFrame:
+    """name, doc_id, ord (first place in the document) of tokens of `least` characters or more that few documents have.
+
+    Few: from `low` distinct texts (copies count once) to `share` of all distinct texts, `floor` at least.
+    """
+    known = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("_h"))
+    most = max(floor, int(share * known.filter("_t IS NOT NULL").select(F.countDistinct("_h")).first()[0]))
+    tok = known.select("doc_id", "_h", F.posexplode(T.tokens(F.col("_t"))).alias("ord", "name")).filter(F.length("name") >= least)
+    once = tok.groupBy("name", "doc_id").agg(F.min("ord").alias("ord"), F.first("_h").alias("_h"))
+    df = once.groupBy("name", "_h").agg(F.lit(1).alias("_one")).groupBy("name").agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df").between(low, most))
+    return once.join(df, "name", "left_semi").drop("_h")
 
 
 def rule_relations(docs: DataFrame, entities: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,14 +57,13 @@ def adjacency(relations: DataFrame) -> DataFrame:
 
 
 def neighbourhood(seeds: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
-    """query_id, node, level (0 for seeds) of nodes within `levels` levels, seeds counting as the first; 0 levels: none."""
+    """query_id, node, level (0 for seeds) of nodes within `levels` levels, seeds counting as the first; 0 levels: none. What a level adds is computed once."""
     if levels <= 0:
         return seeds.select("query_id", "node", F.lit(0).alias("level")).limit(0)
-    seen = seeds.select("query_id", "node", F.lit(0).alias("level")).distinct()
-    frontier = seen
+    seen = frontier = _cut(seeds.select("query_id", "node", F.lit(0).alias("level")).distinct())
     for level in range(1, levels):
         step = frontier.join(edges, "node").select("query_id", F.col("neighbour").alias("node")).distinct()
-        frontier = step.join(seen, ["query_id", "node"], "left_anti").withColumn("level", F.lit(level))
+        frontier = _cut(step.join(seen, ["query_id", "node"], "left_anti").withColumn("level", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -69,14 +74,34 @@ def query_words(queries: DataFrame, query_id: str = "query_id", text: str = "tex
     return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(F.transform(found, F.lower))).alias("entity"))
 
 
-def fuzzy_match(asked: DataFrame, names: DataFrame) -> DataFrame:
+def fuzzy_match(asked: DataFrame, names: DataFrame, gram: int = 4) -> DataFrame:
     """query_id, node: entities whose name contains, or is contained in, a query's entity.
 
-    A theta join; the side of query entities is the smaller, which Spark chooses by size. Each
-    distinct query entity is compared once, however many queries ask for it.
+    Candidates come from equal `gram`-grams: a contained string's rarest gram is one of the containing one's, so the shorter side
+    sends one gram and the longer all of its own; contained strings shorter than a gram are looked up among all
+    substrings of their length. Each distinct query entity is compared once, however many queries ask for it.
     """
-    distinct = asked.select("entity").distinct()
-    hit = names.select(F.col("name").alias("node")).distinct().join(distinct, F.contains("node", "entity") | F.contains("entity", "node"))
+    one, all_ = asked.select(F.col("entity").alias("s")).distinct(), names.select(F.col("name").alias("s")).distinct()
+
+    def grams(n: Column | int, s: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - n + 1)), lambda i: F.substring(s, i, F.lit(n) if isinstance(n, int) else n)))
+
+    def inside(small: DataFrame, large: DataFrame) -> DataFrame:
+        """small, large: strings of the one frame that strings of the other contain."""
+        spread = large.select(F.col("s").alias("large"), F.explode(grams(gram, F.col("s"))).alias("g"))
+        counts = spread.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        long = small.filter(F.length("s") >= gram).select(F.col("s").alias("small"), F.explode(grams(gram, F.col("s"))).alias("g"))
+        # a gram that no large string has leaves its string without a match; of the others the rarest is asked for
+        rare = long.join(counts, "g", "left").groupBy("small").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+        hits = rare.join(spread, "g").select("small", "large")
+        short = small.filter(F.length("s") < gram).select(F.col("s").alias("small"))
+        if gram > 1:
+            parts = large.select(F.col("s").alias("large"), F.explode(F.array_distinct(F.flatten(F.array(*(grams(k, F.col("s")) for k in range(1, gram)))))).alias("small"))
+            hits = hits.unionByName(short.filter("small <> ''").join(parts, "small").select("small", "large"))
+        return hits.filter(F.contains("large", "small")).distinct()
+
+    hit = inside(one, all_).select(F.col("small").alias("entity"), F.col("large").alias("node"))
+    hit = hit.unionByName(inside(all_, one).select(F.col("large").alias("entity"), F.col("small").alias("node"))).distinct()
     return asked.join(hit, "entity").select("query_id", "node").distinct()
 
 
@@ -102,13 +127,14 @@ def local_context(near: DataFrame, entities: DataFrame, relations: DataFrame, mo
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, community (its least node) by alternating stars; bounded by the logarithm of the diameter."""
+    """node, community (its least node) by alternating stars; bounded by the logarithm of the diameter. Least neighbours are aggregates that are joined, so that a hub isn't one task."""
     e = _cut(edges.select(F.greatest("node", "neighbour").alias("a"), F.least("node", "neighbour").alias("b")).filter("a <> b").distinct())
-    near, before = Window.partitionBy("a"), None
+    before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least("a", F.min("b").over(near))).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        m = large.withColumn("m", F.min("b").over(near))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        m = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         e = _cut(m.select("a", F.col("m").alias("b")).unionByName(m.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct())
         now = e.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if now == before:
@@ -176,6 +202,6 @@ def whole_reports(parts: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    from ..plans.session import cut
+    from ..lineage import cut
 
     return cut(df)

@@ -45,11 +45,15 @@ def rewrites(queries: DataFrame, replies: Column, n: int = 3) -> DataFrame:
     return queries.select("query_id", F.posexplode(every).alias("variant", "text"))
 
 
+def _variants(base: Retriever, variants: DataFrame, k: int) -> DataFrame:
+    """query_id, variant, id, rank: results of each variant as a query of its own, keyed by both numbers."""
+    one = variants.select(F.struct("query_id", "variant").alias("query_id"), "text")
+    return base(one, k).select("query_id.query_id", "query_id.variant", "id", "rank")
+
+
 def multi_query(variants: DataFrame, base: Retriever, k: int) -> DataFrame:
     """Results of all variants, first seen first (variant, then rank), once each, cut to k."""
-    one = variants.select((F.col("query_id") * 1000 + F.col("variant")).alias("query_id"), "text")
-    got = base(one, k).select(F.floor(F.col("query_id") / 1000).cast("long").alias("query_id"), F.pmod("query_id", F.lit(1000)).alias("variant"), "id", "rank")
-    seen = got.groupBy("query_id", "id").agg(F.min(F.struct("variant", "rank")).alias("s"))
+    seen = _variants(base, variants, k).groupBy("query_id", "id").agg(F.min(F.struct("variant", "rank")).alias("s"))
     w = Window.partitionBy("query_id").orderBy("s.variant", "s.rank", "id")
     return seen.withColumn("new_rank", F.row_number().over(w)).filter(F.col("new_rank") <= k).select("query_id", "id", F.col("new_rank").alias("rank"))
 
@@ -97,7 +101,7 @@ def corrective(queries: DataFrame, base: Retriever, chunks: DataFrame, llm: LLMP
     A round works only on the queries that aren't settled. Settled at max(1, int(k * share)) relevant
     results; after the last round the relevant ones stand, or all if there are none.
     """
-    from ..plans.session import cut
+    from ..lineage import cut
 
     need = max(1, int(k * share))
     open_queries, done = queries.select("query_id", "text"), None
@@ -144,8 +148,7 @@ def drift(queries: DataFrame, base: Retriever, follow_ups: Callable[[DataFrame,
     first = base(queries, k).select("query_id", F.lit(0).alias("round"), F.lit(0).alias("variant"), "rank", "id")
     for r in range(1, rounds + 1):
         more = follow_ups(queries, r)
-        coded = more.select((F.col("query_id") * 1000 + F.col("variant")).alias("query_id"), "text")
-        got = base(coded, per_follow_up).select(F.floor(F.col("query_id") / 1000).cast("long").alias("query_id"), F.lit(r).alias("round"), F.pmod("query_id", F.lit(1000)).cast("int").alias("variant"), "rank", "id")
+        got = _variants(base, more, per_follow_up).select("query_id", F.lit(r).alias("round"), F.col("variant").cast("int").alias("variant"), "rank", "id")
         first = first.unionByName(got)
     seen = first.groupBy("query_id", "id").agg(F.min(F.struct("round", "variant", "rank")).alias("s"))
     w = Window.partitionBy("query_id").orderBy("s", "id")

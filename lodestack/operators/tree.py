@@ -33,7 +33,7 @@ def recentre(vectors: DataFrame, assigned: DataFrame, centroids: DataFrame) -> D
 
 def kmeans(vectors: DataFrame, k: int, rounds: int = 50) -> DataFrame:
     """vec_id, cluster by Lloyd's iteration from the k least ids; ends when assignments repeat."""
-    from ..plans.session import cut
+    from ..lineage import cut
 
     first = vectors.orderBy("vec_id").limit(k).withColumn("cluster", F.row_number().over(Window.orderBy("vec_id")) - 1)
     centroids = cut(first.select("cluster", F.col("embedding").cast("array<double>").alias("centroid")))
@@ -50,7 +50,7 @@ def kmeans(vectors: DataFrame, k: int, rounds: int = 50) -> DataFrame:
 
 def build(leaves: DataFrame, summarise: Column, embed, levels: int = 3, most: int = 10) -> DataFrame:
     """vec_id, level (0 for leaves), cluster, text, embedding of all nodes. summarise: over texts (array) of a cluster, all its members in pieces of about PIECE characters; embed: frame with vec_id, text -> with embedding."""
-    from ..plans.session import cut
+    from ..lineage import cut
 
     nodes = leaves.select("vec_id", F.lit(0).alias("level"), F.lit(None).cast("int").alias("cluster"), "text", F.col("embedding").cast("array<double>").alias("embedding"))
     every, level_nodes = nodes, nodes

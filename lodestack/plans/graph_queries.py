@@ -3,6 +3,8 @@
 # ruff: noqa: E501
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from . import sqltext as S
 from .registry import query
 from .session import cut, table
 
-_ENTS = f"""etok AS (SELECT doc_id, (generate_subscripts(t, 1) - 1)::INTEGER AS ord, unnest(t) AS name FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)),
-once AS (SELECT name, doc_id, min(ord) AS ord FROM etok WHERE length(name) >= 4 GROUP BY ALL),
-ents AS (SELECT name, doc_id, ord, CASE WHEN ord % 2 = 0 THEN 'concept' ELSE 'term' END AS entity_type FROM (SELECT *, count(*) OVER (PARTITION BY name) AS df FROM once) WHERE df BETWEEN 5 AND 12)"""
+_ENTS = f"""etok AS (SELECT doc_id, h, (generate_subscripts(t, 1) - 1)::INTEGER AS ord, unnest(t) AS name FROM (SELECT doc_id, md5(text) AS h, {S.tokens('text')} AS t FROM documents)),
+once AS (SELECT name, doc_id, any_value(h) AS h, min(ord) AS ord FROM etok WHERE length(name) >= 4 GROUP BY name, doc_id),
+few AS (SELECT name FROM once GROUP BY name HAVING count(DISTINCT h) BETWEEN 5 AND greatest(12, trunc(0.002::DOUBLE * (SELECT count(DISTINCT md5(text)) FROM documents)))),
+ents AS (SELECT name, doc_id, ord, CASE WHEN ord % 2 = 0 THEN 'concept' ELSE 'term' END AS entity_type FROM once JOIN few USING (name))"""
 _RELS = f"""{_ENTS}, names AS (SELECT DISTINCT name FROM ents),
 sent AS (SELECT doc_id, (generate_subscripts(s, 1) - 1)::INTEGER AS ord, unnest(s) AS s FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents)),
 stok AS (SELECT DISTINCT doc_id, ord, unnest({S.tokens('s')}) AS name FROM sent),
@@ -30,18 +33,34 @@ def entities(spark, d):
     return e.withColumn("entity_type", F.when(F.col("ord") % 2 == 0, "concept").otherwise("term"))
 
 
-def relations(spark, d):
-    docs = table(spark, d, "documents")
-    r = graph.rule_relations(docs, graph.rule_entities(docs))
-    return r.withColumn("weight", (F.col("ord") % 10 + 1).cast("double")).withColumn("relation", F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")))
+class Graph:
+    """The entity graph of all documents; each of its tables is computed once, when it is first asked for."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
 
+    @cached_property
+    def entities(self):
+        return cut(entities(self.spark, self.d))
 
-def merged(spark, d):
-    return graph.merge_relations(relations(spark, d))
+    @cached_property
+    def relations(self):
+        r = graph.rule_relations(table(self.spark, self.d, "documents"), self.entities)
+        return cut(r.withColumn("weight", (F.col("ord") % 10 + 1).cast("double")).withColumn("relation", F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string"))))
 
+    @cached_property
+    def merged(self):
+        return cut(graph.merge_relations(self.relations))
 
-def edges(spark, d):
-    return graph.adjacency(relations(spark, d))
+    @cached_property
+    def edges(self):
+        return cut(graph.adjacency(self.relations))
+
+    @cached_property
+    def seeds(self):
+        """query_id, node: entities that are words of a query."""
+        named = self.entities.select(F.col("name").alias("entity")).distinct()
+        return graph.query_words(R.items(self.spark, self.d)).join(named, "entity").select("query_id", F.col("entity").alias("node"))
 
 
 def _ids(c):
@@ -58,7 +77,7 @@ _MERGED = f"""{_RELS}, mrel AS (SELECT source, target, max(weight) AS weight, ar
 
 @query("relation_merge", f"WITH {_MERGED} SELECT source, target, weight, relation, array_to_string(ids, ',') AS documents FROM mrel")
 def relation_merge(spark, d):
-    return merged(spark, d).select("source", "target", "weight", "relation", _ids("document_ids").alias("documents"))
+    return Graph(spark, d).merged.select("source", "target", "weight", "relation", _ids("document_ids").alias("documents"))
 
 
 @query("description_merge", f"WITH {_ENTS}, x AS (SELECT name, doc_id, ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'seen at ' || (ord % 5)::VARCHAR END AS description FROM ents), o AS (SELECT name, description, min(doc_id) AS f FROM x WHERE description <> '' GROUP BY ALL) SELECT name, string_agg(description, ' ' ORDER BY f) AS description FROM o GROUP BY name")
@@ -69,7 +88,7 @@ def description_merge(spark, d):
 
 @query("adjacency", f"WITH {_RELS} SELECT node, neighbour FROM edges")
 def adjacency(spark, d):
-    return edges(spark, d)
+    return Graph(spark, d).edges
 
 
 @query("query_entity_fallback", f"WITH {_RELS} SELECT query_id, entity FROM asked")
@@ -90,22 +109,19 @@ l1 AS (SELECT DISTINCT query_id, neighbour AS node FROM l0 JOIN edges USING (nod
 l2 AS (SELECT DISTINCT query_id, neighbour AS node FROM l1 JOIN edges USING (node) EXCEPT (SELECT * FROM l0 UNION ALL SELECT * FROM l1))"""
 
 
-def seeds(spark, d):
-    """query_id, node: entities that are words of a query."""
-    return graph.query_words(R.items(spark, d)).join(entities(spark, d).select(F.col("name").alias("entity")).distinct(), "entity").select("query_id", F.col("entity").alias("node"))
-
-
 @query("bfs_levels", f"WITH {_SEEDS} SELECT query_id, node, 0 AS level FROM l0 UNION ALL SELECT query_id, node, 1 FROM l1 UNION ALL SELECT query_id, node, 2 FROM l2")
 def bfs_levels(spark, d):
-    return graph.neighbourhood(seeds(spark, d), edges(spark, d), 3)
+    g = Graph(spark, d)
+    return graph.neighbourhood(g.seeds, g.edges, 3)
 
 
 _NEAR_DOCS = "gids AS (SELECT DISTINCT query_id, doc_id AS id FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1) n JOIN ents e ON e.name = n.node)"
 
 
 def graph_ids(spark, d):
-    near = graph.neighbourhood(seeds(spark, d), edges(spark, d), 2)
-    return near.join(entities(spark, d).select(F.col("name").alias("node"), F.col("doc_id").alias("id")), "node").select("query_id", "id").distinct()
+    g = Graph(spark, d)
+    near = graph.neighbourhood(g.seeds, g.edges, 2)
+    return near.join(g.entities.select(F.col("name").alias("node"), F.col("doc_id").alias("id")), "node").select("query_id", "id").distinct()
 
 
 @query("graph_documents", f"WITH {_SEEDS}, {_NEAR_DOCS} SELECT * FROM gids")
@@ -127,8 +143,8 @@ loc AS (SELECT query_id, '## Relevant Entities' || chr(10) || e || CASE WHEN r I
 
 
 def local(spark, d):
-    near = graph.neighbourhood(seeds(spark, d), edges(spark, d), 2)
-    return graph.local_context(near, graph.merge_entities(entities(spark, d)), merged(spark, d))
+    g = Graph(spark, d)
+    return graph.local_context(graph.neighbourhood(g.seeds, g.edges, 2), graph.merge_entities(g.entities), g.merged)
 
 
 @query("local_context", f"WITH {_LOCAL} SELECT query_id, content FROM loc")
@@ -141,7 +157,7 @@ SELECT query_id, 1 AS rank, NULL::BIGINT AS id, content FROM loc UNION ALL
 SELECT r.query_id, (rank + CASE WHEN loc.query_id IS NULL THEN 0 ELSE 1 END)::INTEGER, r.id, d.text FROM r LEFT JOIN loc ON loc.query_id = r.query_id JOIN documents d ON d.doc_id = r.id WHERE loc.query_id IS NULL OR rank <= 4""")
 def graph_local_search(spark, d):
     """The neighbourhood as the first document, then k - 1 retrieved ones; without one, k."""
-    head = local(spark, d).select("query_id", F.lit(1).alias("rank"), F.lit(None).cast("long").alias("id"), "content")
+    head = cut(local(spark, d)).select("query_id", F.lit(1).alias("rank"), F.lit(None).cast("long").alias("id"), "content")
     got = retrieve.content_of(R.sparse_retriever(spark, d)(R.items(spark, d), 5), R.corpus(spark, d))
     rest = got.join(head.select("query_id", F.lit(1).alias("_h")), "query_id", "left").filter(F.col("_h").isNull() | (F.col("rank") <= 4))
     return head.unionByName(rest.select("query_id", (F.col("rank") + F.coalesce("_h", F.lit(0))).cast("int").alias("rank"), "id", "content"))
@@ -151,28 +167,32 @@ def graph_local_search(spark, d):
 cc(node, root) USING KEY (node) AS (SELECT node, node FROM nodes UNION (SELECT e.neighbour, min(cc.root) FROM cc JOIN edges e ON e.node = cc.node JOIN recurring.cc AS r ON r.node = e.neighbour GROUP BY e.neighbour, r.root HAVING min(cc.root) < r.root))
 SELECT node, root AS community FROM cc""")
 def community_components(spark, d):
-    return graph.components(edges(spark, d))
+    return graph.components(Graph(spark, d).edges)
+
+
+def _both_ways(g):
+    r = g.merged
+    return cut(r.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "weight").unionByName(r.select(F.col("target").alias("node"), F.col("source").alias("neighbour"), "weight")))
 
 
 @query("community_labels")
 def community_labels(spark, d):
     """Communities by weighted label propagation."""
-    r = merged(spark, d)
-    both = r.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "weight").unionByName(r.select(F.col("target").alias("node"), F.col("source").alias("neighbour"), "weight"))
-    return graph.propagate_labels(cut(both), None)
+    return graph.propagate_labels(_both_ways(Graph(spark, d)), None)
 
 
 _INSIDE = "inside AS (SELECT substr(source, 1, 1) AS community, source, target, weight FROM mrel WHERE substr(source, 1, 1) = substr(target, 1, 1))"
 
 
-def membership(spark, d):
+def membership(g):
     """node, community: here by the first character of a name."""
-    return entities(spark, d).select(F.col("name").alias("node"), F.substring("name", 1, 1).alias("community")).distinct()
+    return g.entities.select(F.col("name").alias("node"), F.substring("name", 1, 1).alias("community")).distinct()
 
 
 @query("community_internal_edges", f"WITH {_MERGED}, {_INSIDE} SELECT * FROM inside")
 def community_internal_edges(spark, d):
-    return graph.internal_edges(membership(spark, d), merged(spark, d)).select("community", "source", "target", "weight")
+    g = Graph(spark, d)
+    return graph.internal_edges(membership(g), g.merged).select("community", "source", "target", "weight")
 
 
 _REPORT = f"""{_MERGED}, {_INSIDE}, mem AS (SELECT DISTINCT substr(name, 1, 1) AS community, name FROM ents),
@@ -183,10 +203,11 @@ rep AS (SELECT community, 'Community ' || community AS title, names || coalesce(
 
 def reports(spark, d):
     """The text that stands when no model writes one: a community's first 20 entities and 15 relations."""
+    g = Graph(spark, d)
     w = Window.partitionBy("community")
     ordered = lambda c, key: F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= key, F.struct("rn", c.alias("v"))))), lambda s: s["v"])
-    m = membership(spark, d).withColumn("rn", F.row_number().over(w.orderBy("node"))).groupBy("community").agg(F.count(F.lit(1)).alias("n_entities"), F.array_join(ordered(F.col("node"), 20), ", ").alias("names"))
-    i = graph.internal_edges(membership(spark, d), merged(spark, d)).withColumn("rn", F.row_number().over(w.orderBy("source", "target")))
+    m = membership(g).withColumn("rn", F.row_number().over(w.orderBy("node"))).groupBy("community").agg(F.count(F.lit(1)).alias("n_entities"), F.array_join(ordered(F.col("node"), 20), ", ").alias("names"))
+    i = graph.internal_edges(membership(g), g.merged).withColumn("rn", F.row_number().over(w.orderBy("source", "target")))
     i = i.groupBy("community").agg(F.count(F.lit(1)).alias("n_relations"), F.array_join(ordered(F.concat("source", F.lit(" - "), "target"), 15), "; ").alias("links"))
     out = m.join(i, "community", "left")
     return out.select("community", F.concat(F.lit("Community "), "community").alias("title"), F.concat("names", F.coalesce(F.concat(F.lit(". "), "links"), F.lit(""))).alias("report"), "n_entities", F.coalesce("n_relations", F.lit(0)).cast("long").alias("n_relations"))
@@ -197,10 +218,10 @@ def community_report(spark, d):
     return reports(spark, d)
 
 
-def detected(spark, d):
+def detected(g):
     """node, community: by label propagation over all relations; an entity without relations is a community of its own."""
-    names = entities(spark, d).select(F.col("name").alias("node")).distinct()
-    return names.join(community_labels(spark, d), "node", "left").select("node", F.coalesce("community", "node").alias("community"))
+    names = g.entities.select(F.col("name").alias("node")).distinct()
+    return names.join(graph.propagate_labels(_both_ways(g), None), "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
 @query("community_score", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), dims AS (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM v) GROUP BY ALL),
@@ -219,7 +240,8 @@ def global_search(spark, d):
     from ..providers import HashingEmbedder
 
     embedder = HashingEmbedder()
-    r = cut(graph.report_parts(cut(detected(spark, d)), merged(spark, d)))
+    g = Graph(spark, d)
+    r = cut(graph.report_parts(cut(detected(g)), g.merged))
     q = R.items(spark, d)
     c = embedder.embed(graph.whole_reports(r).select("community", F.col("report").alias("text")), "community").withColumn("rank", F.lit(0))
     scored = graph.score_communities(embedder.embed(q, "query_id"), c)

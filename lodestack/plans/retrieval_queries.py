@@ -215,7 +215,7 @@ def drift_search(spark, d):
     def follow_ups(queries, r):
         from ..functions import text as T
 
-        return queries.select("query_id", F.posexplode(F.slice(T.sentences(F.col("text")), 1, 3)).alias("variant", "text")).withColumn("text", F.array_join(F.slice(F.split("text", r"\s+"), F.lit(r + 1), F.lit(1000)), " "))
+        return queries.select("query_id", F.posexplode(F.slice(T.sentences(F.col("text")), 1, 3)).alias("variant", "text")).withColumn("text", F.array_join(F.slice(F.split("text", r"\s+"), F.lit(r + 1), F.greatest(F.lit(0), F.size(F.split("text", r"\s+")))), " "))
 
     return retrieve.drift(items(spark, d), base, follow_ups, K)
 
@@ -224,21 +224,8 @@ _GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id AS source FROM benchmar
 
 
 def gold(spark, d):
-    """query_id, source: documents that hold an item's text.
-
-    Only documents that have the item's rarest token are compared.
-    """
-    from ..functions import text as T
-
-    docs, q = table(spark, d, "documents"), items(spark, d)
-    asked = q.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    post = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # the first and last token may be cut out of a longer one in the document; those between can't
-    inner = q.select("query_id", F.explode(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda _, i: i > 0))).alias("term"), F.element_at(T.tokens(F.col("text")), -1).alias("last")).filter("term <> last").drop("last")
-    rare = inner.join(df, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    near = rare.join(post, "term").select("query_id", "doc_id")
-    return near.join(q, "query_id").join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id").filter(F.contains("_t", "text")).select("query_id", F.col("doc_id").alias("source"))
+    """query_id, source: documents that hold an item's text."""
+    return evaluate.passages_in(items(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("source"), "text"))
 
 
 @query("gold_passages", f"WITH {_GOLD} SELECT * FROM gold")
@@ -277,8 +264,8 @@ def flagship(spark, d):
 query("bm25_chunks", f"{_FLAGSHIP} SELECT b.item_id AS query_id, h.id, h.source, h.score, h.rank::INTEGER AS rank, coalesce(h.hit, false) AS hit FROM benchmark b LEFT JOIN h ON h.query_id = b.item_id")(flagship)
 
 
-def ranking(spark, d):
-    return evaluate.ranking(items(spark, d), chunk_results(spark, d), gold(spark, d))
+def ranking(spark, d, known=None):
+    return evaluate.ranking(items(spark, d), chunk_results(spark, d), cut(gold(spark, d)) if known is None else known)
 
 
 @query("recall_precision", f"{_RANKING} SELECT query_id, recall, precision FROM m")
@@ -307,8 +294,9 @@ _STRATA = f"""{_RANKING}, x AS (SELECT m.*, CASE WHEN length(b.text) < 200 THEN
 @query("eval_strata", f"""{_STRATA} SELECT CASE WHEN grouping(type) = 0 THEN 'type' WHEN grouping(level) = 0 THEN 'level' ELSE 'overall' END AS stratum, coalesce(type, level, 'all') AS value, count(*)::BIGINT AS n, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr FROM x GROUP BY GROUPING SETS ((), (type), (level))""")
 def eval_strata(spark, d):
     q = items(spark, d).select("query_id", F.when(F.length("text") < 200, "short").otherwise("long").alias("level"))
-    g = gold(spark, d).select("query_id").distinct().withColumn("type", F.lit("passage"))
-    x = ranking(spark, d).join(q, "query_id").join(g, "query_id", "left").withColumn("type", F.coalesce("type", F.lit("null")))
+    known = cut(gold(spark, d))
+    g = known.select("query_id").distinct().withColumn("type", F.lit("passage"))
+    x = ranking(spark, d, known).join(q, "query_id").join(g, "query_id", "left").withColumn("type", F.coalesce("type", F.lit("null")))
     return evaluate.strata(x, ["recall", "mrr"], ["type", "level"])
 
 
@@ -321,7 +309,7 @@ def _variant_sql(name: str, lists: str) -> str:
 x AS (SELECT 'recall' AS metric, bm.recall AS v, dm.recall AS base FROM bm, dm UNION ALL SELECT 'mrr', bm.mrr, dm.mrr FROM bm, dm)
 SELECT 'bm25' AS variant, metric, round(v - base, 6) AS delta, round(CASE WHEN base <> 0 THEN 100 * (v - base) / base END, 6) AS pct FROM x""")
 def baseline_delta(spark, d):
-    q, g = items(spark, d), gold(spark, d)
+    q, g = items(spark, d), cut(gold(spark, d))
     each = []
     for name, base in (("bm25", sparse_retriever(spark, d)), ("dense", dense_retriever(spark, d))):
         got = base(q, K).select("query_id", "rank", F.col("id").alias("source"))
@@ -363,7 +351,7 @@ def evidence_recall(spark, d):
     """A chunk covers an evidence paragraph if it was cut from one of equal text."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("source"), F.md5(F.col("text").cast("binary")).alias("p"))
     got = chunk_results(spark, d).join(docs, "source").select("query_id", "rank", F.col("p").alias("source"))
-    evidence = gold(spark, d).join(docs, "source").select("query_id", F.col("p").alias("source"))
+    evidence = cut(gold(spark, d)).join(docs, "source").select("query_id", F.col("p").alias("source"))
     return evaluate.ranking(items(spark, d), got, evidence).select("query_id", "recall", "precision", "mrr")
 
 
