@@ -27,12 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, strings, table
+from .common import chunks, claim, strings, table
 from .text import MARK, OTHER, SPACE, UNDERSCORE, Batch, class_table, distinct_spans
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers, and the longest of these; what is forgotten is encoded again.
-MOST_CACHED, LONGEST_CACHED = 1_000_000, 64
+MOST_CACHED, LONGEST_CACHED = 500_000, 64
 _PAIRS_KEPT = 1 << 18
 _loaded: dict[str | bytes, "Bpe"] = {}
 _group = None
@@ -316,6 +316,7 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _loaded.clear)
         bpe = load(shared.value)
         for batch in batches:
             doc, texts = batch.column(0), strings(batch.column(1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -50,6 +51,25 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), remove
 
 
+_keepers: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called as an operator's task begins in a Python worker: what other operators remember there is let go, and freed memory goes back to the system.
+
+    release: what the owner wants called when another operator comes.
+    """
+    for name in [x for x in _keepers if x != owner]:
+        _keepers.pop(name)()
+    if release is not None:
+        _keepers[owner] = release
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def fresh(name: str, *dfs: DataFrame) -> str:
     """A column name that none of the frames has, whatever the case."""
     taken = {c.lower() for df in dfs for c in df.columns}

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, strings, table, text_key
+from .common import claim, cut, fresh, strings, table, text_key
 from .text import Batch, Words, slices, window_hash
 
 MAX_WORDS = 10
@@ -328,7 +328,13 @@ def _mapped(docs: DataFrame, benchmark: DataFrame, schema, emit, max_words: int,
     words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     if words <= most_benchmark_words:
         shared = spark.sparkContext.broadcast(build(sorted(r["text"] for r in items.collect()), *limits))
-        return docs.mapInArrow(lambda batches: (cleaned(x, None, shared.value) for x in batches), schema)
+
+        def clean_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("decontaminate")
+            for batch in batches:
+                yield cleaned(batch, None, shared.value)
+
+        return docs.mapInArrow(clean_all, schema)
 
     each = lambda: (r["text"] for r in items.toLocalIterator())
     items = cut(items)

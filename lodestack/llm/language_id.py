@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, strings, table
+from .common import chunks, claim, strings, table
 from .text import LETTER, Batch, class_table, lower_table
 
 BITS = 15
@@ -87,6 +87,7 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("language_id")
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         texts, langs = strings(batch.column(0)), batch.column(1).to_pylist()
@@ -119,6 +120,7 @@ def identify(docs: DataFrame, model: Model, languages: list[str] | None = None)
     shared, wanted = docs.sparkSession.sparkContext.broadcast(model), frozenset(languages) if languages is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id")
         for batch in batches:
             ids, texts = batch.column(0), strings(batch.column(1))
             for i, part in chunks(texts):
@@ -135,6 +137,7 @@ def keep_identified(docs: DataFrame, model: Model, languages: list[str] | None =
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id")
         for batch in batches:
             texts = strings(batch.column(at))
             ok = [shared.value.decide(part, wanted)[2] for _, part in chunks(texts)]

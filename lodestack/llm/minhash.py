@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fresh, strings, table, text_key
+from .common import chunks, claim, cut, fresh, strings, table, text_key
 from .text import Batch, Words, mix, span_hash, window_hash
 
 SHINGLE = 3
@@ -89,6 +89,7 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("minhash")
     for batch in batches:
         texts = strings(batch.column(1))
         for i, part in chunks(texts):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, strings, table
+from .common import chunks, claim, strings, table
 from .text import LETTER, NUMBER, OTHER, SPACE, Batch, Words, class_table, lower_table, span_hash, window_hash, word_table
 
 MAX_TRAIN_DOCS = 10_000
@@ -167,6 +167,7 @@ def classify(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             for i, part in chunks(strings(batch.column(1))):
                 p = np.round(shared.value.score(statistics(part)), 9)

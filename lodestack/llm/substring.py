@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fresh, numbered, power_of_two, strings, table, text_key
+from .common import chunks, claim, cut, fresh, numbered, power_of_two, strings, table, text_key
 from .text import RADIX_2, Batch, Words, mix, prefix_hash, window_hash
 
 BLOCK = 25
@@ -260,6 +260,7 @@ def text_bytes(docs: DataFrame) -> int:
 
 def _blocks(coarse: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring")
         held: list[np.ndarray] = []
         none = np.empty(0, np.int64)
 
@@ -373,6 +374,7 @@ def _probes(ranges: Ranges, block: int):
     """All rolling windows, in blobs by range of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring")
         held = _Held(ranges.parts, ranges.coarse, ranges.groups)
         for batch in batches:
             docs = _documents(batch.column(0), batch.column(2))
@@ -417,6 +419,7 @@ def _windows(ranges: Ranges, block: int, min_words: int, hit: Callable):
     """The min_words-word windows that hold a hit, in blobs by range of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring")
         held = _Held(ranges.parts, ranges.coarse, ranges.groups)
         for batch in batches:
             docs = _documents(batch.column(0), batch.column(2))
@@ -512,6 +515,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, block: int = BLOCK, fil
 
 def _cut_words(batches: Iterator[pa.RecordBatch], at: int, runs_at: int, tail: str) -> Iterator[pa.RecordBatch]:
     """Texts without the words of their runs; then the columns that tail names."""
+    claim("substring")
     for batch in batches:
         texts, runs = strings(batch.column(at)), batch.column(runs_at).to_pylist()
         removed = np.zeros(len(texts), np.int64)

@@ -26,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, strings, table
+from .common import chunks, claim, strings, table
 from .text import Batch, distinct_spans
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Nodes of the trie and pre-tokens (and the longest of these) that a worker remembers; what is forgotten is scored again.
 MOST_NODES = 300_000
-MOST_CACHED, LONGEST_CACHED = 1_000_000, 64
+MOST_CACHED, LONGEST_CACHED = 500_000, 64
 SPACE_MARK = "▁"
 _loaded: dict[str | bytes, "Unigram"] = {}
 
@@ -185,6 +185,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_counts", _loaded.clear)
         unigram = load(shared.value)
         for batch in batches:
             doc, texts = batch.column(0), strings(batch.column(1))

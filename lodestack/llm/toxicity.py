@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, strings, table
+from .common import chunks, claim, strings, table
 from .minhash import bands, signatures
 from .quality import labelled
 from .text import Batch, Words
@@ -164,6 +164,7 @@ def classify(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for batch in batches:
             for i, part in chunks(strings(batch.column(1))):
                 p = np.round(shared.value.score(part), 9)
