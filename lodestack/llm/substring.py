@@ -15,7 +15,8 @@ that a shuffle moves few rows and some 15 bytes a window. The number of ranges f
 of text (RANGE_BYTES a range), so that a range always fits a Python worker; beyond COARSE ranges
 blobs are split in two rounds. Windows that repeat within a batch are settled there and only the
 first goes on, so that a passage which a third of all documents have is one entry a batch.
-The index is a Bloom filter with FILTER_SHARE bits a block; one of at most 2**MOST_FILTER_BITS bits is
+The index is a Bloom filter with FILTER_SHARE bits a block (a false hit lets 26 windows through, so these must be rare: below
+0.001); one of at most 2**MOST_FILTER_BITS bits is
 broadcast (64 MB with that of repeated blocks). A larger index stays in its ranges: all rolling windows go to
 the range of their hash, are probed there, and the hits are joined to the documents. Either way
 gives the same result. Documents join their spans by (doc_id, text hash).
@@ -44,11 +45,11 @@ BLOCK = 25
 MIN_WORDS = 50
 RANGE_BYTES = 2 << 20
 COARSE = 1 << 14
-FILTER_SHARE, MOST_FILTER_BITS = 8, 28
-PROBES = 3
+FILTER_SHARE, MOST_FILTER_BITS = 16, 28
+PROBES = 6
 HELD = 1 << 20
 DOC = np.dtype([("some", "u1"), ("id", "<i8"), ("key", "<i8")])
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 Blob = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -290,12 +291,11 @@ def blocks(docs: DataFrame, ranges: Ranges, block: int = BLOCK) -> DataFrame:
     return ranges.refined(docs.select("text").mapInArrow(_blocks(ranges.coarse, block), "part long, blob binary"))
 
 
-def _slots(hashes: np.ndarray, parts: int, filter_bits: int) -> Iterator[np.ndarray]:
-    """The PROBES slots of each hash, all in the segment of its range."""
+def _slot(hashes: np.ndarray, k: int, parts: int, filter_bits: int) -> np.ndarray:
+    """The k-th slot of each hash, in the segment of its range."""
     own = np.uint64(filter_bits - (parts.bit_length() - 1))
     base = (hashes >> np.uint64(64 - (parts.bit_length() - 1)) << own) if parts > 1 else np.zeros(len(hashes), np.uint64)
-    for odd in _ODD:
-        yield (base | (hashes * odd) >> (np.uint64(64) - own)).astype(np.int64)
+    return (base | (hashes * _ODD[k]) >> (np.uint64(64) - own)).astype(np.int64)
 
 
 def _segment(parts: int, filter_bits: int):
@@ -307,8 +307,8 @@ def _segment(parts: int, filter_bits: int):
         maps = []
         for some in (h, h[1:][h[1:] == h[:-1]]):
             bits = np.zeros(1 << own, bool)
-            for slot in _slots(some, parts, filter_bits):
-                bits[slot & ((1 << own) - 1)] = True
+            for k in range(PROBES):
+                bits[_slot(some, k, parts, filter_bits) & ((1 << own) - 1)] = True
             maps.append(np.packbits(bits).tobytes())
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "present": pa.array([maps[0]], pa.binary()), "twice": pa.array([maps[1]], pa.binary())})
 
@@ -330,7 +330,7 @@ def _within(bitmap: np.ndarray, hashes: np.ndarray, parts: int, filter_bits: int
     out = np.zeros(len(hashes), bool)
     left = np.arange(len(hashes))
     for k in range(PROBES):
-        slot = next(x for i, x in enumerate(_slots(hashes[left], parts, filter_bits)) if i == k)
+        slot = _slot(hashes[left], k, parts, filter_bits)
         left = left[(bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0]
     out[left] = True
     return out
