@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..lineage import in_sequence
 
 
 def fan_out(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> DataFrame:
@@ -55,12 +56,11 @@ def late_pooling(tokens: DataFrame, chunks: DataFrame) -> DataFrame:
 def profile(chunks: DataFrame) -> DataFrame:
     """index (over all chunks, by parent and chunk_index), doc_index, chunk_index, source, char_count, word_count, content.
 
-    The index over all chunks is that of a ranking by (parent_id, chunk_index): its offsets are
-    summed by parent first, so that only counts go through one partition.
+    The index over all chunks is that of a ranking by (parent_id, chunk_index): counts are summed by
+    parent first, and parents are numbered range by range.
     """
-    per = chunks.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("parent_id")
-    base = per.select("parent_id", (F.row_number().over(w) - 1).alias("doc_index"), (F.sum("n").over(w) - F.col("n")).alias("before"))
+    per = in_sequence(chunks.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n")), ["parent_id"], "n")
+    base = per.select("parent_id", F.col("_place").alias("doc_index"), F.col("_before").alias("before"))
     out = chunks.join(base, "parent_id")
     source = F.coalesce("source", F.concat(F.lit("doc_"), F.col("doc_index").cast("string"))) if "source" in chunks.columns else F.concat(F.lit("doc_"), F.col("doc_index").cast("string"))
     return out.select(
@@ -74,6 +74,11 @@ def profile(chunks: DataFrame) -> DataFrame:
     )
 
 
+def sizes(chunks: DataFrame) -> DataFrame:
+    """char_count of each chunk: all that totals and histogram need."""
+    return chunks.select(F.length("content").cast("long").alias("char_count"))
+
+
 BUCKETS = ((100, "<100"), (200, "100-200"), (300, "200-300"), (500, "300-500"), (1000, "500-1000"))
 
 
@@ -97,5 +102,8 @@ def totals(report: DataFrame) -> DataFrame:
 
 
 def first_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    """The first row of each key in the given order; rows of a key are narrowed down before they are shuffled."""
+    name = lambda k: f"_k{k}"
+    others = [c for c in rows.columns if c not in keys]
+    keyed = rows.groupBy(*(F.col(c).alias(name(k)) for k, c in enumerate(keys))).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_r"))
+    return keyed.select(*(F.col(name(k)).alias(c) for k, c in enumerate(keys)), *(F.col(f"_r.{c}").alias(c) for c in others)).select(*rows.columns)

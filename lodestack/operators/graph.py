@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..providers import LLMProvider
 
 
 def rule_entities(docs: DataFrame, low: int = 5, share: float = 0.002, least: int = 4, key: str = "doc_id", text: str = "text", floor: int = 12) -> DataFrame:
@@ -32,6 +33,23 @@ def rule_relations(docs: DataFrame, entities: DataFrame, key: str = "doc_id", te
     return per.select("doc_id", "ord", F.inline(pairs))
 
 
+_GRAPH = "struct<entities:array<struct<name:string,type:string>>,relationships:array<struct<source:string,target:string,relation:string>>>"
+
+
+def extract(docs: DataFrame, llm: LLMProvider, most_entities: int = 10, most_relations: int = 15, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Entities (name, entity_type, doc_id, ord) and relations (source, target, relation, weight, doc_id, ord) that a model finds in each text.
+
+    One call a text; names are in lower case; of a reply the first most_entities and most_relations count; a failed call or a reply without JSON gives none.
+    """
+    reply = llm.generate_json(F.concat(F.lit("graph\n---\n"), F.col(text), F.lit("\n---\n")), _GRAPH, 1)
+    found = _cut(docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), reply.alias("g")).filter("g IS NOT NULL"))
+    e = found.select("doc_id", F.posexplode(F.slice("g.entities", 1, most_entities)).alias("ord", "e")).filter("e.name IS NOT NULL")
+    r = found.select("doc_id", F.posexplode(F.slice("g.relationships", 1, most_relations)).alias("ord", "r")).filter("r.source IS NOT NULL AND r.target IS NOT NULL")
+    entities = e.select(F.lower("e.name").alias("name"), F.coalesce("e.type", F.lit("")).alias("entity_type"), "doc_id", "ord")
+    relations = r.select(F.lower("r.source").alias("source"), F.lower("r.target").alias("target"), F.coalesce("r.relation", F.lit("")).alias("relation"), F.lit(1.0).alias("weight"), "doc_id", "ord")
+    return entities, relations
+
+
 def merge_entities(entities: DataFrame) -> DataFrame:
     """name, entity_type (that of the first mention), documents (in order) and how many, from rows name, entity_type, doc_id, ord."""
     mention = F.struct("doc_id", "ord")
@@ -44,10 +62,14 @@ def merge_relations(relations: DataFrame) -> DataFrame:
     return relations.groupBy("source", "target").agg(F.max("weight").alias("weight"), F.min_by("relation", mention).alias("relation"), F.array_sort(F.collect_set("doc_id")).alias("document_ids"))
 
 
-def merge_descriptions(rows: DataFrame, key: str = "name") -> DataFrame:
-    """Distinct descriptions in order, joined by spaces (what stands when no model merges them)."""
+def merge_descriptions(rows: DataFrame, key: str = "name", llm: LLMProvider | None = None) -> DataFrame:
+    """Distinct descriptions in order: one as it is, several merged by a model; joined by spaces where there is none or it fails."""
     ordered = F.array_sort(F.collect_list(F.struct("doc_id", "ord", "description")))
-    return rows.filter("description <> ''").groupBy(key).agg(F.array_join(F.array_distinct(F.transform(ordered, lambda s: s["description"])), " ").alias("description"))
+    per = rows.filter("description <> ''").groupBy(key).agg(F.array_distinct(F.transform(ordered, lambda s: s["description"])).alias("_d"))
+    joined = F.array_join("_d", " ")
+    if llm is not None:
+        joined = F.coalesce(llm.generate(F.when(F.size("_d") > 1, F.concat(F.lit("summary\n---\n"), F.array_join("_d", "\n\n...\n\n"), F.lit("\n---\n")))), joined)
+    return per.select(key, joined.alias("description"))
 
 
 def adjacency(relations: DataFrame) -> DataFrame:
@@ -68,6 +90,14 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
     return seen
 
 
+def query_entities(queries: DataFrame, llm: LLMProvider, query_id: str = "query_id", text: str = "text") -> DataFrame:
+    """query_id, entity: what a model names in each query (a JSON array), in lower case; query_words where it fails or names none."""
+    named = llm.generate_json(F.concat(F.lit("entities\n---\n"), F.col(text), F.lit("\n---\n")), "array<string>", 1)
+    asked = _cut(queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("text"), F.filter(F.transform(named, lambda x: F.lower(F.trim(x))), lambda x: x != "").alias("e")))
+    found = asked.filter("size(e) > 0").select("query_id", F.explode(F.array_distinct("e")).alias("entity"))
+    return found.unionByName(query_words(asked.filter("e IS NULL OR size(e) = 0")))
+
+
 def query_words(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
     """Entities of a query when no model extracts them: its words of more than three characters, in lower case."""
     found = F.filter(T.words(F.col(text)), lambda w: F.length(w) > 3)
@@ -164,7 +194,69 @@ def propagate_labels(edges: DataFrame, rounds: int | None = 5) -> DataFrame:
     return labels
 
 
-def modularity_levels(edges: DataFrame, levels: int = 1) -> list[float]:
+def modularity(edges: DataFrame, parts: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of a partition (node, community) of weighted edges, each in both directions (node, neighbour, weight); 0 without edges."""
+    total = edges.agg(F.sum("weight")).first()[0]
+    if not total:
+        return 0.0
+    a, b = parts.select("node", F.col("community").alias("_a")), parts.select(F.col("node").alias("neighbour"), F.col("community").alias("_b"))
+    joined = edges.join(a, "node").join(b, "neighbour")
+    inside = joined.filter("_a = _b").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    squares = joined.groupBy("_a").agg((F.sum("weight") / total).alias("d")).agg(F.sum(F.col("d") * F.col("d"))).first()[0]
+    return inside / total - resolution * squares
+
+
+def modular(edges: DataFrame, resolution: float = 1.0, rounds: int = 10) -> DataFrame:
+    """node, community by modularity: nodes move to the neighbouring community of greatest gain, then communities become nodes, until none moves.
+
+    edges: node, neighbour, weight in both directions. In a round a half of the nodes, by hash, may move, so that neighbours don't
+    swap places for ever; a level ends when neither half moves, or after `rounds`. A level that doesn't raise modularity is dropped.
+    """
+    level = _cut(edges.filter("node <> neighbour").groupBy("node", "neighbour").agg(F.sum("weight").alias("weight")))
+    nodes = _cut(edges.select("node").distinct())
+    members = nodes.select("node", F.col("node").alias("community"))
+    total = level.agg(F.sum("weight")).first()[0]
+    if not total:
+        return members
+    own = level.select("node", F.col("node").alias("neighbour")).distinct().withColumn("weight", F.lit(0.0))  # loops: what is inside a node
+    while True:
+        every = _cut(level.unionByName(own))
+        degree = _cut(every.groupBy("node").agg(F.sum("weight").alias("k")))
+        parts = _cut(degree.select("node", F.col("node").alias("community"), F.lit(False).alias("moved")))
+        before, still, r = modularity(every, parts, resolution), 0, 0
+        while still < 2 and r < rounds:
+            placed = degree.join(parts.select("node", "community"), "node")
+            sums = placed.groupBy("community").agg(F.sum("k").alias("s"))
+            to = level.join(parts.select(F.col("node").alias("neighbour"), "community"), "neighbour").groupBy("node", "community").agg(F.sum("weight").alias("w"))
+            stay = placed.select("node", "community", F.lit(0.0).alias("w"))
+            options = to.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w")).join(sums, "community").join(placed.select("node", "k", F.col("community").alias("now")), "node")
+            rest = F.col("s") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)
+            gain = F.round(F.col("w") - resolution * F.col("k") * rest / total, 9)
+            choice = options.groupBy("node", "now").agg(F.min(F.struct((-gain).alias("g"), (F.col("community") != F.col("now")).alias("m"), "community")).alias("c"))
+            turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+            parts = _cut(choice.select("node", F.when(turn, F.col("c.community")).otherwise(F.col("now")).alias("community"), (turn & (F.col("c.community") != F.col("now"))).alias("moved")))
+            still, r = 0 if parts.filter("moved").limit(1).count() else still + 1, r + 1
+        best = parts.select("node", "community")
+        if modularity(every, best, resolution) <= before + 1e-9:
+            return members
+        members = _cut(members.join(best.select(F.col("node").alias("community"), F.col("community").alias("_up")), "community").select("node", F.col("_up").alias("community")))
+        a, b = best.select("node", F.col("community").alias("_a")), best.select(F.col("node").alias("neighbour"), F.col("community").alias("_b"))
+        merged = _cut(every.join(a, "node").join(b, "neighbour").groupBy(F.col("_a").alias("node"), F.col("_b").alias("neighbour")).agg(F.sum("weight").alias("weight")))
+        level, own = merged.filter("node <> neighbour"), merged.filter("node = neighbour")
+        if level.isEmpty():
+            return members
+
+
+def communities(edges: DataFrame, levels: int = 1) -> DataFrame:
+    """level, node, community: a partition by modularity at each of the levels' resolutions."""
+    every = None
+    for k, resolution in enumerate(modularity_levels(levels)):
+        part = modular(edges, resolution).select(F.lit(k).alias("level"), "node", "community")
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
+def modularity_levels(levels: int = 1) -> list[float]:
     """Resolutions of independent partitions: 1.0 alone, else 0.5 .. 1.5 in equal steps."""
     return [1.0] if levels == 1 else [0.5 + i / (levels - 1) for i in range(levels)]
 

@@ -71,6 +71,49 @@ def over_fetch(base: Retriever, queries: DataFrame, chunks: DataFrame, model: Re
     return rerank(base(queries, factor * k), queries, chunks, model, k) if model else base(queries, k)
 
 
+def reranked(base: Retriever, chunks: DataFrame, model: Reranker, factor: int = 3) -> Retriever:
+    """base with over-fetch and a reranker, as a retriever of its own."""
+    return lambda queries, k: over_fetch(base, queries, chunks, model, k, factor)
+
+
+def corrected(base: Retriever, chunks: DataFrame, llm: LLMProvider) -> Retriever:
+    """base with corrective rounds, as a retriever of its own; a model rewrites what isn't answered, and where it fails the query stands."""
+
+    def refine(text: Column, attempt: int) -> Column:
+        first = F.get(llm.generate_json(F.concat(F.lit("questions\n---\n"), text, F.lit("\n---\n")), "array<string>", 1), F.lit(attempt))
+        return F.coalesce(F.nullif(first, F.lit("")), text)
+
+    return lambda queries, k: corrective(queries, base, chunks, llm, k, refine)
+
+
+def model_follow_ups(queries: DataFrame, llm: LLMProvider, background: DataFrame | None = None, n: int = 3) -> Callable[[DataFrame, int], DataFrame]:
+    """Follow-up queries (query_id, variant, text) of each round for drift, by a model.
+
+    The first answer is hypothetical (the query itself where the model fails); a round asks up to n questions about it, then
+    the answer is refined with a query's background (query_id, context), if there is one.
+    """
+    from ..lineage import cut
+
+    def ask(task: str, query: Column, context: Column) -> Column:
+        return F.concat(F.lit(f"{task}\n---\n"), query, F.lit("\n---\n"), F.coalesce(context, F.lit("")))
+
+    text = F.col("text")
+    answers = cut(queries.select("query_id", "text", F.coalesce(llm.generate(ask("hyde", text, F.lit(""))), text).alias("answer")))
+    if background is not None:
+        answers = answers.join(background.select("query_id", "context"), "query_id", "left")
+
+    def follow_ups(_: DataFrame, r: int) -> DataFrame:
+        nonlocal answers
+        questions = F.slice(llm.generate_json(ask("followups", text, F.col("answer")), "array<string>", 1), 1, n)
+        out = answers.select("query_id", F.posexplode(questions).alias("variant", "text"))
+        if background is not None:
+            refined = llm.generate(F.when(F.col("context").isNotNull(), ask("answer", text, F.col("context"))))
+            answers = cut(answers.withColumn("answer", F.coalesce(refined, "answer")))
+        return out
+
+    return follow_ups
+
+
 def _judge(llm: LLMProvider, query: Column, content: Column, least: float) -> Column:
     score = llm.generate(F.concat(F.lit("score\n---\n"), query, F.lit("\n---\n"), content)).cast("double")
     return F.coalesce(score >= least, F.lit(True))  # a failed judgement keeps the document

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import isqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..providers import LLMProvider
 from .vector import knn
 
 PIECE = 8000
@@ -24,10 +28,28 @@ def nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return knn(vectors.select("vec_id", "embedding"), store, 1, "l2", digits=9).select(F.col("query_id").alias("vec_id"), F.col("id").cast("int").alias("cluster"))
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cluster of a partition the number and sum of its vectors."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        near = np.asarray(batch.column(0))
+        x = np.asarray(batch.column(1).flatten()).reshape(len(near), -1)
+        for c in np.unique(near).tolist():
+            own = x[near == c]
+            n, total = held.get(c, (0, 0.0))
+            held[c] = (n + len(own), total + own.sum(0))
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([t.tolist() for _, t in held.values()], pa.list_(pa.float64()))], ["cluster", "n", "total"])
+
+
 def recentre(vectors: DataFrame, assigned: DataFrame, centroids: DataFrame) -> DataFrame:
-    """cluster, centroid: means of members; a cluster without members keeps its centroid."""
-    dims = vectors.select("vec_id", "embedding").join(assigned, "vec_id").select("cluster", F.posexplode("embedding").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    means = dims.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
+    """cluster, centroid: means of members; a cluster without members keeps its centroid. Only one sum for each cluster and partition is shuffled."""
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).join(assigned, "vec_id").select("cluster", "embedding")
+    sums = rows.mapInArrow(_sums, "cluster int, n long, total array<double>")
+    n = sums.groupBy("cluster").agg(F.sum("n").alias("n"))
+    dims = sums.select("cluster", F.posexplode("total").alias("dim", "x")).groupBy("cluster", "dim").agg(F.sum("x").alias("x"))
+    means = dims.join(n, "cluster").groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", (F.col("x") / F.col("n")).alias("x")))), lambda s: s["x"]).alias("mean"))
     return centroids.join(means, "cluster", "left").select("cluster", F.coalesce("mean", F.col("centroid").cast("array<double>")).alias("centroid"))
 
 
@@ -49,7 +71,7 @@ def kmeans(vectors: DataFrame, k: int, rounds: int = 50) -> DataFrame:
 
 
 def build(leaves: DataFrame, summarise: Column, embed, levels: int = 3, most: int = 10) -> DataFrame:
-    """vec_id, level (0 for leaves), cluster, text, embedding of all nodes. summarise: over texts (array) of a cluster, all its members in pieces of about PIECE characters; embed: frame with vec_id, text -> with embedding."""
+    """vec_id, level (0 for leaves), cluster, text, embedding of all nodes. summarise: over texts (array), about PIECE characters of a cluster at a time, all its members in turn; embed: frame with vec_id, text -> with embedding."""
     from ..lineage import cut
 
     nodes = leaves.select("vec_id", F.lit(0).alias("level"), F.lit(None).cast("int").alias("cluster"), "text", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -61,8 +83,12 @@ def build(leaves: DataFrame, summarise: Column, embed, levels: int = 3, most: in
         k = cluster_count(n, most)
         placed = level_nodes.drop("cluster").join(kmeans(level_nodes, k) if n > k else level_nodes.select("vec_id", (F.row_number().over(Window.orderBy("vec_id")) - 1).alias("cluster")), "vec_id")
         pieces = placed.select("cluster", "vec_id", F.posexplode_outer(T.greedy_pack(F.col("text"), PIECE, 0)).alias("pos", "text"))
-        texts = pieces.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "pos", "text"))), lambda s: s["text"]).alias("texts"))
-        summaries = texts.select((-(F.lit(1_000_000) * level + F.col("cluster")) - 1).cast("long").alias("vec_id"), "cluster", summarise.alias("text"))
+        # a call reads about PIECE characters of a cluster; no row has more
+        before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("cluster").orderBy("vec_id", "pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = pieces.withColumn("part", F.floor(before / PIECE)).groupBy("cluster", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "pos", "text"))), lambda s: s["text"]).alias("texts"))
+        told = parts.select("cluster", "part", summarise.alias("text"))
+        joined = told.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda s: s["text"]), " ").alias("text"))
+        summaries = joined.select((-(F.lit(1_000_000) * level + F.col("cluster")) - 1).cast("long").alias("vec_id"), "cluster", "text")
         embedded = embed(summaries.select("vec_id", "text")).select("vec_id", "embedding")
         level_nodes = cut(summaries.join(embedded, "vec_id").select("vec_id", F.lit(level).alias("level"), "cluster", "text", "embedding"))
         every = every.unionByName(level_nodes)
@@ -74,6 +100,12 @@ def first_sentences(texts: Column) -> Column:
     return F.array_join(F.transform(texts, lambda t: F.concat(F.substring_index(t, ".", 1), F.lit("."))), " ")
 
 
+def model_summary(llm: LLMProvider, texts: Column) -> Column:
+    """A model's summary of passages, their first sentences where it fails."""
+    asked = F.concat(F.lit("summary\n---\n"), F.array_join(texts, "\n\n...\n\n"), F.lit("\n---\n"))
+    return F.coalesce(llm.generate(asked), first_sentences(texts))
+
+
 def prefer_leaves(results: DataFrame, k: int) -> DataFrame:
     """Of 2k results (query_id, id, rank, is_summary) leaves first, then summaries, cut to k."""
     w = Window.partitionBy("query_id").orderBy(F.col("is_summary").cast("int"), "rank")

@@ -7,12 +7,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, evaluate, generate, judge
+from ..config import Config
+from ..engine import Engine
+from ..operators import chunk, evaluate, generate, judge, scoring
 from ..providers import ExtractiveLLM, HashingEmbedder
 from . import retrieval_queries as R
 from . import sqltext as S
 from .registry import query
-from .session import table
+from .session import cut, table
 
 _PAIRS = "p AS (SELECT conv_id * 100000 + turn AS id, role, text AS pred, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS gold FROM conversations QUALIFY gold IS NOT NULL)"
 
@@ -122,6 +124,28 @@ def answer_correctness(spark, d):
     return judge.answer_correctness(rows, ExtractiveLLM()).select("id", "answer_correctness")
 
 
+@query("evaluate_batch", f"""WITH {R._RANKING.replace('WITH ', '', 1)}, ans AS (SELECT query_id, arg_min(content, rank) AS answer FROM (SELECT r.query_id, r.rank, c.content FROM r JOIN chunks c ON c.cid = r.id) GROUP BY query_id),
+e AS (SELECT b.item_id AS id, CASE WHEN {S.normalise("coalesce(a.answer, '')")} = {S.normalise('b.text')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact_match, a.query_id IS NOT NULL AS has FROM benchmark b LEFT JOIN ans a ON a.query_id = b.item_id)
+SELECT id, exact_match, CASE WHEN has THEN recall END AS context_recall, CASE WHEN has THEN precision END AS context_precision, CASE WHEN has THEN mrr END AS mrr, CASE WHEN has THEN hit_rate END AS hit_rate, CASE WHEN has THEN ndcg END AS ndcg FROM e JOIN m ON m.query_id = e.id""")
+def evaluate_batch(spark, d):
+    """All benchmark items as samples: the best chunk as the answer, the item's text as the truth, the chunks' documents against those that hold it."""
+    q = R.items(spark, d)
+    got = cut(contexts(spark, d))
+    known = R.gold(spark, d).groupBy("query_id").agg(F.collect_set(F.col("source").cast("string")).alias("gold"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda s: s[c])
+    per = got.groupBy("query_id").agg(ordered("content").alias("contexts"), ordered("source").alias("retrieved"))
+    rows = q.join(per, "query_id", "left").join(known, "query_id", "left")
+    rows = rows.select(F.col("query_id").alias("id"), F.col("text").alias("question"), F.coalesce(F.get("contexts", F.lit(0)), F.lit("")).alias("answer"), "contexts", F.col("text").alias("ground_truth"), "retrieved", F.coalesce("gold", F.array().cast("array<string>")).alias("gold"))
+    return scoring.evaluate_batch(rows, metrics=["exact_match", "context_recall", "context_precision", "mrr", "hit_rate", "ndcg"])
+
+
+@query("engine_answers")
+def engine_answers(spark, d):
+    """Ingest and query as the configuration composes them: hybrid search over chunks, corrective rounds, a reranker, then answers."""
+    config = Config.from_dict({"retrieval": {"strategy": "hybrid", "corrective": True, "reranker": "lexical"}})
+    return Engine(config).ingest(table(spark, d, "documents").select("doc_id", "text")).answer(R.items(spark, d)).select("query_id", "answer")
+
+
 @query("claims_by_model")
 def claims_by_model(spark, d):
     """Propositions by a model, sentences where it fails, in groups of five."""
@@ -135,9 +159,9 @@ def claims_by_model(spark, d):
 def boundaries_by_model(spark, d):
     docs = table(spark, d, "documents")
     at = ExtractiveLLM().generate_json(judge.prompt("boundaries", F.col("text")), "array<int>", 1)
-    cut = docs.select("doc_id", "text", at.alias("at"))
+    placed = docs.select("doc_id", "text", at.alias("at"))
     pieces = F.when(F.col("at").isNull(), T.fixed_cut(F.col("text"), 1000)).otherwise(T.cut_at(F.col("text"), F.col("at"), 1000))
-    return cut.select("doc_id", F.posexplode(pieces).alias("pos", "piece")).select("doc_id", "pos", F.length("piece").alias("n_chars"))
+    return placed.select("doc_id", F.posexplode(pieces).alias("pos", "piece")).select("doc_id", "pos", F.length("piece").alias("n_chars"))
 
 
 @query("qa_generation")

@@ -181,6 +181,20 @@ def community_labels(spark, d):
     return graph.propagate_labels(_both_ways(Graph(spark, d)), None)
 
 
+@query("community_modularity")
+def community_modularity(spark, d):
+    """Communities by modularity."""
+    return graph.communities(_both_ways(Graph(spark, d)))
+
+
+@query("graph_extraction")
+def graph_extraction(spark, d):
+    """Relations that a model finds in every chunk, merged."""
+    rows = R.chunks(spark, d).select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
+    _, r = graph.extract(rows, ExtractiveLLM())
+    return graph.merge_relations(r).select("source", "target", "weight", "relation", F.size("document_ids").alias("n_documents"))
+
+
 _INSIDE = "inside AS (SELECT substr(source, 1, 1) AS community, source, target, weight FROM mrel WHERE substr(source, 1, 1) = substr(target, 1, 1))"
 
 
@@ -218,20 +232,21 @@ def community_report(spark, d):
     return reports(spark, d)
 
 
-def detected(g):
+def detected(spark, d, g=None):
     """node, community: by label propagation over all relations; an entity without relations is a community of its own."""
+    g = g or Graph(spark, d)
     names = g.entities.select(F.col("name").alias("node")).distinct()
     return names.join(graph.propagate_labels(_both_ways(g), None), "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
 @query("community_score", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), dims AS (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM v) GROUP BY ALL),
 c AS (SELECT label AS community, list(x ORDER BY i) AS m FROM dims GROUP BY label)
-SELECT vec_id AS query_id, community, round(list_cosine_similarity(e, m) * (1.0::DOUBLE + community / 20.0::DOUBLE), 6) AS score FROM v CROSS JOIN c""")
+SELECT vec_id AS query_id, community, round(list_cosine_similarity(e, m) * (1.0::DOUBLE + community / 20.0::DOUBLE), 6) AS score FROM v CROSS JOIN c WHERE vec_id % 50 = 0""")
 def community_score(spark, d):
     e = table(spark, d, "embeddings")
     dims = e.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     c = dims.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("embedding")).select(F.col("label").alias("community"), "embedding", F.col("label").alias("rank"))
-    return graph.score_communities(e.select(F.col("vec_id").alias("query_id"), "embedding"), c)
+    return graph.score_communities(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), c)
 
 
 @query("global_search")
@@ -241,7 +256,7 @@ def global_search(spark, d):
 
     embedder = HashingEmbedder()
     g = Graph(spark, d)
-    r = cut(graph.report_parts(cut(detected(g)), g.merged))
+    r = cut(graph.report_parts(cut(detected(spark, d, g)), g.merged))
     q = R.items(spark, d)
     c = embedder.embed(graph.whole_reports(r).select("community", F.col("report").alias("text")), "community").withColumn("rank", F.lit(0))
     scored = graph.score_communities(embedder.embed(q, "query_id"), c)

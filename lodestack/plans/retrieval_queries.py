@@ -81,6 +81,18 @@ def dense_topk(spark, d):
     return ranked(dense_retriever(spark, d)(items(spark, d), K))
 
 
+_CHUNK_TEXTS = f"ch AS ({S.fan(S.greedy(1000, 200))}), chunks AS (SELECT parent_id::VARCHAR || '#' || chunk_index::VARCHAR AS cid, content FROM ch)"
+_CHUNK_DENSE = f"""{_CHUNK_TEXTS}, {S.hash_vectors('chunks', 'cid', 'content', 'd')}, {S.hash_vectors('benchmark', 'item_id', 'text', 'q')},
+dense AS (SELECT q.k AS query_id, d.k AS id, round(sum(q.w * d.w), 6) + 0 AS score FROM qw q JOIN dw d ON q.b = d.b GROUP BY ALL)"""
+
+
+@query("dense_chunks_topk", f"WITH {_CHUNK_DENSE} {out(S.top('dense', K))}")
+def dense_chunks_topk(spark, d):
+    """Dense search over the chunks of all documents."""
+    rows = chunks(spark, d).select("id", "content")
+    return ranked(retrieve.dense(HashingEmbedder().embed(rows, "id", "content"), HashingEmbedder())(items(spark, d), K))
+
+
 def _rrf_sql(wd: float, ws: float, k: int) -> str:
     return f"""WITH {BM25}, {DENSE}, a AS {S.top('densed', k)}, b AS {S.top('scored', k)},
     f AS (SELECT query_id, id, round(sum(s), 9) AS score FROM (SELECT query_id, id, {wd}::DOUBLE / (60 + rank) AS s FROM a UNION ALL SELECT query_id, id, {ws}::DOUBLE / (60 + rank) FROM b) GROUP BY ALL)
@@ -98,6 +110,14 @@ def hybrid_topk(spark, d):
     return ranked(retrieve.hybrid(dense_retriever(spark, d), sparse_retriever(spark, d))(items(spark, d), K))
 
 
+@query("hybrid_chunks_topk", f"""WITH {_CHUNK_DENSE}, {S.bm25('chunks', 'cid', 'content')}, a AS {S.top('dense', K)}, b AS {S.top('scored', K)},
+f AS (SELECT query_id, id, round(sum(s), 9) AS score FROM (SELECT query_id, id, 0.5::DOUBLE / (60 + rank) AS s FROM a UNION ALL SELECT query_id, id, 0.5::DOUBLE / (60 + rank) FROM b) GROUP BY ALL) {out(S.top('f', K))}""")
+def hybrid_chunks_topk(spark, d):
+    rows = cut(chunks(spark, d).select("id", "content"))
+    dense = retrieve.dense(HashingEmbedder().embed(rows, "id", "content"), HashingEmbedder())
+    return ranked(retrieve.hybrid(dense, retrieve.keyword(rows))(items(spark, d), K))
+
+
 @query("keyword_only_hybrid", _rrf_sql(0.0, 1.0, K))
 def keyword_only_hybrid(spark, d):
     return ranked(retrieve.hybrid(dense_retriever(spark, d), sparse_retriever(spark, d), 1.0)(items(spark, d), K))
@@ -180,8 +200,7 @@ def group_filtered_topk(spark, d):
 
 @query("corrective_round")
 def corrective_round(spark, d):
-    refine = lambda text, attempt: F.array_join(F.slice(F.split(text, r"\s+"), 1, 12 // (attempt + 1)), " ")
-    return retrieve.corrective(items(spark, d), sparse_retriever(spark, d), corpus(spark, d), ExtractiveLLM(), K, refine)
+    return retrieve.corrected(sparse_retriever(spark, d), corpus(spark, d), ExtractiveLLM())(items(spark, d), K)
 
 
 @query("self_rag")
@@ -209,15 +228,9 @@ def rerank_model(spark, d):
 
 @query("drift_search")
 def drift_search(spark, d):
-    """Follow-up queries of a round are the sentences of the query, `round` words shorter each time."""
-    base = sparse_retriever(spark, d)
-
-    def follow_ups(queries, r):
-        from ..functions import text as T
-
-        return queries.select("query_id", F.posexplode(F.slice(T.sentences(F.col("text")), 1, 3)).alias("variant", "text")).withColumn("text", F.array_join(F.slice(F.split("text", r"\s+"), F.lit(r + 1), F.greatest(F.lit(0), F.size(F.split("text", r"\s+")))), " "))
-
-    return retrieve.drift(items(spark, d), base, follow_ups, K)
+    """A hypothetical answer, follow-up questions by a model each round, and what they find."""
+    q = items(spark, d)
+    return retrieve.drift(q, sparse_retriever(spark, d), retrieve.model_follow_ups(q, ExtractiveLLM()), K)
 
 
 _GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id AS source FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -357,10 +370,16 @@ def evidence_recall(spark, d):
 
 @query("embedding_cache")
 def embedding_cache(spark, d):
-    """Document embeddings as a stored index would hold them, with their model's fingerprint."""
+    """Document embeddings stored as an index with their model's fingerprint, which is checked as they are read back."""
+    import uuid
+
     from ..providers import fingerprint
+    from ..sources import io
+    from .session import shared_folder
 
-    return cut(embedded(spark, d).select("id", F.size("embedding").alias("dims"), F.lit(fingerprint(HashingEmbedder())).alias("model")))
+    model, path = fingerprint(HashingEmbedder()), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    io.save_index(embedded(spark, d).select("id", "embedding"), path, model)
+    return io.load_index(spark, path, model).select("id", F.size("embedding").alias("dims"), F.lit(model).alias("model"))
 
 
 @query("metadata_filtered_search", f"WITH {DENSE}, f AS (SELECT s.* FROM densed s JOIN documents d ON d.doc_id = s.id WHERE d.lang = 'de') {out(S.top('f', K))}")

@@ -11,7 +11,8 @@ from ..operators import chunk, evaluate
 from ..sources.io import html_text
 from . import sqltext as S
 from .registry import query
-from .session import table
+from ..lineage import in_sequence
+from .session import cut, table
 
 
 def _docs(spark, d):
@@ -133,12 +134,12 @@ def chunk_profile(spark, d):
 
 @query("chunk_size_histogram", f"WITH {_REPORT}, b AS (SELECT CASE WHEN char_count < 100 THEN '<100' WHEN char_count < 200 THEN '100-200' WHEN char_count < 300 THEN '200-300' WHEN char_count < 500 THEN '300-500' WHEN char_count < 1000 THEN '500-1000' ELSE '1000+' END AS bucket, count(*)::BIGINT AS n FROM rep GROUP BY 1) SELECT bucket, n, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS pct FROM b")
 def chunk_size_histogram(spark, d):
-    return chunk.histogram(_report(spark, d))
+    return chunk.histogram(chunk.sizes(chunk.greedy(_docs(spark, d))))
 
 
 @query("chunk_totals", f"WITH {_REPORT} SELECT count(*)::BIGINT AS chunks, sum(char_count)::BIGINT AS total_chars, round(avg(char_count), 6) AS avg_chars, min(char_count) AS min_chars, max(char_count) AS max_chars FROM rep")
 def chunk_totals(spark, d):
-    return chunk.totals(_report(spark, d))
+    return chunk.totals(chunk.sizes(chunk.greedy(_docs(spark, d))))
 
 
 @query("chunks_for_source", f"WITH {_REPORT} SELECT index, source, CASE WHEN length(f) > 80 THEN substr(f, 1, 79) || '…' ELSE f END AS preview FROM (SELECT index, source, replace(content, chr(10), ' ') AS f FROM rep WHERE source = 'src3')")
@@ -148,7 +149,8 @@ def chunks_for_source(spark, d):
 
 @query("corpus_dedup", "SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
 def corpus_dedup(spark, d):
-    return chunk.first_by_key(_docs(spark, d), ["text"], ["doc_id"]).select("doc_id", "source", "n_chars")
+    docs = _docs(spark, d).select(F.md5(F.col("text").cast("binary")).alias("h"), "doc_id", "source", "n_chars")  # texts aren't shuffled
+    return chunk.first_by_key(docs, ["h"], ["doc_id"]).select("doc_id", "source", "n_chars")
 
 
 @query("normalize_text", f"SELECT doc_id, {S.normalise('text')} AS normal FROM documents")
@@ -194,9 +196,11 @@ def page_min_length(spark, d):
     return table(spark, d, "pages").filter(F.length("html") >= 100).select("page_id", "url")
 
 
-@query("qa_budget_split", "SELECT unnest(['simple', 'multi_hop', 'null']) AS type, unnest([34, 33, 33])::BIGINT AS n")
+@query("qa_budget_split", "SELECT type, (n // 3 + CASE WHEN k < n % 3 THEN 1 ELSE 0 END)::BIGINT AS n FROM (SELECT unnest(['simple', 'multi_hop', 'null']) AS type, unnest([0, 1, 2]) AS k), (SELECT count(*) AS n FROM benchmark)")
 def qa_budget_split(spark, d):
-    return spark.createDataFrame(list(evaluate.budget(100, ["simple", "multi_hop", "null"]).items()), "type string, n long")
+    """A question for each benchmark item, split over the types."""
+    n = table(spark, d, "benchmark").count()
+    return spark.createDataFrame(list(evaluate.budget(n, ["simple", "multi_hop", "null"]).items()), "type string, n long")
 
 
 @query("qa_pairing", """
@@ -204,8 +208,7 @@ WITH o AS (SELECT doc_id, source, row_number() OVER (ORDER BY md5(doc_id::VARCHA
 SELECT a.doc_id AS first_id, b.doc_id AS second_id FROM o a JOIN o b ON b.r = CASE WHEN a.r = a.n THEN 1 ELSE a.r + 1 END""")
 def qa_pairing(spark, d):
     """Documents in hash order, each with the next (the last with the first): a seeded round robin without a driver loop."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    o = _docs(spark, d).select("doc_id", F.lead("doc_id").over(w).alias("second_id"), F.first("doc_id").over(w).alias("head"))
-    return o.select(F.col("doc_id").alias("first_id"), F.coalesce("second_id", "head").alias("second_id"))
+    o = cut(in_sequence(_docs(spark, d).select("doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h")), ["h", "doc_id"]))
+    n = o.count()
+    after = o.select(F.pmod(F.col("_place") - 1 + n, F.lit(n)).alias("_place"), F.col("doc_id").alias("second_id"))
+    return o.select(F.col("doc_id").alias("first_id"), "_place").join(after, "_place").select("first_id", "second_id")

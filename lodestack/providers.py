@@ -24,20 +24,27 @@ class LLMProvider:
     def answer(self, prompt: str) -> str:
         raise NotImplementedError
 
+    def answer_many(self, prompts: list[str]) -> list[str | None]:
+        """Replies to a batch, null for a failed one; a provider with a batch call overrides this."""
+
+        def one(p: str) -> str | None:
+            try:
+                return self.answer(p)
+            except Exception:  # a failed call is a null, which callers give a fallback
+                return None
+
+        return [one(p) for p in prompts]
+
     def generate(self, prompts: Column) -> Column:
-        """value of the reply; null where the model failed."""
-        answer = self.answer
+        """value of the reply; null where the model failed. Distinct prompts of an Arrow batch are asked together, once."""
+        answer_many = self.answer_many
 
         @F.pandas_udf("string")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            def one(p: str | None) -> str | None:
-                try:
-                    return None if p is None else answer(p)
-                except Exception:  # a failed call is a null, which callers give a fallback
-                    return None
-
             for s in batches:
-                yield s.map(one)
+                asked = list(dict.fromkeys(p for p in s if p is not None))
+                known = dict(zip(asked, answer_many(asked) if asked else [], strict=True))
+                yield s.map(lambda p: None if p is None else known[p]).astype(object)
 
         return run(prompts)
 
@@ -71,7 +78,8 @@ class ExtractiveLLM(LLMProvider):
     most words with the query, extract those that share one (or the sentinel), claims the
     query's sentences as JSON, verdicts 0/1 for claims (JSON) found in the context, score the
     share of the query's words in the context, questions three rewrites, boundaries every third
-    sentence start.
+    sentence start, summary the first sentence of each passage, hyde the query, followups questions about
+    its words that the context lacks, graph its words of four characters or more, each linked to the next.
     """
 
     def answer(self, prompt: str) -> str:
@@ -92,6 +100,15 @@ class ExtractiveLLM(LLMProvider):
             return f"{len(asked & words(context)) / max(len(asked), 1):.4f}"
         if task == "questions":
             return json.dumps([f"{p} {query}" for p in ("What about", "Which", "Tell me of")])
+        if task == "summary":
+            return " ".join(t.split(".")[0].strip() + "." for t in query.split("\n\n...\n\n"))
+        if task == "hyde":
+            return query
+        if task == "followups":
+            return json.dumps([f"What of {w}?" for w in sorted(asked - words(context), key=lambda w: (-len(w), w))[:3]] or cut(query)[:3])
+        if task == "graph":
+            names = list(dict.fromkeys(w for w in re.findall(r"\w+", query.lower()) if len(w) >= 4))
+            return json.dumps({"entities": [{"name": w, "type": "term"} for w in names], "relationships": [{"source": a, "target": b, "relation": "next"} for a, b in zip(names, names[1:])]})
         if task == "boundaries":
             return json.dumps([m.end() for k, m in enumerate(re.finditer(r"[.!?]\s+", query)) if k % 3 == 2])
         raise LookupError(task)
@@ -150,7 +167,28 @@ class CrossEncoderReranker(Reranker):
         return run(query, content)
 
 
-REGISTRY: dict[str, Callable[..., object]] = {"hashing": HashingEmbedder, "extractive": ExtractiveLLM, "scripted": ScriptedLLM, "lexical": LexicalReranker, "cross-encoder": CrossEncoderReranker}
+class ApiReranker(Reranker):
+    """A listwise service: call(query, documents) -> (index, relevance) pairs, one call for each query of an Arrow batch; what it leaves out scores 0."""
+
+    def __init__(self, call: Callable[[str, list[str]], list[tuple[int, float]]]):
+        self.call = call
+
+    def score(self, query: Column, content: Column) -> Column:
+        call = self.call
+
+        @F.pandas_udf("double")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for q, c in batches:
+                out = pd.Series(0.0, index=q.index)
+                for text, own in c.groupby(q, sort=False):
+                    for k, relevance in call(text, own.fillna("").tolist()):
+                        out.loc[own.index[k]] = float(relevance)
+                yield out
+
+        return run(query, content)
+
+
+REGISTRY: dict[str, Callable[..., object]] = {"hashing": HashingEmbedder, "extractive": ExtractiveLLM, "scripted": ScriptedLLM, "lexical": LexicalReranker, "cross-encoder": CrossEncoderReranker, "api": ApiReranker}
 
 
 def resolve(name: str, **options: object) -> object:

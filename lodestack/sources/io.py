@@ -27,10 +27,11 @@ def read_text(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("tx
 LAYOUT = "page int, kind string, ord int, text string, x0 double, y0 double, x1 double, y1 double, fill string"
 
 
-def read_pdf(spark: SparkSession, path: str, parse: Callable[[bytes], list[dict]] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Layout rows (spans, segments, rectangles) of PDF files: path and LAYOUT, of pages first .. last (from 1).
+def read_pdf(spark: SparkSession, path: str, parse: Callable[[bytes], list[dict]] | None = None, first: int | None = None, last: int | None = None, errors: bool = False) -> DataFrame:
+    """Layout rows (spans, segments, rectangles, and what else a layout model names: headers, tables) of PDF files: path and LAYOUT, of pages first .. last (from 1).
 
-    parse: bytes of a file -> rows of LAYOUT as dicts; without one a backend must be installed.
+    parse: bytes of a file -> rows of LAYOUT as dicts; without one a backend must be installed. A file that can't be parsed
+    gives no rows or, with errors, one of kind error whose text says why; the others are read.
     """
     if parse is None:
         parse = _mupdf()
@@ -40,12 +41,16 @@ def read_pdf(spark: SparkSession, path: str, parse: Callable[[bytes], list[dict]
         names = [x.split()[0] for x in LAYOUT.split(", ")]
         for df in batches:
             for p, content in zip(df["path"], df["content"], strict=True):
-                rows = [{"path": p, **{n: r.get(n) for n in names}} for r in parse(bytes(content))]
+                try:
+                    rows = [{"path": p, **{n: r.get(n) for n in names}} for r in parse(bytes(content))]
+                except Exception as e:  # one bad file is reported; it doesn't end the job
+                    rows = [{"path": p, **dict.fromkeys(names), "kind": "error", "text": f"{type(e).__name__}: {e}"}]
                 if rows:
                     yield pd.DataFrame(rows)[["path", *names]]
 
     out = files.mapInPandas(run, "path string, " + LAYOUT)
-    return out.filter(F.col("page").between(first or 1, last or 1 << 30))
+    wanted = F.col("page").between(first or 1, last or 1 << 30) & (F.col("kind") != "error")
+    return out.filter(wanted | (F.col("kind") == "error")) if errors else out.filter(wanted)
 
 
 def _mupdf() -> Callable[[bytes], list[dict]]:
@@ -61,6 +66,11 @@ def _mupdf() -> Callable[[bytes], list[dict]]:
                 for line in block.get("lines", []):
                     for s in line["spans"]:
                         out.append({"page": n, "kind": "span", "ord": len(out), "text": s["text"], **dict(zip(("x0", "y0", "x1", "y1"), s["bbox"], strict=True))})
+            for d in page.get_drawings():
+                for item in d["items"]:
+                    box = (item[1].x, item[1].y, item[2].x, item[2].y) if item[0] == "l" else tuple(item[1]) if item[0] == "re" else None
+                    if box:
+                        out.append({"page": n, "kind": "segment" if item[0] == "l" else "rect", "ord": len(out), "fill": None if d.get("fill") is None else "white" if min(d["fill"]) > 0.95 else "dark", **dict(zip(("x0", "y0", "x1", "y1"), map(float, box), strict=True))})
         return out
 
     return parse
@@ -102,7 +112,7 @@ def load_hotpot(spark: SparkSession, path: str, level: str | None = None, n: int
     out = raw.select(F.col("_id").alias("id"), "question", "answer", "type", "level", pairs.alias("context"), facts.alias("supporting_facts"))
     if level is not None:
         out = out.filter(F.col("level") == level)
-    return out if n is None else out.limit(n)
+    return out if n is None else out.withColumn("_o", F.monotonically_increasing_id()).orderBy("_o").limit(n).drop("_o")
 
 
 PAPER = "struct<title:string,abstract:string,full_text:array<struct<section_name:string,paragraphs:array<string>>>,qas:array<struct<question:string,question_id:string,answers:array<struct<annotation_id:string,type:string,free_form_answer:string,evidence:array<string>,highlighted_evidence:array<string>>>>>>"
@@ -142,12 +152,41 @@ def save_inverted_index(posting: DataFrame, name: str, buckets: int = 64) -> Non
     posting.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
 
 
-def save_index(chunks: DataFrame, path: str) -> None:
-    chunks.write.mode("overwrite").parquet(path)
+def save_index(chunks: DataFrame, path: str, model: str = "") -> None:
+    """Chunks with their vectors, and the fingerprint of the model that made these."""
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    chunks.sparkSession.createDataFrame([(model,)], "model string").coalesce(1).write.mode("overwrite").json(f"{path}/model")
 
 
-def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_index(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """The chunks of an index; a ValueError if it was made by another model than the given one."""
+    if model is not None:
+        stored = spark.read.schema("model string").json(f"{path}/model").first()
+        if stored is None or stored["model"] != model:
+            raise ValueError(f"stale index: made by {stored and stored['model']!r}, not {model!r}")
+    return spark.read.parquet(f"{path}/chunks")
+
+
+def clear_index(spark: SparkSession, path: str) -> bool:
+    """Removes an index; whether there was one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+REPORT = ("index", "doc_index", "chunk_index", "source", "char_count", "word_count", "content")
+
+
+def append_csv(report: DataFrame, path: str) -> None:
+    """Adds rows of a chunk report (its seven columns) to a table of CSV files, each with its header."""
+    write_csv(report.select(*REPORT), path, "append")
+
+
+def to_pandas(df: DataFrame, most: int = 100_000) -> pd.DataFrame:
+    """df as pandas on the driver; more than `most` rows are a ValueError, as they belong in a table."""
+    out = df.limit(most + 1).toPandas()
+    if len(out) > most:
+        raise ValueError(f"more than {most} rows; write them instead")
+    return out
 
 
 def write_results(rows: DataFrame, path: str, experiment: str, mode: str) -> None:

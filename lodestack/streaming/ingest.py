@@ -29,5 +29,6 @@ def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The newest row of each key; of a batch that repeats a key, one row."""
     every = spark.read.parquet(path)
     columns = [c for c in every.columns if c not in (key, "_version", "batch")]
-    newest = every.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("_version", F.xxhash64(*columns))).alias("r"))
+    tie = F.to_json(F.struct(*columns))  # a map has a text, but no hash of its own
+    newest = every.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("_version", tie)).alias("r"))
     return newest.select(key, *(F.col(f"r.{c}").alias(c) for c in columns))

@@ -1,6 +1,7 @@
 """Operators on small fixtures: what SQL over the tables doesn't reach, nulls, empties and ties."""
 
 import difflib
+import json
 import math
 import random
 
@@ -265,6 +266,56 @@ def test_global_search_reads_detected_communities(spark, sf):
     assert any(c[0] != n[0] for n, c in label.items())
 
 
+def both_ways(spark, edges):
+    return spark.createDataFrame([(a, b, w) for a, b, w in edges] + [(b, a, w) for a, b, w in edges], "node string, neighbour string, weight double")
+
+
+def brute_modularity(edges, of, resolution):
+    m = sum(w for _, _, w in edges)
+    degree = {}
+    for a, b, w in edges:
+        degree[a], degree[b] = degree.get(a, 0) + w, degree.get(b, 0) + w
+    inside = sum(w for a, b, w in edges if of[a] == of[b]) / m
+    return inside - resolution * sum((sum(d for n, d in degree.items() if of[n] == c) / (2 * m)) ** 2 for c in set(of.values()))
+
+
+def test_communities_by_modularity(spark):
+    clique = lambda p: [(f"{p}{i}", f"{p}{j}", 1.0) for i in range(5) for j in range(i)]
+    edges = [*clique("a"), *clique("b"), *clique("c"), ("a0", "b0", 1.0), ("b1", "c1", 1.0)]
+    df = both_ways(spark, edges)
+    got = {r["node"]: r["community"] for r in graph.modular(df).collect()}
+    assert len(set(got.values())) == 3 and all(got[f"{p}0"] == got[f"{p}{i}"] for p in "abc" for i in range(5))
+    parts = spark.createDataFrame(list(got.items()), "node string, community string")
+    for resolution in (0.5, 1.0):
+        assert graph.modularity(df, parts, resolution) == pytest.approx(brute_modularity(edges, got, resolution))
+    assert graph.modularity_levels(1) == [1.0] and graph.modularity_levels(3) == [0.5, 1.0, 1.5]
+    none = spark.createDataFrame([], "node string, neighbour string, weight double")
+    assert graph.modular(none).count() == 0 and graph.modularity(none, parts) == 0.0
+
+
+def test_extraction_by_model(spark):
+    big = json.dumps({"entities": [{"name": f"N{k}", "type": "t"} for k in range(12)], "relationships": [{"source": "N0", "target": f"N{k}"} for k in range(20)]})
+    llm = ScriptedLLM({"good": 'Sure: {"entities": [{"name": "Ada", "type": "person"}, {"name": "Engine"}], "relationships": [{"source": "Ada", "target": "Engine", "relation": "wrote for"}]}', "many": big, "bad": "no JSON here"})
+    docs = spark.createDataFrame([(1, "good"), (2, "many"), (3, "bad"), (4, "unknown"), (5, None)], "doc_id long, text string")
+    e, r = graph.extract(docs, llm)
+    assert [(x["name"], x["entity_type"]) for x in e.filter("doc_id = 1").orderBy("ord").collect()] == [("ada", "person"), ("engine", "")]
+    assert [(x["source"], x["target"], x["relation"], x["weight"]) for x in r.filter("doc_id = 1").collect()] == [("ada", "engine", "wrote for", 1.0)]
+    assert e.filter("doc_id = 2").count() == 10 and r.filter("doc_id = 2").count() == 15 and e.filter("doc_id > 2").count() == 0
+    q = spark.createDataFrame([(1, "who asks"), (2, "plain words")], "query_id long, text string")
+    named = graph.query_entities(q, ScriptedLLM({"who": '["Ada", " "]'}))
+    assert sorted((x["query_id"], x["entity"]) for x in named.collect()) == [(1, "ada"), (2, "plain"), (2, "words")]
+    rows = spark.createDataFrame([("a", 1, 0, "one"), ("a", 2, 0, "two"), ("b", 1, 0, "alone")], "name string, doc_id long, ord int, description string")
+    assert {x["name"]: x["description"] for x in graph.merge_descriptions(rows, llm=ScriptedLLM({"^summary": "merged"})).collect()} == {"a": "merged", "b": "alone"}
+
+
+def test_fuzzy_matches_against_all_pairs(spark):
+    r = random.Random(3)
+    make = lambda n: sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(n)})
+    asked, names = make(60), make(120)
+    got = graph.fuzzy_match(spark.createDataFrame([(k, a) for k, a in enumerate(asked)], "query_id long, entity string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert sorted(tuple(x) for x in got.collect()) == sorted((k, n) for k, a in enumerate(asked) for n in names if a in n or n in a)
+
+
 # ---- tree
 
 
