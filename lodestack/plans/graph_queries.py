@@ -183,8 +183,13 @@ def community_labels(spark, d):
 
 @query("community_modularity")
 def community_modularity(spark, d):
-    """Communities by modularity."""
-    return graph.communities(_both_ways(Graph(spark, d)))
+    """Communities by modularity of nations, weighed by the lines that suppliers of one send to customers of another."""
+    customers = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").cast("string").alias("node"))
+    suppliers = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("neighbour"))
+    lines = table(spark, d, "lineitem").join(customers, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    trade = cut(lines.groupBy("node", "neighbour").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    both = trade.unionByName(trade.select(F.col("neighbour").alias("node"), F.col("node").alias("neighbour"), "weight"))
+    return graph.communities(both)
 
 
 @query("graph_extraction")

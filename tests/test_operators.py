@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lodestack.config import Config
 from lodestack.functions import text as T
 from lodestack.functions import vectors as V
-from lodestack.operators import chunk, evaluate, generate, graph, judge, layout, retrieve, sparse, tree, vector
+from lodestack.engine import Engine
+from lodestack.operators import chunk, evaluate, generate, graph, judge, layout, retrieve, scoring, sparse, tree, vector
 from lodestack.providers import ExtractiveLLM, HashingEmbedder, LexicalReranker, ScriptedLLM, fingerprint, resolve
 
 
@@ -446,6 +447,84 @@ def test_json_is_asked_again(spark):
     assert one(spark, "x", lambda c: llm.generate_json(c, "array<int>", 1)) is None
 
 
+# ---- samples, engine
+
+
+def test_batches_of_samples(spark):
+    rows = scoring.samples(spark, ["q0", "q1", "q2"], ["the cat", "dog", ""], [["the cat sat"], [], ["x"]], ["cat", None, " "], [["a", "b"], [], ["z"]], [["b"], ["b"], ["y"]])
+    got = {r["id"]: r.asDict() for r in scoring.evaluate_batch(rows, ScriptedLLM({"^score": "0.5", "^claims": '["c"]', "^verdicts": "[1]"})).collect()}
+    assert list(got[0]) == ["id", *scoring.STRING, *scoring.RANKING, *scoring.JUDGED]
+    assert (got[0]["exact_match"], got[0]["token_f1"], got[0]["rouge_l"]) == (1.0, 1.0, 1.0)
+    assert (got[0]["context_recall"], got[0]["context_precision"], got[0]["mrr"], got[0]["hit_rate"]) == (1.0, 0.5, 0.5, 1.0)
+    assert got[0]["faithfulness"] == 1.0 and got[0]["answer_correctness"] == 0.65 and got[0]["context_relevancy"] == 0.5
+    assert got[1]["exact_match"] is None and got[1]["mrr"] is None and got[1]["context_relevancy"] is None and got[1]["faithfulness"] == 0.0
+    assert got[2]["exact_match"] is None and got[2]["mrr"] == 0.0 and got[2]["answer_relevancy"] == 0.0
+    assert scoring.evaluate_batch(rows, metrics=["mrr", "token_f1"]).columns == ["id", "token_f1", "mrr"]
+    assert scoring.evaluate_batch(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="2 questions, but 1 answers"):
+        scoring.samples(spark, ["a", "b"], ["x"], [[], []])
+    with pytest.raises(ValueError, match="unknown metrics: nope"):
+        scoring.evaluate_batch(rows, metrics=["nope"])
+    with pytest.raises(ValueError, match="a model is needed"):
+        scoring.evaluate_batch(rows, metrics=["faithfulness"])
+
+
+def test_engine_ingests_stores_and_answers(spark, tmp_path):
+    docs = spark.createDataFrame([("one", "Cats purr softly at night. They sleep a lot."), ("two", "Rockets burn fuel. They fly to the moon."), ("three", "")], "doc_id string, text string")
+    q = spark.createDataFrame([(1, "what do rockets burn", "Rockets burn fuel.")], "query_id long, text string, ground_truth string")
+    path = str(tmp_path / "index")
+    for strategy in ("dense", "hybrid"):
+        config = Config.from_dict({"chunking": {"strategy": "late", "late_chunk_size": 40}, "retrieval": {"strategy": strategy, "corrective": True, "reranker": "lexical", "top_k": 2}})
+        engine = Engine(config).ingest(docs, path)
+        got = engine.query(q).orderBy("rank").collect()
+        assert got[0]["source"] == "two" and "fuel" in got[0]["content"] and len(got) <= 2
+    assert engine.answer(q).first()["answer"] == "Rockets burn fuel."
+    scores = scoring.evaluate_retriever(q, engine.retriever(), engine.chunks, engine.llm, 2, metrics=["exact_match", "faithfulness"]).first()
+    assert (scores["exact_match"], scores["faithfulness"]) == (1.0, 1.0)
+    with pytest.raises(ValueError, match="stale index"):
+        Engine(Config.from_dict({"models": {"embedding_dimension": 8}})).load(spark, path)
+    with pytest.raises(ValueError, match="unknown strategy"):
+        Engine(Config.from_dict({"retrieval": {"strategy": "nope"}}))
+    with pytest.raises(ValueError, match="unknown chunking"):
+        Engine(Config.from_dict({"chunking": {"strategy": "nope"}}))
+    with pytest.raises(ValueError, match="nothing is ingested"):
+        Engine().retriever()
+
+
+def test_vectors_of_other_ids_and_lengths(spark):
+    s = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    rows = vector.knn(q, s.withColumnRenamed("id", "vec_id"), 2).orderBy("rank").collect()
+    assert [r["id"] for r in rows] == ["a", "b"]
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    for run in (lambda: vector.knn(q, odd, 1).count(), lambda: vector.knn(odd.filter("vec_id = 3"), s.withColumnRenamed("id", "vec_id"), 1).count(), lambda: vector.upsert(s, odd.filter("vec_id = 2").select(F.lit("z").alias("id"), "embedding"), "id").count() or vector.upsert(s, odd.filter("vec_id = 2").select(F.lit("z").alias("id"), "embedding"), "id").collect()):
+        with pytest.raises(Exception, match="different lengths"):
+            run()
+    flat = spark.createDataFrame([({"n": "[1,2]", "k": "7"},)], "m map<string,string>")
+    got = flat.select(*(c.alias(k) for k, c in vector.unflatten_metadata(F.col("m"), {"n": "array<int>", "k": "int"}).items())).first()
+    assert (got["n"], got["k"]) == ([1, 2], 7)
+
+
+def test_bm25_by_joins_is_the_same(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    q = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.struct(F.col("item_id").alias("query_id"), F.lit(1).alias("variant")).alias("query_id"), "text")
+    fast = sorted(map(repr, sparse.bm25(q, docs, 5).collect()))
+    monkeypatch.setattr(sparse, "MOST_ASKED", 3)
+    assert sorted(map(repr, sparse.bm25(q, docs, 5).collect())) == fast != []
+
+
+def test_passages_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "big red dog runs"), (2, "x"), (3, None)], "source long, text string")
+    items = spark.createDataFrame([(1, "red dog"), (2, "dog"), (3, ""), (4, None), (5, "cat"), (6, "dog")], "query_id long, text string")
+    assert sorted(tuple(r) for r in evaluate.passages_in(items, docs).collect()) == [(1, 1), (2, 1), (3, 1), (3, 2), (6, 1)]
+
+
+def test_elements_that_share_an_id(spark):
+    rows = [(1, 7, "b", 0.0, 0.0, 5.0, 2.0), (1, 7, "a", 0.0, 0.0, 5.0, 2.0), (1, 3, "c", 9.0, 1.0, 12.0, 3.0), (1, 9, "d", 0.0, 50.0, 5.0, 52.0)]
+    e = spark.createDataFrame(rows, "page int, id long, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [r["text"] for r in layout.reading_order(e).orderBy("pos").collect()] == ["a", "b", "c", "d"]
+
+
 # ---- configuration
 
 

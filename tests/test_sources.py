@@ -75,3 +75,44 @@ def test_stream_upserts(spark, tmp_path):
 def test_html_text(spark):
     html = "<html><script>x<y</script><p>A &amp; B&nbsp;<!-- c -->\n <b>C</b></p></html>"
     assert spark.createDataFrame([(html,)], "h string").select(io.html_text(F.col("h")).alias("t")).first()["t"] == "A & B C"
+
+
+def test_latest_rows_with_maps(spark, tmp_path):
+    from lodestack.streaming.ingest import read_latest
+
+    kind = "id long, metadata map<string,string>, _version long"
+    spark.createDataFrame([(1, {"a": "x"}, 0), (2, {"b": "y"}, 0), (1, {"a": "z"}, 1)], kind).write.parquet(str(tmp_path / "rows"))
+    assert {r["id"]: r["metadata"] for r in read_latest(spark, str(tmp_path / "rows"), "id").collect()} == {1: {"a": "z"}, 2: {"b": "y"}}
+
+
+def test_a_bad_file_is_reported(spark, tmp_path):
+    from lodestack.sources import io
+
+    (tmp_path / "good.pdf").write_bytes(b"good")
+    (tmp_path / "bad.pdf").write_bytes(b"bad")
+
+    def parse(content):
+        if content == b"bad":
+            raise ValueError("broken")
+        return [{"page": n, "kind": kind, "ord": n, "text": "t"} for n, kind in ((1, "span"), (2, "header"))]
+
+    assert io.read_pdf(spark, str(tmp_path), parse, first=2).select("page", "kind").collect() == [(2, "header")]
+    rows = io.read_pdf(spark, str(tmp_path), parse, errors=True).filter("kind = 'error'").collect()
+    assert [(r["path"].endswith("bad.pdf"), r["text"]) for r in rows] == [(True, "ValueError: broken")]
+
+
+def test_index_life_cycle(spark, tmp_path):
+    from lodestack.sources import io
+
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>")
+    io.save_index(rows, path, "m:1")
+    assert io.load_index(spark, path, "m:1").collect() == rows.collect()
+    for other in ("m:2", ""):
+        try:
+            io.load_index(spark, path, other)
+            raise AssertionError("stale index read")
+        except ValueError as e:
+            assert "stale" in str(e)
+    assert io.clear_index(spark, path) and not io.clear_index(spark, path)
+    assert len(io.to_pandas(rows)) == 1
