@@ -497,7 +497,7 @@ def test_vectors_of_other_ids_and_lengths(spark):
     rows = vector.knn(q, s.withColumnRenamed("id", "vec_id"), 2).orderBy("rank").collect()
     assert [r["id"] for r in rows] == ["a", "b"]
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
-    for run in (lambda: vector.knn(q, odd, 1).count(), lambda: vector.knn(odd.filter("vec_id = 3"), s.withColumnRenamed("id", "vec_id"), 1).count(), lambda: vector.upsert(s, odd.filter("vec_id = 2").select(F.lit("z").alias("id"), "embedding"), "id").count() or vector.upsert(s, odd.filter("vec_id = 2").select(F.lit("z").alias("id"), "embedding"), "id").collect()):
+    for run in (lambda: vector.knn(q, odd, 1).count(), lambda: vector.knn(odd.filter("vec_id = 3"), s.withColumnRenamed("id", "vec_id"), 1).count(), lambda: vector.upsert(s, odd.filter("vec_id = 2").select(F.lit("z").alias("id"), "embedding"), "id").collect()):
         with pytest.raises(Exception, match="different lengths"):
             run()
     flat = spark.createDataFrame([({"n": "[1,2]", "k": "7"},)], "m map<string,string>")
