@@ -57,12 +57,16 @@ def _directories(base: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame
     return out, True
 
 
-def _placed(rows: DataFrame, limit: int, names: tuple[str, str, str]) -> DataFrame:
-    """rows (any columns, doc_id and text among them) with a prefix, depth and page under the given names."""
+def _bytes() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+
+
+def _placed(rows: DataFrame, limit: int, names: tuple[str, str, str], n_bytes: Column) -> DataFrame:
+    """rows (any columns, doc_id among them) with a prefix, depth and page under the given names."""
     prefix, depth, page = names
     h, n, p, s, row = (fresh(x, rows) for x in ("_h", "_n", "_p", "_s", "_row"))
-    sized = rows.withColumn(h, address()).withColumn(n, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    directories, overflow = _directories(cut(rows.select(address().alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))), limit)
+    sized = rows.withColumn(h, address()).withColumn(n, n_bytes)
+    directories, overflow = _directories(cut(rows.select(address().alias("h"), n_bytes.alias("n"))), limit)
     depths = []
     for high, directory in directories:
         depths.append(fresh(f"_depth{high}", rows))
@@ -86,8 +90,8 @@ def _placed(rows: DataFrame, limit: int, names: tuple[str, str, str]) -> DataFra
 
 def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, prefix (the shard's bits as a number), depth (how many), page and n_bytes for every row."""
-    out = _placed(docs.select("doc_id", "text"), limit, ("prefix", "depth", "page"))
-    return out.select("doc_id", "prefix", "depth", "page", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    sizes = docs.select("doc_id", _bytes().alias("n_bytes"))  # texts aren't shuffled
+    return _placed(sizes, limit, ("prefix", "depth", "page"), F.col("n_bytes")).select("doc_id", "prefix", "depth", "page", "n_bytes")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +117,6 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     if "shard" in (c.lower() for c in docs.columns):
         raise ValueError("docs must not have a column shard")
     names = tuple(fresh(x, docs) for x in ("_prefix", "_depth", "_page"))
-    placed = _placed(docs, limit, names)
+    placed = _placed(docs, limit, names, _bytes())
     rows = placed.withColumn("shard", F.concat_ws("-", names[1], names[0], names[2])).drop(*names)
     rows.repartition("shard").write.partitionBy("shard").parquet(path)
