@@ -241,6 +241,45 @@ def test_label_propagation_goes_on_until_labels_repeat(spark):
     assert {r["node"] for r in graph.propagate_labels(pair, None).collect()} == {"a", "b"}
 
 
+def test_names_and_pairs_by_code_are_those_of_a_loop(spark):
+    from collections import Counter
+
+    from lodestack.operators.names import Coded
+
+    r = random.Random(9)
+    words = [f"name{k:02d}" for k in range(40)] + ["éaux", "it", "of"]
+    texts = [". ".join(" ".join(r.choices(words, k=r.randint(1, 6))).capitalize() for _ in range(r.randint(1, 4))) + "." for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:20], "", None])] + [(3, texts[3])]  # copies, an empty and a null text, a row twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    coded = Coded(docs, low=3, share=0.2, floor=4)
+    df = Counter(w for t in set(texts) for w in set(t.lower().replace(".", "").split()) if len(w) >= 4)
+    kept = {w for w, n in df.items() if 3 <= n <= max(4, int(0.2 * (len(set(texts)) + 1)))}
+    assert kept and coded.names.to_pylist() == sorted(kept)
+    found = {(w, i, t.lower().replace(".", "").split().index(w)) for i, t in rows if t for w in set(t.lower().replace(".", "").split()) & kept}
+    assert sorted(tuple(x) for x in coded.named(coded.mentions(), "name").collect()) == sorted(found)
+    pairs = {(a, b, i, k) for i, t in rows if t for k, s in enumerate(t.lower().split(". ")) for a in set(s.strip(".").split()) & kept for b in set(s.strip(".").split()) & kept if a < b}
+    assert sorted(tuple(x) for x in coded.named(coded.pairs, "source", "target").collect()) == sorted(pairs)
+    assert {tuple(x) for x in coded.named(coded.links, "source", "target").collect()} == {p[:2] for p in pairs}
+    assert coded.links.count() == len({p[:2] for p in pairs})
+    single = Coded(docs.dropDuplicates(["doc_id"]).localCheckpoint(), low=3, share=0.2, floor=4)
+    for plan in (single.mentions(), coded.codes(spark.createDataFrame([("name01", 1)], "w string, n int"), "w")):  # tokens and pairs aren't shuffled
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_and_labels_by_code_are_those_by_name(spark, monkeypatch):
+    from lodestack.operators import names
+
+    monkeypatch.setattr(names, "HELD", 16)
+    r = random.Random(4)
+    links = sorted({(a, b) for a, b in ((r.randrange(90), r.randrange(90)) for _ in range(70)) if a < b})
+    rows = spark.createDataFrame([(a, b, float(r.randint(1, 4))) for a, b in links], "source int, target int, weight double").repartition(5)
+    both = rows.selectExpr("source AS node", "target AS neighbour", "weight").unionByName(rows.selectExpr("target AS node", "source AS neighbour", "weight")).localCheckpoint()
+    assert {tuple(x) for x in names.components(rows).collect()} == {tuple(x) for x in graph.components(both).collect()}
+    want = {x["node"]: x["community"] for x in graph.propagate_labels(both, None).collect()}
+    got = names.labels(rows, 90)
+    assert {k: int(got[k]) for k in range(90)} == {k: want.get(k, k) for k in range(90)}
+
+
 def test_components_of_a_long_chain(spark):
     e = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y")]
     got = graph.components(graph.adjacency(spark.createDataFrame(e, "source string, target string")))
