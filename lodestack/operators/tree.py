@@ -6,13 +6,15 @@ from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..providers import LLMProvider
-from .vector import knn
+from .vector import _present, knn
 
 PIECE = 8000
 
@@ -53,21 +55,72 @@ def recentre(vectors: DataFrame, assigned: DataFrame, centroids: DataFrame) -> D
     return centroids.join(means, "cluster", "left").select("cluster", F.coalesce("mean", F.col("centroid").cast("array<double>")).alias("centroid"))
 
 
-def kmeans(vectors: DataFrame, k: int, rounds: int = 50) -> DataFrame:
-    """vec_id, cluster by Lloyd's iteration from the k least ids; ends when assignments repeat."""
-    from ..lineage import cut
+def _assigned(x: np.ndarray, centroids: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """The nearest centroid of each vector, by squared distances of 9 digits; ties to the least."""
+    own, out = (centroids * centroids).sum(1), []
+    for i in range(0, len(x), rows):
+        q = x[i : i + rows]
+        out.append(np.round((q * q).sum(1)[:, None] - 2 * (q @ centroids.T) + own[None, :], 9).argmin(1))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def _round(shared: Broadcast):
+    """Of each cluster of a partition the number and sum of its vectors; a row of cluster -1 has a digest of who is where."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        n, total, digest = np.zeros(len(c), np.int64), np.zeros_like(c), np.zeros(1, np.uint64)
+        for batch in batches:
+            ids, x = _present(batch)
+            if len(ids):
+                near = _assigned(x, c)
+                n += np.bincount(near, minlength=len(c))
+                by = np.argsort(near, kind="stable")
+                first = np.flatnonzero(np.diff(near[by], prepend=-1))
+                total[near[by][first]] += np.add.reduceat(x[by], first)
+                who = pd.util.hash_array(ids.to_numpy(zero_copy_only=False))
+                digest += pd.util.hash_array(who ^ (near.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).sum(dtype=np.uint64)
+        some = np.flatnonzero(n)
+        rows = [[-1, *some.tolist()], [int(digest.view(np.int64)[0]), *n[some].tolist()], [[], *total[some].tolist()]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["cluster", "n", "total"])
 
-    first = vectors.orderBy("vec_id").limit(k).withColumn("cluster", F.row_number().over(Window.orderBy("vec_id")) - 1)
-    centroids = cut(first.select("cluster", F.col("embedding").cast("array<double>").alias("centroid")))
-    assigned = cut(nearest(vectors, centroids))
-    for _ in range(rounds):
-        centroids = cut(recentre(vectors, assigned, centroids))
-        again = cut(nearest(vectors, centroids))
-        moved = again.join(assigned.withColumnRenamed("cluster", "old"), "vec_id").filter("cluster <> old").isEmpty()
-        assigned = again
-        if moved:
+    return run
+
+
+def kmeans(vectors: DataFrame, k: int, rounds: int = 50) -> DataFrame:
+    """vec_id, cluster by Lloyd's iteration from the k least ids; ends when assignments repeat.
+
+    Vectors are written once. A round is one pass over them with the centroids broadcast, and brings k sums for each of some partitions to the driver.
+    """
+    from ..lineage import stored
+
+    held = stored(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "vectors")
+    spark = held.sparkSession
+    first = held.filter("size(embedding) > 0").orderBy("vec_id").limit(k).toArrow()
+    c = np.array(first.column("embedding").to_pylist(), np.float64).reshape(first.num_rows, -1)
+    passes = held.coalesce(2 * spark.sparkContext.defaultParallelism)
+    before = None
+    for r in range(rounds + 1):
+        shared = spark.sparkContext.broadcast(c)
+        rows = passes.mapInArrow(_round(shared), "cluster int, n long, total array<double>").toArrow()
+        cluster, n = np.asarray(rows.column("cluster")), np.asarray(rows.column("n"))
+        now = int(n[cluster < 0].astype(np.uint64).sum(dtype=np.uint64))
+        if now == before or r == rounds:
             break
-    return assigned
+        before = now
+        members, total = np.zeros(len(c)), np.zeros_like(c)
+        for at, m, t in zip(cluster, n, rows.column("total").to_pylist(), strict=True):
+            if at >= 0:
+                members[at] += m
+                total[at] += t
+        c = np.where(members[:, None] > 0, total / np.maximum(members, 1)[:, None], c)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = _present(batch)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(_assigned(x, shared.value), pa.int32())], ["vec_id", "cluster"])
+
+    return held.mapInArrow(place, f"vec_id {held.schema['vec_id'].dataType.simpleString()}, cluster int")
 
 
 def build(leaves: DataFrame, summarise: Column, embed, levels: int = 3, most: int = 10) -> DataFrame:
@@ -81,7 +134,7 @@ def build(leaves: DataFrame, summarise: Column, embed, levels: int = 3, most: in
         if n <= 1:
             break
         k = cluster_count(n, most)
-        placed = level_nodes.drop("cluster").join(kmeans(level_nodes, k) if n > k else level_nodes.select("vec_id", (F.row_number().over(Window.orderBy("vec_id")) - 1).alias("cluster")), "vec_id")
+        placed = level_nodes.select("vec_id", "text").join(kmeans(level_nodes, k) if n > k else level_nodes.select("vec_id", (F.row_number().over(Window.orderBy("vec_id")) - 1).alias("cluster")), "vec_id")
         pieces = placed.select("cluster", "vec_id", F.posexplode_outer(T.greedy_pack(F.col("text"), PIECE, 0)).alias("pos", "text"))
         # a call reads about PIECE characters of a cluster; no row has more
         before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("cluster").orderBy("vec_id", "pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

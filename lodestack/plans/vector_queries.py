@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import tree, vector
 from . import sqltext as S
@@ -158,7 +159,7 @@ def raptor_tree(spark, d):
 
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     embedder = HashingEmbedder()
-    leaves = docs.join(embedder.embed(docs, "vec_id"), "vec_id")
+    leaves = docs.withColumn("embedding", V.hash_vector(T.tokens(F.col("text"))))  # as the embedder's, without a join
     nodes = tree.build(leaves, tree.first_sentences(F.col("texts")), lambda rows: embedder.embed(rows, "vec_id"))
     return nodes.select("vec_id", "level", "cluster", F.length("text").alias("n_chars"))
 

@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,6 +360,25 @@ def test_fuzzy_matches_against_all_pairs(spark):
 # ---- tree
 
 
+def test_kmeans_is_lloyds_loop_in_a_few_jobs(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(300, 3)) + r.integers(0, 4, 300)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    c = x[:7].copy()
+    near = None
+    for rounds in range(51):
+        now = ((x[:, None] - c[None]) ** 2).sum(2).round(9).argmin(1)
+        if near is not None and (now == near).all():
+            break
+        near = now
+        c = np.array([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(7)])
+    spark.sparkContext.setJobGroup("kmeans", "kmeans")
+    got = {q["vec_id"]: q["cluster"] for q in tree.kmeans(df, 7).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("kmeans"))
+    assert rounds < 50 and got == dict(enumerate(now.tolist()))
+    assert jobs <= rounds + 8  # a job each round, and those that write, start and place
+
+
 def test_kmeans_separates_two_blobs(spark):
     points = [(0, [0.7, 0.7]), (3, [0.8, 0.6]), (4, [0.6, 0.8]), (1, [10.3, 10.3]), (2, [10.2, 10.4]), (5, [10.4, 10.2])]
     got = {r["vec_id"]: r["cluster"] for r in tree.kmeans(spark.createDataFrame(points, "vec_id long, embedding array<double>"), 2).collect()}
