@@ -74,6 +74,13 @@ def _blocks(df: DataFrame, key: str, vector: str, kind: str) -> DataFrame:
     return df.select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"{kind}_ids array<{of}>, {kind}_x binary")
 
 
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as SQL does, halves away from zero; numpy's round gives 0.0078125 as 0.007812."""
+    grown = np.abs(x) * 10.0**digits
+    down = np.floor(grown)
+    return np.copysign(down + (grown - down >= 0.5), x) / 10.0**digits
+
+
 def _best(q: np.ndarray, s: np.ndarray, metric: str, k: int, digits: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and score of the best k of each row; equal scores go by the columns' order. NaN (a zero vector) never."""
     if q.shape[1] != s.shape[1]:
@@ -85,7 +92,7 @@ def _best(q: np.ndarray, s: np.ndarray, metric: str, k: int, digits: int, order:
         if metric == "cosine":
             with np.errstate(invalid="ignore", divide="ignore"):
                 score /= np.sqrt((q * q).sum(1))[:, None] * np.sqrt((s * s).sum(1))[None, :]
-    score = np.round(score, digits)[:, order] + 0.0
+    score = _rounded(score, digits)[:, order] + 0.0
     score = np.where(np.isnan(score), -np.inf, score)
     take = min(k, score.shape[1])
     if take < score.shape[1]:  # all that are at least the k-th best, so that ties are whole

@@ -360,6 +360,12 @@ def test_fuzzy_matches_against_all_pairs(spark):
 # ---- tree
 
 
+def test_knn_rounds_halves_as_sql_does(spark):
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    store = spark.createDataFrame([(1, [0.0078125, 0.0]), (2, [-0.0078125, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["id"], r["score"]) for r in vector.knn(q, store, 2, "ip").orderBy("rank").collect()] == [(1, 0.007813), (2, -0.007813)]
+
+
 def test_kmeans_is_lloyds_loop_in_a_few_jobs(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(300, 3)) + r.integers(0, 4, 300)[:, None]
