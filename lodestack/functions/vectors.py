@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from .text import in_slices
+
 
 def _d(v: Column) -> Column:
     return v.cast("array<double>")
@@ -58,12 +60,11 @@ def hash_sign(token: Column) -> Column:
 def hash_vector(tokens: Column, dim: int = 64) -> Column:
     """Unit vector of signed token hashes (hash_bucket, hash_sign); zeros without tokens or for null.
 
-    Arrow batches: each distinct token of a batch is hashed once, and sums are array operations; as
+    Arrow batches: each distinct token of a slice of 2,048 rows is hashed once, and sums are array operations; as
     rows of tokens it would take two shuffles.
     """
 
-    @F.arrow_udf(ArrayType(DoubleType()))
-    def run(lists: pa.Array) -> pa.Array:
+    def some(lists: pa.Array) -> pa.Array:
         n = len(lists)
         coded = lists.flatten().dictionary_encode()
         digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
@@ -77,4 +78,8 @@ def hash_vector(tokens: Column, dim: int = 64) -> Column:
         w = w / np.where(length > 0, length, 1.0) + 0.0
         return pa.FixedSizeListArray.from_arrays(pa.array(w.ravel()), dim).cast(pa.list_(pa.float64()))
 
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def run(lists: pa.Array) -> pa.Array:
+        return in_slices(lists, some, 2048)
+
     return run(tokens)

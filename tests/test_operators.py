@@ -366,6 +366,19 @@ def test_knn_rounds_halves_as_sql_does(spark):
     assert [(r["id"], r["score"]) for r in vector.knn(q, store, 2, "ip").orderBy("rank").collect()] == [(1, 0.007813), (2, -0.007813)]
 
 
+def test_packing_and_hashing_hold_a_slice_of_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    got = T.in_slices(pa.array(range(1300)), lambda x: (seen.append(len(x)), x)[1])
+    assert got.to_pylist() == list(range(1300)) and seen == [512, 512, 276]
+    assert T.in_slices(pa.array([], pa.int64()), lambda x: x).to_pylist() == []
+    docs = spark.range(3000).select(F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(". more words")).alias("text")).coalesce(1)
+    out = docs.select("text", T.greedy_pack(F.col("text"), 8, 0).alias("c"), V.hash_vector(T.tokens(F.col("text"))).alias("v")).collect()
+    assert all(r["c"] == T.pack(r["text"], 8, 0, T.CONFIG_SEPARATORS) for r in out) and len(out) == 3000
+    assert all(len(r["v"]) == 64 and abs(sum(x * x for x in r["v"]) - 1) < 1e-9 for r in out)
+
+
 def test_kmeans_is_lloyds_loop_in_a_few_jobs(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(300, 3)) + r.integers(0, 4, 300)[:, None]
