@@ -35,3 +35,13 @@ def test_nothing_else_imports_the_corpus_operators():
     for p in (ROOT / "lodestack").rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm." not in p.read_text().replace("llm.generate", "").replace("llm.answer", ""), p
+
+
+def test_the_entry_is_imported_before_there_is_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries()"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-500:]
