@@ -618,3 +618,11 @@ def test_config_rejects_unknown_keys_and_names():
         evaluate.select_metrics(["pred"], ["nope"])
     assert evaluate.select_metrics(["pred", "gold"]) == ["exact_match", "token_f1", "rouge_l", "answer_correctness"]
     assert evaluate.budget(100, ["a", "b", "c"]) == {"a": 34, "b": 33, "c": 33}
+
+
+def test_groups_split_their_text_once(spark):
+    """Items that are an expression were computed again for each group."""
+    df = spark.createDataFrame([(1, "A one. B two! C three? D."), (2, ""), (3, None)], "doc_id long, text string")
+    got = df.select("doc_id", T.groups_of(T.sentences(F.col("text")), 3).alias("g"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {r["doc_id"]: r["g"] for r in got.collect()} == {1: ["A one. B two! C three?", "D."], 2: [], 3: []}
