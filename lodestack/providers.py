@@ -79,7 +79,7 @@ class ExtractiveLLM(LLMProvider):
     query's sentences as JSON, verdicts 0/1 for claims (JSON) found in the context, score the
     share of the query's words in the context, questions three rewrites, boundaries every third
     sentence start, summary the first sentence of each passage, hyde the query, followups questions about
-    its words that the context lacks, graph its words of four characters or more, each linked to the next.
+    its words that the context lacks, graph its words of four characters or more, each linked to the next, as many as the context asks for.
     """
 
     def answer(self, prompt: str) -> str:
@@ -107,8 +107,15 @@ class ExtractiveLLM(LLMProvider):
         if task == "followups":
             return json.dumps([f"What of {w}?" for w in sorted(asked - words(context), key=lambda w: (-len(w), w))[:3]] or cut(query)[:3])
         if task == "graph":
-            names = list(dict.fromkeys(w for w in re.findall(r"\w+", query.lower()) if len(w) >= 4))
-            return json.dumps({"entities": [{"name": w, "type": "term"} for w in names], "relationships": [{"source": a, "target": b, "relation": "next"} for a, b in zip(names, names[1:])]})
+            said = re.search(r"at most (\d+) entities and (\d+) relationships$", context)
+            most, links = map(int, said.groups()) if said else (None, None)
+            names: dict[str, None] = {}
+            for m in re.finditer(r"\w{4,}", query.lower()):
+                names[m.group()] = None
+                if said and len(names) > max(most, links):
+                    break
+            names = list(names)
+            return json.dumps({"entities": [{"name": w, "type": "term"} for w in names[:most]], "relationships": [{"source": a, "target": b, "relation": "next"} for a, b in list(zip(names, names[1:]))[:links]]})
         if task == "boundaries":
             return json.dumps([m.end() for k, m in enumerate(re.finditer(r"[.!?]\s+", query)) if k % 3 == 2])
         raise LookupError(task)

@@ -626,3 +626,20 @@ def test_groups_split_their_text_once(spark):
     got = df.select("doc_id", T.groups_of(T.sentences(F.col("text")), 3).alias("g"))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert {r["doc_id"]: r["g"] for r in got.collect()} == {1: ["A one. B two! C three?", "D."], 2: [], 3: []}
+
+
+def test_extraction_asks_for_no_more_than_counts(spark):
+    words = " ".join(f"word{k:02d}" for k in range(40))
+    of = lambda asked: json.loads(ExtractiveLLM().answer(f"graph\n---\n{words}\n---\n{asked}"))
+    every, some = of(""), of("at most 10 entities and 15 relationships")
+    assert len(every["entities"]) == 40 and len(every["relationships"]) == 39
+    assert some == {"entities": every["entities"][:10], "relationships": every["relationships"][:15]}
+
+    class Seen(ExtractiveLLM):
+        def answer(self, prompt):
+            got = super().answer(prompt)
+            assert len(json.loads(got)["relationships"]) <= 15
+            return got
+
+    e, r = graph.extract(spark.createDataFrame([(1, words)], "doc_id long, text string"), Seen())
+    assert e.count() == 10 and r.count() == 15
