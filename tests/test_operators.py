@@ -643,3 +643,25 @@ def test_extraction_asks_for_no_more_than_counts(spark):
 
     e, r = graph.extract(spark.createDataFrame([(1, words)], "doc_id long, text string"), Seen())
     assert e.count() == 10 and r.count() == 15
+
+
+@pytest.mark.parametrize("held", [4, 1 << 20])
+def test_documents_near_queries_are_those_of_joins(spark, monkeypatch, held):
+    """One pass over sentences and one over documents, in place of pairs, a join with them and one with mentions; queries are more than one word of bits."""
+    from lodestack.operators import names
+
+    monkeypatch.setattr(names, "HELD", held)
+    r = random.Random(9)
+    texts = [". ".join(" ".join(f"name{r.randrange(60):02d}" for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 4))) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    coded = names.Coded(docs, low=2, share=0.5)
+    asked = [(100 + q, f"name{r.randrange(70):02d}") for q in range(130) for _ in range(q % 3)]
+    seeds = coded.codes(spark.createDataFrame(asked, "query_id long, entity string"), "entity").toDF("query_id", "node")
+    edges = coded.links.toDF("node", "neighbour").unionByName(coded.links.toDF("neighbour", "node"))
+    near = graph.neighbourhood(seeds, edges, 2)
+    want = near.join(coded.mentions().withColumnRenamed("name", "node"), "node").select("query_id", "doc_id").distinct()
+    got = [tuple(x) for x in coded.documents_near(seeds).collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(x) for x in want.collect()} and len(got) > 1000
+    assert coded.documents_near(seeds.limit(0)).count() == 0
+    monkeypatch.setattr(names, "MOST_ASKED", 3)
+    assert coded.documents_near(seeds) is None
