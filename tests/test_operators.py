@@ -665,3 +665,21 @@ def test_documents_near_queries_are_those_of_joins(spark, monkeypatch, held):
     assert coded.documents_near(seeds.limit(0)).count() == 0
     monkeypatch.setattr(names, "MOST_ASKED", 3)
     assert coded.documents_near(seeds) is None
+
+
+def test_relations_merge_as_they_stream_by(spark, monkeypatch):
+    """As merge_relations does by aggregates, over batches of a few rows; pairs aren't written first."""
+    from lodestack.operators import names
+
+    monkeypatch.setattr(names, "ROWS", 8)
+    r = random.Random(3)
+    texts = [". ".join(" ".join(f"name{r.randrange(12):02d}" for _ in range(4)) for _ in range(3)) for _ in range(50)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(3)
+    coded = names.Coded(docs, low=2, share=1.0)
+    weight = (F.col("ord") % 10 + 1).cast("double")
+    got = coded.merged(weight)
+    assert "pairs" not in coded.__dict__
+    rows = coded.named(coded.pairs, "source", "target").withColumn("weight", weight).withColumn("relation", F.col("doc_id").cast("string"))
+    want = graph.merge_relations(rows).select("source", "target", "weight", "relation", F.array_join(F.col("document_ids").cast("array<string>"), ",").alias("documents"))
+    assert sorted(map(tuple, got.select("source", "target", "weight", F.col("doc_id").cast("string"), "documents").collect()), key=lambda x: x[:2]) == sorted(map(tuple, want.collect()), key=lambda x: x[:2])
+    assert got.count() > 50
