@@ -62,8 +62,8 @@ class Engine:
     def ingest(self, docs: DataFrame, path: str | None = None) -> "Engine":
         """Cuts and embeds docs (doc_id, text and others); with a path the index is stored there with its model's fingerprint."""
         rows = self._chunker()(docs)
-        rows = cut(rows.select(F.col("chunk_id").alias("id"), "content", F.col("parent_id").cast("string").alias("source"), "chunk_index"))
-        self.chunks = rows.join(self.embedder.embed(rows, "id", "content"), "id")
+        rows = rows.select(F.col("chunk_id").alias("id"), "content", F.col("parent_id").cast("string").alias("source"), "chunk_index")
+        self.chunks = self.embedder.added(rows, "id", "content")
         if path is None:
             self.chunks = cut(self.chunks)
             return self

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions import vectors as V
+from .lineage import cut
 from .operators.vector import hash_embed
 
 
@@ -130,6 +132,11 @@ class EmbeddingProvider:
     def embed(self, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
         raise NotImplementedError
 
+    def added(self, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """rows with their embedding. Here by a join with what embed gives, for which they are computed once; a provider that embeds row by row overrides this."""
+        rows = cut(rows)
+        return rows.join(self.embed(rows, key, text), key)
+
 
 class HashingEmbedder(EmbeddingProvider):
     """Signed hashed tokens, unit length; built-in expressions only."""
@@ -140,6 +147,9 @@ class HashingEmbedder(EmbeddingProvider):
     def embed(self, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
         return hash_embed(rows, key, text, self.dimension)
 
+    def added(self, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+        return rows.withColumn("embedding", V.hash_vector(T.tokens(F.col(text)), self.dimension))
+
 
 class Reranker:
     """Scores (query, content) pairs."""

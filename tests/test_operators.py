@@ -683,3 +683,16 @@ def test_relations_merge_as_they_stream_by(spark, monkeypatch):
     want = graph.merge_relations(rows).select("source", "target", "weight", "relation", F.array_join(F.col("document_ids").cast("array<string>"), ",").alias("documents"))
     assert sorted(map(tuple, got.select("source", "target", "weight", F.col("doc_id").cast("string"), "documents").collect()), key=lambda x: x[:2]) == sorted(map(tuple, want.collect()), key=lambda x: x[:2])
     assert got.count() > 50
+
+
+def test_embeddings_and_contents_come_without_a_shuffle_of_texts(spark):
+    chunks = spark.createDataFrame([(f"c{k}", f"text {k}") for k in range(40)], "id string, content string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    own = HashingEmbedder().added(chunks, "id", "content")
+    assert "Join" not in plan(own)
+    want = chunks.join(HashingEmbedder().embed(chunks, "id", "content"), "id")
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
+    results = spark.createDataFrame([(1, "c3", 1), (2, "c3", 1), (2, "gone", 2)], "query_id long, id string, rank int")
+    got = retrieve.content_of(results, chunks)
+    assert "strategy=broadcast" in plan(got)
+    assert sorted(map(tuple, got.select("query_id", "id", "rank", "content").collect())) == [(1, "c3", 1, "text 3"), (2, "c3", 1, "text 3")]
