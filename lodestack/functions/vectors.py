@@ -57,8 +57,8 @@ def hash_sign(token: Column) -> Column:
     return F.when(F.conv(F.substring(F.md5(token.cast("binary")), 9, 1), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def hash_vector(tokens: Column, dim: int = 64) -> Column:
-    """Unit vector of signed token hashes (hash_bucket, hash_sign); zeros without tokens or for null.
+def hash_vector(tokens: Column, dim: int = 64, unit: bool = True) -> Column:
+    """Unit vector of signed token hashes (hash_bucket, hash_sign), or without `unit` their sums; zeros without tokens or for null.
 
     Arrow batches: each distinct token of a slice of 2,048 rows is hashed once, and sums are array operations; as
     rows of tokens it would take two shuffles.
@@ -74,7 +74,7 @@ def hash_vector(tokens: Column, dim: int = 64) -> Column:
         sizes = np.array(lists.value_lengths().fill_null(0))
         row = np.repeat(np.arange(n), sizes)
         w = np.bincount(row * dim + bucket[which], sign[which], n * dim).reshape(n, dim) if len(which) else np.zeros((n, dim))
-        length = np.sqrt((w * w).sum(1, keepdims=True))
+        length = np.sqrt((w * w).sum(1, keepdims=True)) if unit else np.ones((n, 1))
         w = w / np.where(length > 0, length, 1.0) + 0.0
         return pa.FixedSizeListArray.from_arrays(pa.array(w.ravel()), dim).cast(pa.list_(pa.float64()))
 

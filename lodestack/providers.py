@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,10 @@ class LLMProvider:
 
         return [one(p) for p in prompts]
 
+    def answer_each(self, queries: list[str], context: str) -> list[str | None]:
+        """Answers to several queries from one context, null for a failed one; a provider that can read the context once for all of them overrides this."""
+        return self.answer_many([f"answer\n---\n{q}\n---\n{context}" for q in queries])
+
     def generate(self, prompts: Column) -> Column:
         """value of the reply; null where the model failed. Distinct prompts of an Arrow batch are asked together, once."""
         answer_many = self.answer_many
@@ -73,6 +78,24 @@ class ScriptedLLM(LLMProvider):
         raise LookupError("no reply for this prompt")
 
 
+@lru_cache(maxsize=8)
+def _asking(queries: tuple[str, ...]) -> dict[str, list[int]]:
+    """Places of the queries that have each word."""
+    out: dict[str, list[int]] = {}
+    for k, q in enumerate(queries):
+        for w in _words(q):
+            out.setdefault(w, []).append(k)
+    return out
+
+
+def _words(t: str) -> set[str]:
+    return set(re.findall(r"\w+", t.lower()))
+
+
+def _sentences(t: str) -> list[str]:
+    return [s.strip() for s in re.split(r"(?<=[.!?])\s+", t.strip()) if s.strip()]
+
+
 class ExtractiveLLM(LLMProvider):
     """Rules in place of a model.
 
@@ -86,8 +109,7 @@ class ExtractiveLLM(LLMProvider):
 
     def answer(self, prompt: str) -> str:
         task, query, context = ([*prompt.split("\n---\n", 2), "", ""])[:3]
-        words = lambda t: set(re.findall(r"\w+", t.lower()))
-        cut = lambda t: [s.strip() for s in re.split(r"(?<=[.!?])\s+", t.strip()) if s.strip()]
+        words, cut = _words, _sentences
         asked = words(query)
         if task == "answer":
             return max(cut(context), key=lambda s: len(words(s) & asked), default="")
@@ -122,6 +144,23 @@ class ExtractiveLLM(LLMProvider):
             return json.dumps([m.end() for k, m in enumerate(re.finditer(r"[.!?]\s+", query)) if k % 3 == 2])
         raise LookupError(task)
 
+    def answer_each(self, queries: list[str], context: str) -> list[str | None]:
+        """As answer does, with the context read once: only words that a query has are counted, in the sentences that have one."""
+        if any((q + "\n---\n").index("\n---\n") < len(q) for q in queries):  # a prompt would be split within such a query
+            return super().answer_each(queries, context)
+        sentences, asking = _sentences(context), _asking(tuple(queries))
+        most, at = [0] * len(queries), [0] * len(queries)
+        known = _words(context) & asking.keys()
+        for i, s in enumerate(sentences if known else []):
+            shared: dict[int, int] = {}
+            for w in _words(s) & known:
+                for k in asking[w]:
+                    shared[k] = shared.get(k, 0) + 1
+            for k, n in shared.items():
+                if n > most[k]:
+                    most[k], at[k] = n, i
+        return [sentences[i] for i in at] if sentences else [""] * len(queries)
+
 
 class EmbeddingProvider:
     """Frame with a key and a text -> key and embedding."""
@@ -132,6 +171,15 @@ class EmbeddingProvider:
     def embed(self, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
         raise NotImplementedError
 
+    def embed_parts(self, parts: DataFrame, key: str, part: str = "part", text: str = "text") -> DataFrame:
+        """key and one embedding of each key's text, which comes in parts: here the unit sum of theirs."""
+        each = parts.select(F.struct(key, part).alias("_k"), F.col(text).alias("text"))
+        return self._summed(self.embed(each, "_k").select(F.col("_k")[key].alias(key), "embedding"), key)
+
+    def _summed(self, rows: DataFrame, key: str) -> DataFrame:
+        total = rows.groupBy(key).agg(F.when(F.count("embedding") > 0, F.array(*(F.sum(F.col("embedding")[i]) for i in range(self.dimension)))).alias("embedding"))
+        return total.select(key, V.unit(F.col("embedding")).alias("embedding"))
+
     def added(self, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
         """rows with their embedding. Here by a join with what embed gives, for which they are computed once; a provider that embeds row by row overrides this."""
         rows = cut(rows)
@@ -147,6 +195,10 @@ class HashingEmbedder(EmbeddingProvider):
     def embed(self, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
         return hash_embed(rows, key, text, self.dimension)
 
+    def embed_parts(self, parts: DataFrame, key: str, part: str = "part", text: str = "text") -> DataFrame:
+        """What embed gives for the whole text: hashes are added before the sum gets unit length."""
+        return self._summed(parts.select(key, V.hash_vector(T.tokens(F.col(text)), self.dimension, unit=False).alias("embedding")), key)
+
     def added(self, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
         return rows.withColumn("embedding", V.hash_vector(T.tokens(F.col(text)), self.dimension))
 

@@ -307,6 +307,113 @@ def test_global_search_reads_detected_communities(spark, sf):
     assert any(c[0] != n[0] for n, c in label.items())
 
 
+def test_reports_by_code_are_those_by_name(spark, monkeypatch):
+    from collections import defaultdict
+
+    from lodestack.operators import names
+
+    r = random.Random(12)
+    words = [f"{'é' if k % 7 == 0 else 'n'}ame{k:02d}" + "x" * (k % 5) for k in range(60)]
+    texts = [". ".join(" ".join(r.sample(words[g : g + 12], r.randint(1, 4))) for g in r.choices((0, 0, 15, 30, 48), k=3)) + "." for _ in range(80)]
+    coded = names.Coded(spark.createDataFrame(list(enumerate([*texts, "zalone one", "zalone two", "zalone three"])), "doc_id long, text string").repartition(3), low=3, share=1.0)
+    weighted = coded.weighted(F.lit(1.0))
+    known, label = coded.names.to_pylist(), names.labels(weighted, len(coded.names))
+    of = {n: known[label[k]] for k, n in enumerate(known)}
+    want = defaultdict(list, {c: sorted(n for n in known if of[n] == c) for c in set(of.values())})
+    links = sorted((a, b) for a, b in coded.named(weighted.select("source", "target"), "source", "target").collect())
+    for a, b in links:
+        if of[a] == of[b]:
+            want[of[a]].append(f"{a} - {b}")
+    assert of["zalone"] == "zalone" and len(want) > 3 and any(" - " in x[-1] for x in want.values())
+    for size, parts in ((90, 2), (90, 64), (8000, 64)):
+        monkeypatch.setattr(names, "PARTS", parts)
+        monkeypatch.setattr(names, "ROWS", 16 if size == 90 else 1 << 16)
+        rows = coded.named(coded.reports(weighted, size), "community").collect()
+        assert {c: ". ".join(x["report"] for x in sorted(rows, key=lambda x: x["part"]) if x["community"] == c) for c in want} == {c: ". ".join(x) for c, x in want.items()}
+        assert max(len(x["report"]) for x in rows) <= size + 30 and len({(x["community"], x["part"]) for x in rows}) == len(rows)
+        member = spark.createDataFrame(list(of.items()), "node string, community string")
+        by_name = graph.report_parts(member, coded.named(weighted, "source", "target"), size).collect()
+        assert {c: ". ".join(x["report"] for x in sorted(by_name, key=lambda x: x["part"]) if x["community"] == c) for c in want} == {c: ". ".join(x) for c, x in want.items()}
+
+
+def test_parts_are_embedded_as_their_whole(spark):
+    from lodestack.providers import EmbeddingProvider
+
+    rows = spark.createDataFrame([("c", 0, "one two. two three"), ("c", 1, "four - one"), ("d", 0, "five"), ("e", 0, "")], "community string, part int, report string")
+    whole = HashingEmbedder().embed(graph.whole_reports(rows).select("community", F.col("report").alias("text")), "community")
+    got = HashingEmbedder().embed_parts(rows, "community", text="report")
+    assert {x["community"]: list(x["embedding"]) for x in got.collect()} == {x["community"]: list(x["embedding"]) for x in whole.collect()}
+
+    class Two(EmbeddingProvider):
+        dimension = 2
+
+        def embed(self, rows, key, text="text"):
+            return rows.select(key, F.when(F.col(text).contains("one"), F.array(F.lit(3.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(4.0))).alias("embedding"))
+
+    assert {x["community"]: list(x["embedding"]) for x in Two().embed_parts(rows, "community", text="report").collect()} == {"c": [1.0, 0.0], "d": [0.0, 1.0], "e": [0.0, 1.0]}
+
+
+def test_answers_from_one_context_are_those_of_single_prompts():
+    r = random.Random(3)
+    llm, words = ExtractiveLLM(), ["Ada", "été", "x", "engine", "plan", "of"]
+    queries = [" ".join(r.choices(words, k=3)) for _ in range(20)] + ["", "none here", "ada\n---\nplan", "plan\n---"]
+    for context in (". ".join(" ".join(r.choices(words, k=4)) for _ in range(30)), "one! two? plan", "", " \n", "a - b. plan - x\n---\nof"):
+        for some in (queries, queries[:-2]):
+            assert llm.answer_each(some, context) == [llm.answer(f"answer\n---\n{q}\n---\n{context}") for q in some]
+
+
+def test_global_answer_is_the_best_line_of_all_parts(spark):
+    from lodestack.providers import LLMProvider
+
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(50)]
+    lines = {c: [f"{a} - {b}" for a, b in (r.sample(words, 2) for _ in range(40))] for c in range(5)}
+    parts = [(c, k, ". ".join(lines[c][i : i + 4])) for c in range(5) for k, i in enumerate(range(0, 40, 4))]
+    reports = spark.createDataFrame(parts, "community int, part long, report string")
+    queries = [(q, " ".join(r.sample(words, 6))) for q in range(12)] + [(12, "nothing known"), (13, None), (14, "no community")]
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    score = [(i, c, (i * 7 + c * 3) % 5 / 10) for i in range(14) for c in range(5)]
+    scored = spark.createDataFrame(score, "query_id long, community int, score double")
+    dense = spark.createDataFrame([(i, k, 100 + k, f"dense {k}") for i in range(15) for k in range(1, 4)], "query_id long, rank int, id long, content string")
+    want = {}
+    for i, text in queries[:13]:
+        best = [c for _, c in sorted((-s, c) for j, c, s in score if j == i)[:3]]
+        want[i] = max((x for c in best for x in lines[c]), key=lambda x: len(set(x.split(" - ")) & set(text.split()))) + "."
+    apart = reports.repartition(3).localCheckpoint()  # tasks get parts that don't follow each other
+    for size, rows in ((40, reports), (40, apart), (8000, apart)):  # reduced in many rounds, and in one
+        got = retrieve.global_answer(q, scored, rows, dense, ExtractiveLLM(), 3, size=size).collect()
+        assert {x["query_id"]: x["content"] for x in got if x["id"] is None} == want
+        assert {(x["query_id"], x["rank"], x["id"]) for x in got if x["id"]} == {(i, k + 1, 100 + k) for i in range(13) for k in (1, 2)} | {(i, k, 100 + k) for i in (13, 14) for k in (1, 2, 3)}
+
+    class Rambling(LLMProvider):
+        """Says of a part what it reads; merging fails."""
+
+        def answer(self, prompt):
+            context = prompt.split("\n---\n", 2)[2]
+            if "\n\n" in context:
+                raise RuntimeError
+            return context
+
+    best = [c for _, c in sorted((-s, c) for j, c, s in score if j == 3)[:3]]
+    for rows in (reports, apart):
+        got = retrieve.global_answer(q, scored, rows, dense, Rambling(), 3, size=40).filter("id IS NULL AND query_id = 3").first()["content"]
+        assert got.replace("\n\n", " ").rstrip(".").split(". ") == [x for c in best for x in lines[c]]
+
+    class Silent(LLMProvider):
+        def answer(self, prompt):
+            raise RuntimeError
+
+    got = retrieve.global_answer(q, scored, reports, dense, Silent(), 3).collect()
+    assert {(x["query_id"], x["rank"], x["id"]) for x in got} == {(i, k, 100 + k) for i in range(15) for k in (1, 2, 3)}
+
+
+def test_global_search_answers_with_a_line_of_a_report(spark, sf):
+    from lodestack.plans import graph_queries as G
+
+    heads = [x["n_chars"] for x in G.global_search(spark, sf).filter("id IS NULL").collect()]
+    assert len(heads) == 40 and max(heads) < 100  # parts as one sentence gave answers of up to 121,973 characters
+
+
 def both_ways(spark, edges):
     return spark.createDataFrame([(a, b, w) for a, b, w in edges] + [(b, a, w) for a, b, w in edges], "node string, neighbour string, weight double")
 
